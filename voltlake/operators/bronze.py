@@ -15,7 +15,7 @@ from ..schemas import (
     PRODUCTION_COMPONENTS,
     PRODUCTION_TOTAL,
 )
-from ..sources.readers import require_columns, with_lineage
+from ..sources.readers import require_columns, source_position, with_lineage
 from .ranking import HOT_ROWS, rank_duplicates
 
 _READING_KINDS = {
@@ -24,10 +24,6 @@ _READING_KINDS = {
 }
 
 
-def _position(raw: DataFrame) -> Column:
-    return F.col("row_pos") if "row_pos" in raw.columns else F.monotonically_increasing_id()
-
-
 def _source_file(raw: DataFrame) -> Column:
     return F.col("source_file_name") if "source_file_name" in raw.columns else F.lit(None).cast("string")
 
@@ -77,7 +73,7 @@ def _bronze_readings(
         *[P.lenient_double(F.col(raw_name)).alias(name) for raw_name, name in components.items()],
         P.lenient_double(F.col("total")).alias(total),
         _source_file(raw).alias("source_file_name"),
-        _position(raw).alias("row_pos"),
+        source_position(raw).alias("row_pos"),
     )
     ranked = rank_duplicates(
         typed,
@@ -130,7 +126,7 @@ def _bronze_price(
         P.lenient_double(F.col("portugal")).alias("preco_pt_eur_mwh"),
         P.lenient_double(F.col("spain")).alias("preco_es_eur_mwh"),
         _source_file(raw).alias("source_file_name"),
-        _position(raw).alias("row_pos"),
+        source_position(raw).alias("row_pos"),
     ).withColumn(
         "timestamp_utc",
         P.delivery_hour_to_utc(F.col("delivery_date_local"), F.col("market_hour"), source_tz, dst),

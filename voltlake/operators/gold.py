@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from ..functions import measures as M
 from ..functions import parsing as P
 from ..functions.calendar import calendar_columns, hour_bucket, trunc_ntz
+from ..sources.readers import source_position
 from .ranking import last_write_wins
 from .timeline import add_lead, bucket_window, main_rows, rolling_mean_columns, with_halo
 
@@ -166,7 +167,7 @@ def price_candidates(raw_price: DataFrame, conventions: Sequence[str] = ("v1", "
         day.alias("delivery_date_local"),
         hour.alias("market_hour"),
         P.decimal_comma_double(F.col("portugal")).alias("preco_eur_mwh"),
-        "row_pos",
+        source_position(raw_price).alias("row_pos"),
     ).where(F.col("delivery_date_local").isNotNull() & F.col("preco_eur_mwh").isNotNull())
     unfolded = parsed.select(
         "*",
@@ -209,7 +210,7 @@ def gold_cost_hourly(
 ) -> DataFrame:
     """Hourly consumption × price for the hours both have.
 
-    `raw_price` has text columns `date`, `hour`, `portugal` and `row_pos`. "auto" takes the hour
+    `raw_price` has text columns `date`, `hour`, `portugal` and its rows' positions. "auto" takes the hour
     convention with the larger overlap.
     """
     if convention == "auto":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,18 +40,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return configure(spark)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`; a private one only where none is set and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="voltlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new dataset in the shared folder."""
+    return f"{shared_folder(spark)}/voltlake/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one named by `spark.checkpoint.dir`; a private one is made only where none is
-    set and the master is local.
-    """
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="voltlake-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -152,6 +152,13 @@ def with_row_position(scan: DataFrame, rename=None, keep_path: bool = False) ->
     )
 
 
+def source_position(df: DataFrame) -> Column:
+    """Place of a row in its source: file and row number where known."""
+    if "row_pos" not in df.columns:
+        return F.monotonically_increasing_id()
+    return F.struct("source_file_name", "row_pos") if "source_file_name" in df.columns else F.col("row_pos")
+
+
 def with_lineage(
     df: DataFrame,
     run_id: str,
