@@ -8,9 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The accepted text layouts, tried in this order.
-DATETIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm")
-DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d")
+# The accepted text layouts. Each is guarded by its shape, because a failed parse costs far
+# more than a pattern match.
+DATETIME_FORMATS = {
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm:ss",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
+    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$": "yyyy-MM-dd HH:mm",
+}
+DATE_FORMATS = {
+    r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d",
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
+    r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+}
+
+
+def _by_shape(text: Column, formats: dict[str, str]) -> Column:
+    branches = iter(formats.items())
+    shape, fmt = next(branches)
+    chosen = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    for shape, fmt in branches:
+        chosen = chosen.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    return chosen
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -57,14 +77,12 @@ def offset_timestamp(c: Column, floor_to_ms: bool = False) -> Column:
 def multi_format_timestamp(c: Column) -> Column:
     """First matching layout of `DATETIME_FORMATS`, else ISO text with an optional offset."""
     text = F.trim(c)
-    attempts = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATETIME_FORMATS]
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
-    return to_utc_ntz(F.coalesce(*attempts, iso))
+    return to_utc_ntz(F.coalesce(_by_shape(text, DATETIME_FORMATS), iso))
 
 
 def multi_format_date(c: Column) -> Column:
-    text = F.trim(c)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(fmt))) for fmt in DATE_FORMATS])
+    return F.to_date(_by_shape(F.trim(c), DATE_FORMATS))
 
 
 def query_layer_timestamp(c: Column) -> Column:

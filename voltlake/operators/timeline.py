@@ -50,22 +50,20 @@ def with_known_edges(
     along = W.partitionBy(*series).orderBy(BUCKET)
     earlier = along.rowsBetween(W.unboundedPreceding, -1)
     later = along.rowsBetween(1, W.unboundedFollowing)
-    edges = summary.select(
+    sides = summary.select(
         *series,
         BUCKET,
-        F.explode(
-            F.array(
-                F.struct(
-                    F.last("_last", ignorenulls=True).over(earlier).alias(order),
-                    *[F.last(f"_last_{m}", ignorenulls=True).over(earlier).alias(m) for m in measures],
-                ),
-                F.struct(
-                    F.first("_first", ignorenulls=True).over(later).alias(order),
-                    *[F.first(f"_first_{m}", ignorenulls=True).over(later).alias(m) for m in measures],
-                ),
-            )
-        ).alias("_edge"),
-    ).select(*series, BUCKET, "_edge.*")
+        F.struct(
+            F.last("_last", ignorenulls=True).over(earlier).alias(order),
+            *[F.last(f"_last_{m}", ignorenulls=True).over(earlier).alias(m) for m in measures],
+        ).alias("_before"),
+        F.struct(
+            F.first("_first", ignorenulls=True).over(later).alias(order),
+            *[F.first(f"_first_{m}", ignorenulls=True).over(later).alias(m) for m in measures],
+        ).alias("_after"),
+    )
+    edges = sides.select(*series, BUCKET, F.explode(F.array("_before", "_after")).alias("_edge"))
+    edges = edges.select(*series, BUCKET, "_edge.*")
     edges = edges.where(F.col(order).isNotNull()).withColumn(CARRIED, F.lit(True))
     return base.unionByName(edges, allowMissingColumns=True)
 
@@ -100,12 +98,11 @@ def with_halo(
         )
         # Every bucket in the table has a row, so `count` neighbouring buckets always suffice.
         frame = (-count, -1) if newest_first else (1, count)
-        around = F.flatten(
-            F.collect_list("_rows").over(W.partitionBy(*series).orderBy(BUCKET).rowsBetween(*frame))
-        )
-        start = F.greatest(F.size(around) - count, F.lit(0)) + 1 if newest_first else F.lit(1)
+        along = W.partitionBy(*series).orderBy(BUCKET).rowsBetween(*frame)
+        around = edge.select(*series, BUCKET, F.flatten(F.collect_list("_rows").over(along)).alias("_around"))
+        start = F.greatest(F.size("_around") - count, F.lit(0)) + 1 if newest_first else F.lit(1)
         halo = (
-            edge.select(*series, BUCKET, F.explode(F.slice(around, start, F.lit(count))).alias("_row"))
+            around.select(*series, BUCKET, F.explode(F.slice("_around", start, F.lit(count))).alias("_row"))
             .select(*series, BUCKET, "_row.*")
             .withColumn(CARRIED, F.lit(True))
         )
@@ -194,11 +191,8 @@ def hourly_calendar(df: DataFrame, key: str = "timestamp_utc", series: Sequence[
         F.explode(F.sequence(F.to_date("_lo"), F.to_date("_hi"), F.expr("INTERVAL '1' DAY"))).alias("_day"),
     )
     hours = days.select(
-        *series,
-        "_lo",
-        "_hi",
-        add_hours(F.col("_day").cast("timestamp_ntz"), F.explode(F.sequence(F.lit(0), F.lit(23)))).alias(key),
-    )
+        *series, "_lo", "_hi", "_day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("_hour")
+    ).withColumn(key, add_hours(F.col("_day").cast("timestamp_ntz"), F.col("_hour")))
     return hours.where(F.col(key).between(F.col("_lo"), F.col("_hi"))).select(*series, key)
 
 

@@ -116,13 +116,13 @@ sundays AS (
 
 @query(
     f"""WITH {RAW_PRICE}, {_RULE},
-    local AS (SELECT hour, day, day + INTERVAL 1 HOUR * (hour - 1) AS at FROM raw_price),
+    local AS (SELECT hour, day, day + INTERVAL 1 HOUR * (hour - 1) AS wall FROM raw_price),
     rule AS (SELECT l.*, s.spring + INTERVAL 2 HOUR AS skip, s.autumn + INTERVAL 1 HOUR AS fold
-             FROM local l JOIN sundays s ON s.y = year(l.at))
+             FROM local l JOIN sundays s ON s.y = year(l.wall))
     SELECT day, hour, count(*) AS n,
-      CASE WHEN at >= skip AND at < skip + INTERVAL 1 HOUR THEN NULL
-           WHEN at >= fold AND at < fold + INTERVAL 1 HOUR THEN NULL
-           WHEN at >= skip AND at < fold THEN at + INTERVAL 4 HOUR ELSE at + INTERVAL 5 HOUR END AS utc
+      CASE WHEN wall >= skip AND wall < skip + INTERVAL 1 HOUR THEN NULL
+           WHEN wall >= fold AND wall < fold + INTERVAL 1 HOUR THEN NULL
+           WHEN wall >= skip AND wall < fold THEN wall + INTERVAL 4 HOUR ELSE wall + INTERVAL 5 HOUR END AS utc
     FROM rule GROUP BY ALL"""
 )
 def delivery_hours_to_utc(t):
