@@ -8,29 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The accepted text layouts. Each is guarded by its shape, because a failed parse costs far
-# more than a pattern match.
-DATETIME_FORMATS = {
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm:ss",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$": "yyyy-MM-dd HH:mm",
-}
-DATE_FORMATS = {
-    r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d",
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
-    r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
-    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
-}
-
-
-def _by_shape(text: Column, formats: dict[str, str]) -> Column:
-    branches = iter(formats.items())
-    shape, fmt = next(branches)
-    chosen = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
-    for shape, fmt in branches:
-        chosen = chosen.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
-    return chosen
+# The accepted number, date and instant layouts. A shape is tested before the cast, because a
+# failed cast costs far more than a pattern match and because Spark reads more than these (12.5d, NaN, 2024).
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
+WHOLE_NUMBER = r"^[+-]?\d+(\.0*)?$"
+YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$"
+DAY_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$"
+YEAR_FIRST_SLASHES = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:\d{2}|Z)?)?$"
+
+
+def _let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -42,14 +32,13 @@ def trim_strings(df: DataFrame) -> DataFrame:
 def lenient_double(c: Column) -> Column:
     """Number or null. Java type suffixes ("12.5d") and NaN are not numbers here."""
     text = F.trim(c.cast("string"))
-    value = F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def lenient_int(c: Column) -> Column:
     """Whole number or null; "7.0" reads as 7."""
-    number = lenient_double(c)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast("double").try_cast("int"))
 
 
 def decimal_comma_double(c: Column) -> Column:
@@ -75,14 +64,16 @@ def offset_timestamp(c: Column, floor_to_ms: bool = False) -> Column:
 
 
 def multi_format_timestamp(c: Column) -> Column:
-    """First matching layout of `DATETIME_FORMATS`, else ISO text with an optional offset."""
+    """Date and time with "T" or a blank between them, seconds, fraction and offset optional."""
     text = F.trim(c)
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
-    return to_utc_ntz(F.coalesce(_by_shape(text, DATETIME_FORMATS), iso))
+    return to_utc_ntz(F.when(text.rlike(INSTANT), text.try_cast("timestamp")))
 
 
 def multi_format_date(c: Column) -> Column:
-    return F.to_date(_by_shape(F.trim(c), DATE_FORMATS))
+    """Year-month-day or day-month-year, with dashes or slashes."""
+    dashed = F.regexp_replace(F.trim(c), YEAR_FIRST_SLASHES, "$1-$2-$3")
+    iso = F.regexp_replace(dashed, DAY_FIRST, "$4-$3-$1")
+    return F.when(iso.rlike(YEAR_FIRST), iso.try_cast("date"))
 
 
 def query_layer_timestamp(c: Column) -> Column:
@@ -105,16 +96,18 @@ def local_to_utc(local: Column, zone: str) -> Column:
     Spark picks an offset silently. A skipped time does not survive the round trip; a repeated one is
     shown again by the instant one hour earlier or later.
     """
-    tz = F.lit(zone)
-    utc = F.convert_timezone(tz, F.lit("UTC"), local)
+    tz, utc_zone, hour = F.lit(zone), F.lit("UTC"), F.expr("INTERVAL '1' HOUR")
 
     def shown_at(instant: Column) -> Column:
-        return F.convert_timezone(F.lit("UTC"), tz, instant)
+        return F.convert_timezone(utc_zone, tz, instant)
+
+    def keep_if_unique(wall: Column, utc: Column) -> Column:
+        repeated = (shown_at(utc - hour) == wall) | (shown_at(utc + hour) == wall)
+        return F.when((shown_at(utc) == wall) & ~repeated, utc)
 
-    hour = F.expr("INTERVAL '1' HOUR")
-    skipped = shown_at(utc) != local
-    repeated = (shown_at(utc - hour) == local) | (shown_at(utc + hour) == local)
-    return F.when(~(skipped | repeated), utc)
+    return _let(
+        local, lambda wall: _let(F.convert_timezone(tz, utc_zone, wall), lambda utc: keep_if_unique(wall, utc))
+    )
 
 
 def delivery_hour_to_utc(day: Column, hour: Column, zone: str, dst: str = "null") -> Column:

@@ -584,14 +584,15 @@ def imbalance_trend(t):
     return rounded(G.imbalance_trend(balance(t), "day"), digits=5)
 
 
-@query(
-    f"""WITH {GOLD_S}, f AS (SELECT series, timestamp_utc, CAST(lead(flag_defice) OVER w AS INTEGER) AS target_defice_t_plus_1,
+_TRAINING_SQL = f"""f AS (SELECT timestamp_utc, CAST(lead(flag_defice) OVER w AS INTEGER) AS target_defice_t_plus_1,
       CAST(hour(timestamp_utc) AS INTEGER) AS hour, CAST(isodow(timestamp_utc) - 1 AS INTEGER) AS day_of_week, CAST(month(timestamp_utc) AS INTEGER) AS month,
-      {_lags_sql('PARTITION BY series ORDER BY timestamp_utc')} FROM gold_s WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc))
-    SELECT * FROM f WHERE target_defice_t_plus_1 IS NOT NULL AND {' AND '.join(f'{n} IS NOT NULL' for n in _LAG_NAMES)}"""
-)
-def deficit_features_by_series(t):
-    return rounded(deficit_features(balance_by_series(t), series=SERIES))
+      {_lags_sql('ORDER BY timestamp_utc')} FROM gold WINDOW w AS (ORDER BY timestamp_utc))"""
+_TRAINING_WHERE = f"WHERE target_defice_t_plus_1 IS NOT NULL AND {' AND '.join(f'{n} IS NOT NULL' for n in _LAG_NAMES)}"
+
+
+@query(f"WITH {GOLD}, {_TRAINING_SQL} SELECT * FROM f {_TRAINING_WHERE}")
+def deficit_training_rows(t):
+    return rounded(deficit_features(balance(t)))
 
 
 @query(
