@@ -25,9 +25,19 @@ def _yearly(df: DataFrame) -> DataFrame:
     return df.withColumn(YEAR[0], F.year("timestamp_utc"))
 
 
-def _store(spark: SparkSession, df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """The table `df` was written to; the known schema also reads a table without rows."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     write_parquet(df, path, partition_by)
-    return spark.read.parquet(path)
+    return _written(df, path)
+
+
+def _store_day(df: DataFrame, path: str, day: str) -> DataFrame:
+    replace_partitions(df, path, ["process_date"])
+    return of_process_date(_written(df, path), day)
 
 
 def run_balance(spark: SparkSession, base: str, run_id: str, as_of: datetime) -> str:
@@ -39,9 +49,9 @@ def run_balance(spark: SparkSession, base: str, run_id: str, as_of: datetime) ->
     silver = {}
     for kind, (total, components, sum_name) in sides.items():
         raw = read_csv(spark, f"{base}/raw/{kind}", positions=True)
-        bronze = _store(spark, bronze_clean(raw, kind, run_id, as_of, "A"), f"{base}/bronze/{kind}_a")
+        bronze = _store(bronze_clean(raw, kind, run_id, as_of, "A"), f"{base}/bronze/{kind}_a")
         picked = silver_15min(bronze, total, list(components.values()), sum_name)
-        silver[kind] = _store(spark, _yearly(picked), f"{base}/silver/{kind}_15min", YEAR)
+        silver[kind] = _store(_yearly(picked), f"{base}/silver/{kind}_15min", YEAR)
     path = f"{base}/gold/balance_hourly"
     write_parquet(with_year(G.gold_balance_hourly(silver["consumption"], silver["production"])), path, ["year"])
     return path
@@ -70,16 +80,12 @@ def run_market(spark: SparkSession, base: str, run_id: str, as_of: datetime, sou
     }
     silver = {}
     for kind, raw in raws.items():
-        bronze_path, silver_path = f"{base}/bronze/{kind}_b", f"{base}/silver/{kind}_hourly"
-        bronze = bronze_clean(raw, kind, run_id, as_of, "B", source_tz).withColumn("process_date", F.lit(day).cast("date"))
-        replace_partitions(bronze, bronze_path, ["process_date"])
-        replace_partitions(silver_hourly(of_process_date(spark.read.parquet(bronze_path), day), kind, day),
-                           silver_path, ["process_date"])
-        silver[kind] = of_process_date(spark.read.parquet(silver_path), day)
+        cleaned = bronze_clean(raw, kind, run_id, as_of, "B", source_tz)
+        bronze = _store_day(cleaned.withColumn("process_date", F.lit(day).cast("date")), f"{base}/bronze/{kind}_b", day)
+        silver[kind] = _store_day(silver_hourly(bronze, kind, day), f"{base}/silver/{kind}_hourly", day)
     market_path = f"{base}/gold/market_hourly"
-    replace_partitions(G.gold_market_hourly(silver["consumption"], silver["price"], day), market_path, ["process_date"])
-    market = of_process_date(spark.read.parquet(market_path), day)
-    replace_partitions(G.gold_load_features_hourly(market), f"{base}/gold/load_features_hourly", ["process_date"])
+    market = _store_day(G.gold_market_hourly(silver["consumption"], silver["price"], day), market_path, day)
+    _store_day(G.gold_load_features_hourly(market), f"{base}/gold/load_features_hourly", day)
     return market_path
 
 
@@ -96,6 +102,7 @@ def run_medallion(
     repeats: int = 1,
     run_id: str = "manual",
     project: bool = False,
+    source_tz: str = "Europe/Lisbon",
 ) -> None:
     """Run the chosen pipelines; for the balance, backfill `repeats` times and optionally project to `as_of`."""
     configure(spark)
@@ -108,4 +115,4 @@ def run_medallion(
         if project:
             extend_balance(spark, path, as_of)
     if MARKET in pipelines:
-        run_market(spark, base_path, run_id, as_of)
+        run_market(spark, base_path, run_id, as_of, source_tz)

@@ -15,7 +15,7 @@ from ..session import new_folder
 from ..sources import readers as R
 from ..sources import writers as Wr
 from . import medallion
-from .inputs import GOLD, GOLD_OUT, GOLD_S, MEASURES, RAW_PRICE, SERIES, balance, balance_by_series, raw_price
+from .inputs import GOLD, GOLD_OUT, GOLD_S, MEASURES, RAW_PRICE, SERIES, balance, balance_by_series, raw_price, sql_round
 from .queries_serving import _rollup_sql
 from .queries_tables import _BACKFILL
 from .registry import query, rounded
@@ -56,9 +56,10 @@ def external_text_table(t):
     return R.read_text_table(t.spark, path, schema)
 
 
-def _write_price_files(t, path: str) -> None:
+def _write_price_files(t, path: str, decimal_point: bool = False) -> None:
     """Day-ahead files: two preamble lines, then a header, then the rows; half the files order the columns differently."""
-    rows = raw_price(t).withColumn("file_no", F.pmod(F.xxhash64("date"), F.lit(8)))
+    prices = raw_price(t)
+    rows = (prices.withColumn("portugal", F.col("spain")) if decimal_point else prices).withColumn("file_no", F.pmod(F.xxhash64("date"), F.lit(8)))
     even = F.col("file_no") % 2 == 0
     swapped = F.concat_ws(";", "portugal", "hour", "spain", "date")
     lines = rows.select(
@@ -189,7 +190,7 @@ def _write_raw_readings(t, base: str) -> None:
         rows.write.option("header", True).csv(f"{base}/raw/{kind}")
 
 
-@query(f"WITH {GOLD}, {GOLD_S} SELECT {GOLD_OUT} FROM gold")
+@query(f"WITH {GOLD} SELECT {GOLD_OUT} FROM gold")
 def medallion_balance_run(t):
     """Raw CSV to gold through written bronze and silver tables, backfilled twice."""
     base = new_folder(t.spark, "lake")
@@ -198,18 +199,28 @@ def medallion_balance_run(t):
     return rounded(t.spark.read.parquet(f"{base}/gold/balance_hourly").drop("year"), MEASURES)
 
 
-@query()
+_MARKET_RUN = f"""{RAW_PRICE},
+mc AS (SELECT o_orderdate + INTERVAL 1 HOUR * CAST(o_custkey % 24 AS INTEGER) AS timestamp_utc, max(o_totalprice) AS consumo_total FROM orders GROUP BY 1),
+mp AS (SELECT day + INTERVAL 1 HOUR * (hour - 1) AS timestamp_utc, max(price) AS market_price_pt FROM raw_price GROUP BY 1),
+mj AS (SELECT timestamp_utc, consumo_total, market_price_pt FROM mc JOIN mp USING (timestamp_utc)),
+mm AS (SELECT *, lag(consumo_total) OVER w AS consumo_lag_1h, lag(consumo_total, 24) OVER w AS consumo_lag_24h, lag(market_price_pt) OVER w AS price_lag_1h,
+  CASE WHEN row_number() OVER w >= 24 THEN avg(consumo_total) OVER d END AS rolling_avg_consumo_24h,
+  CASE WHEN row_number() OVER w >= 24 THEN avg(market_price_pt) OVER d END AS rolling_avg_price_24h
+  FROM mj WINDOW w AS (ORDER BY timestamp_utc), d AS (ORDER BY timestamp_utc RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW))"""
+_MARKET_COLUMNS = ["consumo_total", "market_price_pt", "consumo_lag_1h", "consumo_lag_24h", "price_lag_1h", "rolling_avg_consumo_24h", "rolling_avg_price_24h"]
+
+
+@query(f"WITH {_MARKET_RUN} SELECT timestamp_utc, {sql_round(_MARKET_COLUMNS)} FROM mm")
 def medallion_market_run(t):
-    """Raw consumption and price files to the market table; prices of the table's years joined to order hours."""
+    """Raw consumption and price files of several years to the market table, delivery hours taken as UTC."""
     base = new_folder(t.spark, "lake")
     hour = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_custkey") % 24).cast("int"))
-    value = F.col("o_totalprice")
-    rows = t.orders.select(hour.alias("ts"), value.alias("value"))
+    rows = t.orders.select(hour.alias("ts"), F.col("o_totalprice").alias("value"))
     rows.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("datahora"), F.dayofmonth("ts").alias("dia"), F.month("ts").alias("mes"),
         F.year("ts").alias("ano"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm").alias("time"),
         *[F.lit(0).alias(c) for c in ("bt", "mt", "at", "mat")], F.col("value").alias("total"),
     ).write.option("header", True).csv(f"{base}/raw/consumption")
-    _write_price_files(t, f"{base}/raw/price")
-    medallion.run_medallion(t.spark, base, RUN_AT, pipelines=[medallion.MARKET])
-    return t.spark.read.parquet(f"{base}/gold/market_hourly")
+    _write_price_files(t, f"{base}/raw/price", decimal_point=True)
+    medallion.run_medallion(t.spark, base, RUN_AT, pipelines=[medallion.MARKET], source_tz="UTC")
+    return rounded(t.spark.read.parquet(f"{base}/gold/market_hourly").select("timestamp_utc", *_MARKET_COLUMNS))

@@ -61,11 +61,13 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def _cells(line: Column) -> Column:
-    """Cells of a ";" line, unquoted and trimmed."""
-    return F.transform(
+    """Cells of a ";" line, unquoted and trimmed; lines without quotes take a plain split."""
+    plain = F.transform(F.split(line, ";"), F.trim)
+    quoted = F.transform(
         F.split(line, _SEMICOLON),
         lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))),
     )
+    return F.when(line.contains('"'), quoted).otherwise(plain)
 
 
 def _positioned_lines(spark: SparkSession, path: str) -> DataFrame:
