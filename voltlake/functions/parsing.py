@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 # failed cast costs far more than a pattern match and because Spark reads more than these (12.5d, NaN, 2024).
 NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 WHOLE_NUMBER = r"^[+-]?\d+(\.0*)?$"
-YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$"
-DAY_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$"
-YEAR_FIRST_SLASHES = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
+DATE = r"^(\d{4}([-/])\d{1,2}\2\d{1,2}|\d{1,2}([-/])\d{1,2}\3\d{4})$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:\d{2}|Z)?)?$"
 
 
@@ -23,6 +21,16 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def add_parsed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df.withColumns(columns)` for costly expressions that later filters test.
+
+    A filter on a plain computed column is moved below it and computes the expression a second time; it
+    is not moved below a generator, so the row is unfolded from a one-element array here.
+    """
+    struct = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return df.select("*", F.inline(F.array(struct)))
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
     """Trim every string column; nulls stay null."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -71,9 +79,11 @@ def multi_format_timestamp(c: Column) -> Column:
 
 def multi_format_date(c: Column) -> Column:
     """Year-month-day or day-month-year, with dashes or slashes."""
-    dashed = F.regexp_replace(F.trim(c), YEAR_FIRST_SLASHES, "$1-$2-$3")
-    iso = F.regexp_replace(dashed, DAY_FIRST, "$4-$3-$1")
-    return F.when(iso.rlike(YEAR_FIRST), iso.try_cast("date"))
+    dashed = F.translate(F.trim(c), "/", "-")
+    day, year = F.substring_index(dashed, "-", 1), F.substring_index(dashed, "-", -1)
+    month = F.substring_index(F.substring_index(dashed, "-", 2), "-", -1)
+    iso = F.when(F.substring(dashed, 5, 1) == "-", dashed).otherwise(F.concat_ws("-", year, month, day))
+    return F.when(F.trim(c).rlike(DATE), iso.try_cast("date"))
 
 
 def query_layer_timestamp(c: Column) -> Column:

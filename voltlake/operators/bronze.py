@@ -64,9 +64,10 @@ def _bronze_readings(
     text = P.trim_strings(
         require_columns(raw, ["datahora", "dia", "mes", "ano", "date", "time", *components, "total"], kind)
     )
-    typed = text.select(
+    instant = P.offset_timestamp(F.col("datahora"), floor_to_ms=variant == "A")
+    typed = P.add_parsed(text, {"timestamp_utc": instant}).select(
         F.col("datahora").alias("datahora_raw"),
-        P.offset_timestamp(F.col("datahora"), floor_to_ms=variant == "A").alias("timestamp_utc"),
+        "timestamp_utc",
         *[P.lenient_int(F.col(c)).alias(c) for c in ("dia", "mes", "ano")],
         P.multi_format_date(F.col("date")).alias("data_local"),
         F.col("time").alias("hora_local_raw"),
@@ -119,17 +120,20 @@ def _bronze_price(
     raw: DataFrame, run_id: str, ingest_ts: datetime, source_tz: str, dst: str, hot_rows: int
 ) -> DataFrame:
     text = P.trim_strings(require_columns(raw, ["date", "hour", "portugal", "spain"], "price"))
-    typed = text.select(
+    day_and_hour = {
+        "delivery_date_local": P.multi_format_date(F.col("date")),
+        "market_hour": P.lenient_int(F.col("hour")),
+    }
+    instant = P.delivery_hour_to_utc(F.col("delivery_date_local"), F.col("market_hour"), source_tz, dst)
+    typed = P.add_parsed(P.add_parsed(text, day_and_hour), {"timestamp_utc": instant}).select(
         F.col("date").alias("date_raw"),
-        P.multi_format_date(F.col("date")).alias("delivery_date_local"),
-        P.lenient_int(F.col("hour")).alias("market_hour"),
+        "delivery_date_local",
+        "market_hour",
+        "timestamp_utc",
         P.lenient_double(F.col("portugal")).alias("preco_pt_eur_mwh"),
         P.lenient_double(F.col("spain")).alias("preco_es_eur_mwh"),
         _source_file(raw).alias("source_file_name"),
         source_position(raw).alias("row_pos"),
-    ).withColumn(
-        "timestamp_utc",
-        P.delivery_hour_to_utc(F.col("delivery_date_local"), F.col("market_hour"), source_tz, dst),
     )
     ranked = rank_duplicates(
         typed, key="timestamp_utc", value="preco_pt_eur_mwh", position="row_pos", hot_rows=hot_rows

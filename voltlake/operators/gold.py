@@ -148,8 +148,9 @@ PARSER_NAMES = {"v1": "v1_hour_minus_1", "v2": "v2_hour_direct"}
 
 def cost_consumption_hourly(readings: DataFrame, factor: float = 0.25) -> DataFrame:
     """Hourly energy from text readings `datahora`, `total`; rows that do not parse are skipped."""
-    parsed = readings.select(
-        P.multi_format_timestamp(F.col("datahora")).alias("_ts"), P.decimal_comma_double(F.col("total")).alias("_v")
+    parsed = P.add_parsed(
+        readings.select("datahora", "total"),
+        {"_ts": P.multi_format_timestamp(F.col("datahora")), "_v": P.decimal_comma_double(F.col("total"))},
     ).where(F.col("_ts").isNotNull() & F.col("_v").isNotNull())
     return parsed.groupBy(hour_bucket(F.col("_ts")).alias("timestamp_utc")).agg(
         F.sum(F.col("_v") * factor).alias("consumo_mwh")
@@ -159,38 +160,29 @@ def cost_consumption_hourly(readings: DataFrame, factor: float = 0.25) -> DataFr
 def price_candidates(raw_price: DataFrame, conventions: Sequence[str] = ("v1", "v2")) -> DataFrame:
     """Hourly price per hour convention; of several rows for one hour the last in the source wins.
 
-    Each raw row is unfolded into one row per convention, so the source is read once.
+    The conventions differ by a constant shift, so two rows collide under one exactly if they collide
+    under the other: the winners are found once and then placed under every convention.
     """
-    day = P.multi_format_date(F.col("date"))
-    hour = P.lenient_int(F.col("hour"))
-    parsed = raw_price.select(
-        day.alias("delivery_date_local"),
-        hour.alias("market_hour"),
-        P.decimal_comma_double(F.col("portugal")).alias("preco_eur_mwh"),
-        source_position(raw_price).alias("row_pos"),
-    ).where(F.col("delivery_date_local").isNotNull() & F.col("preco_eur_mwh").isNotNull())
-    unfolded = parsed.select(
-        "*",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("convention"),
-                        P.market_hour_timestamp(F.col("delivery_date_local"), F.col("market_hour"), c).alias(
-                            "timestamp_utc"
-                        ),
-                    )
-                    for c in conventions
-                ]
-            )
-        ).alias("_c"),
-    ).select("*", "_c.*")
-    return last_write_wins(
-        unfolded.where(F.col("timestamp_utc").isNotNull()),
-        ["convention", "timestamp_utc"],
-        ["preco_eur_mwh", "delivery_date_local", "market_hour"],
-        "row_pos",
+    parsed = P.add_parsed(
+        raw_price.select("date", "hour", "portugal", source_position(raw_price).alias("row_pos")),
+        {
+            "delivery_date_local": P.multi_format_date(F.col("date")),
+            "market_hour": P.lenient_int(F.col("hour")),
+            "preco_eur_mwh": P.decimal_comma_double(F.col("portugal")),
+        },
     )
+    instant = P.market_hour_timestamp(F.col("delivery_date_local"), F.col("market_hour"), "v1")
+    rows = parsed.withColumn("_v1", instant).where(F.col("_v1").isNotNull() & F.col("preco_eur_mwh").isNotNull())
+    winners = last_write_wins(rows, ["_v1"], ["preco_eur_mwh", "delivery_date_local", "market_hour"], "row_pos")
+    placed = [
+        F.struct(
+            F.lit(c).alias("convention"),
+            P.market_hour_timestamp(F.col("delivery_date_local"), F.col("market_hour"), c).alias("timestamp_utc"),
+        )
+        for c in conventions
+    ]
+    unfolded = winners.select("preco_eur_mwh", "delivery_date_local", "market_hour", F.explode(F.array(*placed)).alias("_c"))
+    return unfolded.select("_c.*", "preco_eur_mwh", "delivery_date_local", "market_hour")
 
 
 def convention_overlap(candidates: DataFrame, consumption: DataFrame) -> DataFrame:

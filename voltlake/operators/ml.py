@@ -107,7 +107,8 @@ def train_deficit_model(
         values = evaluate_binary(score(model, table.where("is_test")), TARGET).first()
     finally:
         table.unpersist()
-    return model, gold.sparkSession.createDataFrame([values.asDict()]).select(*BINARY_METRICS)
+    schema = ", ".join(f"{m} double" for m in BINARY_METRICS)  # a metric is null where one class is absent
+    return model, gold.sparkSession.createDataFrame([tuple(values[m] for m in BINARY_METRICS)], schema)
 
 
 def predict_next_hour(model: PipelineModel, gold: DataFrame) -> DataFrame:

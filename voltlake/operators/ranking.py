@@ -135,5 +135,12 @@ def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def last_write_wins(df: DataFrame, keys: Sequence[str], values: Sequence[str], position: str) -> DataFrame:
-    """The values of the row with the highest position per key."""
+    """The values of the row with the highest position per key.
+
+    A number as position keeps the buffers fixed-width, so the aggregate hashes; a composite position
+    makes it sort, and then one buffer holding all values is sorted instead of one per value.
+    """
+    if dict(df.dtypes)[position].startswith("struct"):
+        latest = df.groupBy(*keys).agg(F.max_by(F.struct(*values), position).alias("_v"))
+        return latest.select(*keys, "_v.*")
     return df.groupBy(*keys).agg(*[F.max_by(v, position).alias(v) for v in values])

@@ -39,10 +39,10 @@ def source_row_positions(t):
     path = new_folder(t.spark, "csv")
     (t.events.select("event_id", "props").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
      .write.option("header", True).csv(path))
-    rows = R.read_csv(t.spark, path, positions=True).withColumn("event_id", F.col("event_id").cast("long"))
+    rows = R.with_row_number(t.spark.read.option("header", True).csv(path)).withColumn("event_id", F.col("event_id").cast("long"))
     per_file = rows.groupBy("source_file_name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("row_pos").alias("d"), F.min("row_pos").alias("lo"), F.max("row_pos").alias("hi"),
-        F.min("event_id").alias("first"), F.min_by("event_id", "row_pos").alias("at_lo"), F.sum("event_id").alias("ids"))
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_num").alias("d"), F.min("row_num").alias("lo"), F.max("row_num").alias("hi"),
+        F.min("event_id").alias("first"), F.min_by("event_id", "row_num").alias("at_lo"), F.sum("event_id").alias("ids"))
     return per_file.agg(
         F.sum("n").alias("linhas"), F.sum("d").alias("posicoes"), F.min("lo").cast("int").alias("primeira"),
         F.count_if((F.col("first") != F.col("at_lo")) | (F.col("hi") != F.col("n"))).cast("int").alias("inversoes"), F.sum("ids").alias("ids"))
@@ -170,7 +170,7 @@ def quoted_csv_export(t):
       'kWh' AS unit_raw, '2024-02-01' AS accessed_on_raw, 'events.parquet' AS source_file_name FROM events"""
 )
 def lineage_columns(t):
-    named = R.with_row_position(t.events.select("event_id", "ts", "_metadata")).drop("row_pos", "ts", "_metadata")
+    named = R.with_source_order(t.events).select("event_id", "source_file_name")
     return R.with_lineage(named, "run-9", RUN_AT, "2024-02-01", "kWh", "2024-02-01")
 
 

@@ -533,19 +533,19 @@ def _market(t):
 
 
 @query(
-    f"""WITH {_MARKET} SELECT timestamp_utc, date, year, month, day, hour, day_of_week, is_weekend, {sql_round(_MARKET_DOUBLES)}, process_date FROM market"""
+    f"""WITH {_MARKET} SELECT timestamp_utc, date, year, month, day, hour, day_of_week, is_weekend, {sql_round(_MARKET_DOUBLES, 8)}, process_date FROM market"""
 )
 def gold_market_hourly(t):
-    return rounded(_market(t))
+    return rounded(_market(t), digits=8)
 
 
 @query(
     f"""WITH {_MARKET}, f AS (SELECT *, lead(consumo_total) OVER (ORDER BY timestamp_utc) AS consumo_next_hour FROM market)
-    SELECT timestamp_utc, hour, day_of_week, is_weekend, {sql_round(_MARKET_DOUBLES + ['consumo_next_hour'])}, process_date FROM f
+    SELECT timestamp_utc, hour, day_of_week, is_weekend, {sql_round(_MARKET_DOUBLES + ['consumo_next_hour'], 8)}, process_date FROM f
     WHERE consumo_lag_24h IS NOT NULL AND rolling_avg_consumo_24h IS NOT NULL AND rolling_avg_price_24h IS NOT NULL AND price_lag_1h IS NOT NULL AND consumo_next_hour IS NOT NULL"""
 )
 def gold_load_features_hourly(t):
-    return rounded(G.gold_load_features_hourly(_market(t)))
+    return rounded(G.gold_load_features_hourly(_market(t)), digits=8)
 
 
 def _weather(t):

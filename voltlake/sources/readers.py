@@ -45,10 +45,10 @@ def require_rows(df: DataFrame, dataset: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
     """Comma-separated file with a header, every column text, names normalised.
 
-    `positions` adds `source_file_name` and `row_pos` (see `with_row_position`).
+    `positions` adds `source_file_name` and `row_pos` (see `with_source_order`).
     """
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return with_row_position(raw, normalise_names) if positions else normalise_names(raw)
+    return normalise_names(with_source_order(raw)) if positions else normalise_names(raw)
 
 
 def read_text_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -62,7 +62,7 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def _cells(line: Column) -> Column:
     """Cells of a ";" line, unquoted and trimmed; lines without quotes take a plain split."""
-    plain = F.transform(F.split(line, ";"), F.trim)
+    plain = F.transform(F.split(line, ";"), lambda c: F.trim(c))
     quoted = F.transform(
         F.split(line, _SEMICOLON),
         lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))),
@@ -70,12 +70,6 @@ def _cells(line: Column) -> Column:
     return F.when(line.contains('"'), quoted).otherwise(plain)
 
 
-def _positioned_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of every file with the file name and the 1-based line number within the file."""
-    lines = with_row_position(spark.read.text(path), keep_path=True)
-    return lines.withColumn("value", F.replace(F.col("value"), F.lit(_BOM), F.lit("")))
-
-
 def read_price_csv(
     spark: SparkSession,
     path: str,
@@ -88,32 +82,32 @@ def read_price_csv(
     with `skip_lines` it is the line after that many preamble lines. Lines up to the header, blank lines
     and lines too short to reach a wanted column are skipped. Raises when a file has no header.
     """
-    lines = _positioned_lines(spark, path).withColumn("cells", _cells(F.col("value")))
-    names = F.transform(F.col("cells"), F.lower)
-    is_header = (
-        F.col("row_pos") == skip_lines + 1
-        if skip_lines is not None
-        else F.forall(F.array(*[F.lit(c) for c in columns]), lambda c: F.array_contains(names, c))
+    text = spark.read.text(path)
+    lines = with_source_order(text.withColumn("_file", F.col("_metadata.file_path")))
+    lines = lines.withColumn("cells", _cells(F.replace(F.col("value"), F.lit(_BOM), F.lit(""))))
+    names = F.transform(F.col("cells"), lambda c: F.lower(c))
+    if skip_lines is None:
+        wanted = F.array(*[F.lit(c) for c in columns])
+        candidate = F.when(F.size(F.array_intersect(names, wanted)) == len(columns), F.col("row_pos"))
+    else:
+        # A file's first lines are read by one task, so their positions are consecutive.
+        starts = lines.groupBy("_file").agg((F.min("row_pos") + skip_lines).alias("_header_at"))
+        lines = lines.join(_per_file(starts, text), "_file")
+        candidate = F.when(F.col("row_pos") == F.col("_header_at"), F.col("row_pos"))
+    headers = lines.groupBy("_file").agg(
+        F.min(candidate).alias("_header_pos"), F.min_by(names, candidate).alias("_header")
     )
-    # One row per file, so the join below is with a table as small as the file listing.
-    headers = (
-        lines.groupBy("_file")
-        .agg(F.min_by(F.when(is_header, names), F.when(is_header, F.col("row_pos"))).alias("_header"),
-             F.min(F.when(is_header, F.col("row_pos"))).alias("_header_pos"))
-    )
-    index = {c: F.array_position(F.col("_header"), c) for c in columns}
-    absent = F.col("_header").isNull() | F.least(*[F.coalesce(i, F.lit(0)) for i in index.values()]).eqNullSafe(0)
+    index = {c: F.coalesce(F.array_position(F.col("_header"), c), F.lit(0)).cast("int") for c in columns}
+    error = F.raise_error(F.concat(F.lit("no header line in "), F.col("_file")))
     headers = headers.select(
         "_file",
-        "_header_pos",
-        *[i.cast("int").alias(f"_at_{c}") for c, i in index.items()],
-        F.when(absent, F.raise_error(F.concat(F.lit("no header line in "), F.col("_file"))))
-        .otherwise(F.lit(True)).cast("boolean").alias("_ok"),
+        *[i.alias(f"_at_{c}") for c, i in index.items()],
+        F.when(F.least(*index.values()) > 0, F.col("_header_pos")).otherwise(error.cast("long")).alias("_header_pos"),
     )
     last = F.greatest(*[F.col(f"_at_{c}") for c in columns])
     return (
-        lines.join(headers, "_file")
-        .where(F.col("_ok") & (F.col("row_pos") > F.col("_header_pos")) & (F.size("cells") >= last))
+        lines.join(_per_file(headers, text), "_file")
+        .where((F.col("row_pos") > F.col("_header_pos")) & (F.size("cells") >= last))
         .select(
             *[F.get(F.col("cells"), F.col(f"_at_{c}") - 1).alias(c) for c in columns],
             "source_file_name",
@@ -122,13 +116,31 @@ def read_price_csv(
     )
 
 
-def with_row_position(scan: DataFrame, rename=None, keep_path: bool = False) -> DataFrame:
-    """Add `source_file_name` and `row_pos`, the 1-based row number within the source file.
+# A table with one row per source file is broadcast up to this many files.
+BROADCAST_FILES = 100_000
+
+
+def _per_file(table: DataFrame, scan: DataFrame) -> DataFrame:
+    return F.broadcast(table) if len(scan.inputFiles()) <= BROADCAST_FILES else table
+
+
+def with_source_order(scan: DataFrame) -> DataFrame:
+    """Add `source_file_name` and `row_pos`, which orders the rows of a file as the file does.
+
+    Must be applied to the scan itself. Nothing is shuffled: blocks of one file are handed to tasks in
+    file order, so the task-local row ids keep that order.
+    """
+    return scan.select(
+        "*", F.col("_metadata.file_name").alias("source_file_name"), F.monotonically_increasing_id().alias("row_pos")
+    )
+
+
+def with_row_number(scan: DataFrame) -> DataFrame:
+    """Add `source_file_name` and `row_num`, the 1-based row number within the source file.
 
-    Rows of one file block stay in order inside a task, so a row's number is its distance from the
-    block's first row plus the rows in earlier blocks of its file. Only the per-block counts are shuffled.
+    A row's number is its distance from its block's first row plus the rows in earlier blocks of the
+    file; the block counts are joined back, so use it only where the dense number is wanted.
     """
-    names = scan.columns
     tagged = scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
@@ -141,24 +153,13 @@ def with_row_position(scan: DataFrame, rename=None, keep_path: bool = False) ->
         .agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(in_file), F.lit(0)))
     )
-    numbered = tagged.join(blocks, ["_file", "_block"]).withColumn(
-        "row_pos", F.col("_before") + F.col("_id") - F.col("_first") + 1
-    )
-    data = numbered.select(*[F.col(f"`{c}`") for c in names])
-    renamed = rename(data).columns if rename else data.columns
-    return numbered.select(
-        *[F.col(f"`{old}`").alias(new) for old, new in zip(names, renamed)],
-        "source_file_name",
-        "row_pos",
-        *(["_file"] if keep_path else []),
-    )
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return tagged.join(blocks, ["_file", "_block"]).select(*scan.columns, "source_file_name", number.alias("row_num"))
 
 
 def source_position(df: DataFrame) -> Column:
-    """Place of a row in its source: file and row number where known."""
-    if "row_pos" not in df.columns:
-        return F.monotonically_increasing_id()
-    return F.struct("source_file_name", "row_pos") if "source_file_name" in df.columns else F.col("row_pos")
+    """Place of a row in its source."""
+    return F.col("row_pos") if "row_pos" in df.columns else F.monotonically_increasing_id()
 
 
 def with_lineage(
