@@ -60,12 +60,14 @@ def run_balance(spark: SparkSession, base: str, run_id: str, as_of: datetime) ->
 def backfill_balance(spark: SparkSession, path: str, repeats: int = 1) -> None:
     """Append the missing hours; a further repeat finds none."""
     for _ in range(repeats):
-        append_new(with_year(backfill_missing_hours(spark.read.parquet(path).drop("year"))), path, ["timestamp_utc"])
+        filled = backfill_missing_hours(spark.read.parquet(path).drop("year"))
+        append_new(with_year(filled), path, ["timestamp_utc"], ["year"])
 
 
 def extend_balance(spark: SparkSession, path: str, as_of: datetime) -> None:
     """Append projected hours up to `as_of`."""
-    append_new(with_year(project_forward(spark.read.parquet(path).drop("year"), as_of)), path, ["timestamp_utc"])
+    projected = project_forward(spark.read.parquet(path).drop("year"), as_of)
+    append_new(with_year(projected), path, ["timestamp_utc"], ["year"])
 
 
 def run_market(spark: SparkSession, base: str, run_id: str, as_of: datetime, source_tz: str = "Europe/Lisbon") -> str:

@@ -41,11 +41,15 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     )
 
 
-def append_new(df: DataFrame, path: str, key: Sequence[str]) -> None:
-    """Append the rows of `df` whose key is not in the table yet; a second run adds nothing."""
+def append_new(df: DataFrame, path: str, key: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    """Append the rows of `df` whose key is not in the table yet; a second run adds nothing.
+
+    `partition_by` must be the table's own partitioning.
+    """
     present = df.sparkSession.read.parquet(path).select(*key)
     new = df.join(present, list(key), "left_anti").select(*df.columns)
-    new.write.mode("append").parquet(path)
+    writer = new.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def with_year(df: DataFrame, ts: str = "timestamp_utc", month: bool = False) -> DataFrame:
