@@ -83,9 +83,9 @@ GOLD_OUT = f"timestamp_utc, {sql_round(MEASURES)}, {', '.join(FLAGS)}"
 
 
 def price_hourly(t: Tables) -> DataFrame:
-    """Hourly price: the mean of the `error` readings."""
+    """Hourly price: the last `error` reading of the hour."""
     e = t.events.where("event_type = 'error'")
-    return e.groupBy(hour_bucket(F.col("ts")).alias("timestamp_utc")).agg(F.avg("value").alias("preco_eur_mwh"))
+    return e.groupBy(hour_bucket(F.col("ts")).alias("timestamp_utc")).agg(F.max_by("value", "ts").alias("preco_eur_mwh"))
 
 
 def consumption_mwh(t: Tables) -> DataFrame:
@@ -101,7 +101,7 @@ def cost(t: Tables) -> DataFrame:
 COST = """
 k_c AS (SELECT date_trunc('hour', ts) AS timestamp_utc, sum(value) * 0.25 AS consumo_mwh
         FROM events WHERE event_type = 'view' GROUP BY 1),
-k_p AS (SELECT date_trunc('hour', ts) AS timestamp_utc, avg(value) AS preco_eur_mwh
+k_p AS (SELECT date_trunc('hour', ts) AS timestamp_utc, arg_max(value, ts) AS preco_eur_mwh
         FROM events WHERE event_type = 'error' GROUP BY 1),
 cost AS (SELECT c.timestamp_utc, consumo_mwh, preco_eur_mwh FROM k_c c JOIN k_p p ON c.timestamp_utc = p.timestamp_utc)"""
 

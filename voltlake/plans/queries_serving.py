@@ -18,7 +18,7 @@ from .inputs import (
     COST, GOLD, GOLD_OUT, GOLD_S, MEASURES, RAW_PRICE, RAW_READINGS, SERIES, balance, balance_by_series, consumption_mwh, cost,
     price_hourly, raw_price, raw_readings, sql_round,
 )
-from .queries_tables import _TRAINING_SQL, _TRAINING_WHERE, BUCKET, INGEST, RUN, _ranked_sql
+from .queries_tables import _PROJECT, _TRAINING_SQL, _TRAINING_WHERE, BUCKET, INGEST, PROJECT_AS_OF, RUN, _ranked_sql
 from .registry import query, rounded
 
 _ENERGY = ["consumo_total_kwh", "producao_total_kwh", "producao_dgm_kwh", "producao_pre_kwh", "saldo_kwh"]
@@ -113,29 +113,29 @@ def series_ends(t):
 def _cost_rollup_sql(fmt: str) -> str:
     return f"""WITH {COST}, r AS (SELECT strftime(timestamp_utc, '{fmt}') AS periodo, sum(consumo_mwh) AS consumo_mwh, sum(consumo_mwh * preco_eur_mwh) AS custo,
       avg(preco_eur_mwh) AS simples, count(*) AS leituras FROM cost GROUP BY 1)
-    SELECT periodo, round(consumo_mwh, 4) + 0.0 AS consumo_mwh, round(custo, 4) + 0.0 AS custo_estimado_eur, round(simples, 4) + 0.0 AS preco_medio_simples_eur_mwh,
-      round(CASE WHEN consumo_mwh <> 0 THEN custo / consumo_mwh ELSE 0 END, 4) + 0.0 AS preco_medio_ponderado_eur_mwh, leituras FROM r"""
+    SELECT periodo, round(consumo_mwh, 6) + 0.0 AS consumo_mwh, round(custo, 6) + 0.0 AS custo_estimado_eur, round(simples, 6) + 0.0 AS preco_medio_simples_eur_mwh,
+      round(CASE WHEN consumo_mwh <> 0 THEN custo / consumo_mwh ELSE 0 END, 6) + 0.0 AS preco_medio_ponderado_eur_mwh, leituras FROM r"""
 
 
 @query(_cost_rollup_sql("%Y-%m-%d"))
 def cost_rollup_daily(t):
-    return rounded(S.cost_rollup(cost(t), "day"), digits=4)
+    return rounded(S.cost_rollup(cost(t), "day"), digits=6)
 
 
 @query(_cost_rollup_sql("%Y-%m"))
 def cost_rollup_monthly(t):
-    return rounded(S.cost_rollup(cost(t), "month"), digits=4)
+    return rounded(S.cost_rollup(cost(t), "month"), digits=6)
 
 
 @query(
-    f"""WITH {COST} SELECT count(*) AS registos, min(timestamp_utc) AS inicio, max(timestamp_utc) AS fim, round(sum(consumo_mwh), 4) + 0.0 AS consumo_total_mwh,
-      round(sum(consumo_mwh * preco_eur_mwh), 4) + 0.0 AS custo_estimado_total_eur, round(avg(preco_eur_mwh), 4) + 0.0 AS preco_medio_simples_eur_mwh,
-      round(sum(consumo_mwh * preco_eur_mwh) / sum(consumo_mwh), 4) + 0.0 AS preco_medio_ponderado_eur_mwh,
-      round(arg_max(consumo_mwh, timestamp_utc), 4) + 0.0 AS ultimo_consumo_mwh, round(arg_max(preco_eur_mwh, timestamp_utc), 4) + 0.0 AS ultimo_preco_eur_mwh,
-      round(arg_max(consumo_mwh * preco_eur_mwh, timestamp_utc), 4) + 0.0 AS ultimo_custo_estimado_eur FROM cost"""
+    f"""WITH {COST} SELECT count(*) AS registos, min(timestamp_utc) AS inicio, max(timestamp_utc) AS fim, round(sum(consumo_mwh), 6) + 0.0 AS consumo_total_mwh,
+      round(sum(consumo_mwh * preco_eur_mwh), 6) + 0.0 AS custo_estimado_total_eur, round(avg(preco_eur_mwh), 6) + 0.0 AS preco_medio_simples_eur_mwh,
+      round(sum(consumo_mwh * preco_eur_mwh) / sum(consumo_mwh), 6) + 0.0 AS preco_medio_ponderado_eur_mwh,
+      round(arg_max(consumo_mwh, timestamp_utc), 6) + 0.0 AS ultimo_consumo_mwh, round(arg_max(preco_eur_mwh, timestamp_utc), 6) + 0.0 AS ultimo_preco_eur_mwh,
+      round(arg_max(consumo_mwh * preco_eur_mwh, timestamp_utc), 6) + 0.0 AS ultimo_custo_estimado_eur FROM cost"""
 )
 def cost_overview(t):
-    return rounded(S.cost_overview(cost(t)), digits=4)
+    return rounded(S.cost_overview(cost(t)), digits=6)
 
 
 def _ends_sql(name: str, table: str, value: str) -> str:
@@ -247,22 +247,21 @@ def largest_order_imbalances(t):
     return rounded(rounded(out, ["consumo_total_kwh", "producao_total_kwh", "saldo_kwh"], 3), ["ratio_producao_consumo"])
 
 
-_PROJECTED_AS_OF = datetime(2024, 2, 3, 5)
+_SYNTHESIS_FLAGS = ("flag_defice", "flag_excedente", "flag_missing_source")
 
 
 @query(
-    """SELECT TIMESTAMP '2024-01-31 00:00:00' AS min_inserted_ts, TIMESTAMP '2024-02-03 05:00:00' AS max_inserted_ts,
-      (SELECT CAST(date_sub('hour', max(date_trunc('hour', ts)), TIMESTAMP '2024-02-03 05:00:00') AS BIGINT) FROM events WHERE event_type IN ('view', 'purchase', 'signup')) AS rows_inserted,
-      0 AS zero_or_null_cells, 0 AS null_flags"""
+    f"""WITH {GOLD}, gold_s AS (SELECT 0 AS series, * FROM gold), {_PROJECT},
+    whole AS (SELECT timestamp_utc, {', '.join(MEASURES)}, flag_defice, flag_excedente, flag_missing_source FROM gold
+      UNION ALL SELECT timestamp_utc, {', '.join(MEASURES)}, flag_defice, flag_excedente, flag_missing_source FROM proj)
+    SELECT min(timestamp_utc) AS min_inserted_ts, max(timestamp_utc) AS max_inserted_ts, count(*) AS rows_inserted,
+      {', '.join(f'count(*) FILTER (coalesce({c}, 0) = 0) AS zero_or_null_{c}' for c in MEASURES)},
+      {', '.join(f'count(*) FILTER ({c} IS NULL) AS null_{c}' for c in _SYNTHESIS_FLAGS)}
+    FROM whole WHERE flag_missing_source AND timestamp_utc >= (SELECT max(timestamp_utc) + INTERVAL 1 HOUR FROM whole WHERE NOT flag_missing_source)"""
 )
 def synthesis_coverage(t):
     gold = balance(t)
-    whole = gold.unionByName(T.project_forward(gold, _PROJECTED_AS_OF))
-    r = Q.synthesis_coverage(whole)
-    zero = reduce(lambda a, b: a + b, [F.col(c) for c in r.columns if c.startswith("zero_or_null_")])
-    null = reduce(lambda a, b: a + b, [F.col(c) for c in r.columns if c.startswith("null_")])
-    return r.select("min_inserted_ts", "max_inserted_ts", "rows_inserted",
-                    zero.cast("int").alias("zero_or_null_cells"), null.cast("int").alias("null_flags"))
+    return Q.synthesis_coverage(gold.unionByName(T.project_forward(gold, PROJECT_AS_OF)))
 
 
 # ---- checks ----
@@ -351,7 +350,7 @@ def check_source_rows(t):
 
 
 @query(
-    f"""WITH {COST} {_check_sql('unique_left', '0', 0)} UNION ALL {_check_sql('unique_right', '0', 0)}
+    f"""WITH {COST} {_check_sql('unique_left', '(SELECT count(*) FROM (SELECT 1 FROM k_c GROUP BY timestamp_utc HAVING count(*) > 1))', 0)} UNION ALL {_check_sql('unique_right', '(SELECT count(*) FROM (SELECT 1 FROM k_p GROUP BY timestamp_utc HAVING count(*) > 1))', 0)}
     UNION ALL {_check_sql('unique_joined', '(SELECT count(*) FROM (SELECT 1 FROM cost GROUP BY timestamp_utc HAVING count(*) > 1))', 0)}"""
 )
 def check_one_to_one_join(t):

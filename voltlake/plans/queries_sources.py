@@ -190,7 +190,10 @@ def _write_raw_readings(t, base: str) -> None:
         rows.write.option("header", True).csv(f"{base}/raw/{kind}")
 
 
-@query(f"WITH {GOLD} SELECT {GOLD_OUT} FROM gold")
+@query(
+    f"""WITH {GOLD}, gold_s AS (SELECT 0 AS series, * FROM gold), {_BACKFILL}
+    SELECT {GOLD_OUT} FROM gold UNION ALL SELECT {GOLD_OUT} FROM filled"""
+)
 def medallion_balance_run(t):
     """Raw CSV to gold through written bronze and silver tables, backfilled twice."""
     base = new_folder(t.spark, "lake")

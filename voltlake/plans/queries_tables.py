@@ -477,7 +477,7 @@ def balance_with_imputed_hours(t):
     return rounded(gold.unionByName(T.backfill_missing_hours(gold, SERIES, BUCKET)), MEASURES)
 
 
-_AS_OF = datetime(2024, 2, 10, 7, 45)
+PROJECT_AS_OF = datetime(2024, 2, 10, 7, 45)
 
 
 
@@ -509,7 +509,7 @@ proj AS (SELECT *, producao_total_kwh - consumo_total_kwh AS saldo_kwh, producao
 
 @query(f"WITH {GOLD_S}, {_PROJECT} SELECT series, {GOLD_OUT} FROM proj")
 def project_forward(t):
-    return rounded(T.project_forward(balance_by_series(t), _AS_OF, SERIES), MEASURES)
+    return rounded(T.project_forward(balance_by_series(t), PROJECT_AS_OF, SERIES), MEASURES)
 
 
 # ---- market, features, cost, weather, trend ----
