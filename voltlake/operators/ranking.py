@@ -73,8 +73,8 @@ def _rank_in_window(df: DataFrame, key: str, order: list[Column], known: Column,
     group = W.partitionBy(key, lane)
     return df.withColumns(
         {
-            "_count": F.when(known, F.count(F.lit(1)).over(group).cast("int")),
-            "_rank": F.when(known, F.row_number().over(group.orderBy(*order))),
+            "_count": F.when(known, F.count(F.lit(1)).over(group)),
+            "_rank": F.when(known, F.row_number().over(group.orderBy(*order)).cast("long")),
         }
     )
 
@@ -105,8 +105,8 @@ def _rank_over_ranges(
     joined = local.join(shifts, _same_key(local, shifts, [key, "_range"]))
     return joined.select(
         *[local[c] for c in df.columns],
-        F.col("_count").cast("int").alias("_count"),
-        (F.col("_before") + F.col("_local")).cast("int").alias("_rank"),
+        "_count",
+        (F.col("_before") + F.col("_local")).alias("_rank"),
     )
 
 
@@ -116,12 +116,10 @@ def duplicate_counts(df: DataFrame, key: str, count_col: str = "duplicate_count"
     The counts are combined map-side and joined back, so a frequent key is split by the skew join
     instead of being gathered in one window partition.
     """
-    counts = (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).cast("int").alias(count_col))
-    )
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count_col))
     # Null keys match nothing; a left join would send them all to one partition, so they pass by.
     keyed = df.where(F.col(key).isNotNull()).join(counts, key)
-    unkeyed = df.where(F.col(key).isNull()).withColumn(count_col, F.lit(None).cast("int"))
+    unkeyed = df.where(F.col(key).isNull()).withColumn(count_col, F.lit(None).cast("long"))
     return keyed.select(*df.columns, count_col).unionByName(unkeyed)
 
 

@@ -69,7 +69,7 @@ def hourly_with_controls(
             F.sum(value).alias(out),
             F.min("_source_ts").alias("source_min_ts"),
             F.max("_source_ts").alias("source_max_ts"),
-            F.count(F.lit(1)).cast("int").alias("source_rows"),
+            F.count(F.lit(1)).alias("source_rows"),
         )
     )
 

@@ -86,8 +86,8 @@ def first_rows_preview(t):
 
 
 @query(
-    f"""WITH {RAW_READINGS}, {_ranked_sql('datahora', True)} SELECT timestamp_utc, CAST(duplicate_count AS INTEGER) AS duplicate_count,
-      CAST(duplicate_rank AS INTEGER) AS duplicate_rank, coalesce(total, -1) AS consumo_total_kwh FROM ranked
+    f"""WITH {RAW_READINGS}, {_ranked_sql('datahora', True)} SELECT timestamp_utc, CAST(duplicate_count AS BIGINT) AS duplicate_count,
+      CAST(duplicate_rank AS BIGINT) AS duplicate_rank, coalesce(total, -1) AS consumo_total_kwh FROM ranked
       WHERE duplicate_count > 1 AND timestamp_utc IS NOT NULL ORDER BY timestamp_utc, duplicate_rank LIMIT 20"""
 )
 def flagged_duplicates_preview(t):

@@ -78,7 +78,7 @@ def _ranked_sql(key: str, null_is_group: bool) -> str:
 _BRONZE_OUT = """coalesce(datahora, '') AS datahora_raw, timestamp_utc, CAST(dia AS INTEGER) AS dia, CAST(mes AS INTEGER) AS mes,
   CAST(ano AS INTEGER) AS ano, data_local, hora_local_raw, bt AS consumo_bt_kwh, mt AS consumo_mt_kwh, at_ AS consumo_at_kwh,
   coalesce(mat, -1) AS consumo_mat_kwh, coalesce(total, -1) AS consumo_total_kwh,
-  CAST(coalesce(duplicate_count, 0) AS INTEGER) AS duplicate_count, CAST(coalesce(duplicate_rank, 0) AS INTEGER) AS duplicate_rank,
+  CAST(coalesce(duplicate_count, 0) AS BIGINT) AS duplicate_count, CAST(coalesce(duplicate_rank, 0) AS BIGINT) AS duplicate_rank,
   coalesce(duplicate_count > 1, false) AS flag_duplicate_timestamp, timestamp_utc IS NULL AS flag_bad_timestamp,
   data_local IS NULL AS flag_bad_date, total IS NULL AS flag_bad_total"""
 
@@ -134,7 +134,7 @@ def _bronze_price(t):
 
 @query(
     f"""WITH {_BRONZE_PRICE} SELECT strftime(day, '%d/%m/%Y') AS date_raw, day AS delivery_date_local, hour AS market_hour, timestamp_utc,
-    price AS preco_pt_eur_mwh, CAST(duplicate_count AS INTEGER) AS duplicate_count, CAST(duplicate_rank AS INTEGER) AS duplicate_rank,
+    price AS preco_pt_eur_mwh, CAST(duplicate_count AS BIGINT) AS duplicate_count, CAST(duplicate_rank AS BIGINT) AS duplicate_rank,
     duplicate_count > 1 AS flag_duplicate_timestamp, false AS flag_bad_hour, 'UTC' AS market_timezone_assumed FROM bpr"""
 )
 def bronze_price(t):
@@ -162,23 +162,23 @@ def _keyed(t):
     )
 
 
-@query(f"""WITH {_KEYED} SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id, day) AS INTEGER) AS duplicate_count FROM x""")
+@query(f"""WITH {_KEYED} SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id, day) AS BIGINT) AS duplicate_count FROM x""")
 def duplicate_count_per_key(t):
     return duplicate_counts(_keyed(t), "key").select("event_id", "duplicate_count")
 
 
 @query(
     f"""WITH {_KEYED} SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, day ORDER BY
-      CASE WHEN coalesce(v, 0) = 0 THEN 1 ELSE 0 END, v DESC NULLS LAST, event_id) AS INTEGER) AS duplicate_rank FROM x"""
+      CASE WHEN coalesce(v, 0) = 0 THEN 1 ELSE 0 END, v DESC NULLS LAST, event_id) AS BIGINT) AS duplicate_rank FROM x"""
 )
 def duplicate_rank_per_key(t):
     return rank_duplicates(_keyed(t), "key", "v", "event_id").select("event_id", "duplicate_rank")
 
 
 @query(
-    f"""WITH {_KEYED} SELECT event_id, event_type, CAST(count(*) OVER (PARTITION BY event_type) AS INTEGER) AS duplicate_count,
+    f"""WITH {_KEYED} SELECT event_id, event_type, CAST(count(*) OVER (PARTITION BY event_type) AS BIGINT) AS duplicate_count,
       CAST(row_number() OVER (PARTITION BY event_type ORDER BY
-      CASE WHEN coalesce(v, 0) = 0 THEN 1 ELSE 0 END, v DESC NULLS LAST, event_id) AS INTEGER) AS duplicate_rank FROM x"""
+      CASE WHEN coalesce(v, 0) = 0 THEN 1 ELSE 0 END, v DESC NULLS LAST, event_id) AS BIGINT) AS duplicate_rank FROM x"""
 )
 def duplicate_rank_of_hot_keys(t):
     """Five keys hold all rows; each is ranked over several tasks."""
@@ -205,8 +205,8 @@ def silver_pick(t):
           FROM ranked WHERE timestamp_utc IS NOT NULL AND total IS NOT NULL)
     SELECT timestamp_utc, CAST(dia AS INTEGER) AS dia, data_local, round(total, 6) + 0.0 AS consumo_total_kwh,
       round(bt + mt + at_, 6) + 0.0 AS consumo_componentes_kwh, round(abs(total - (bt + mt + at_)), 6) + 0.0 AS diff_componentes_total_kwh,
-      abs(total - (bt + mt + at_)) > 0.001 AS flag_component_sum_mismatch, CAST(duplicate_count AS INTEGER) AS duplicate_count,
-      CAST(duplicate_rank AS INTEGER) AS bronze_duplicate_rank, total = 0 AS flag_zero_row, datahora AS datahora_raw
+      abs(total - (bt + mt + at_)) > 0.001 AS flag_component_sum_mismatch, CAST(duplicate_count AS BIGINT) AS duplicate_count,
+      CAST(duplicate_rank AS BIGINT) AS bronze_duplicate_rank, total = 0 AS flag_zero_row, datahora AS datahora_raw
     FROM s WHERE pick = 1"""
 )
 def silver_quarter_hour(t):
@@ -219,7 +219,7 @@ def silver_quarter_hour(t):
 
 @query(
     """SELECT date_trunc('hour', ts) AS timestamp_utc, round(sum(value), 6) + 0.0 AS consumo_total, min(ts) AS source_min_ts,
-    max(ts) AS source_max_ts, CAST(count(*) AS INTEGER) AS source_rows FROM events GROUP BY 1"""
+    max(ts) AS source_max_ts, CAST(count(*) AS BIGINT) AS source_rows FROM events GROUP BY 1"""
 )
 def hourly_sum_with_controls(t):
     return rounded(hourly_with_controls(t.events, "value", "consumo_total", ts="ts").withColumnRenamed("ts", "timestamp_utc"))
@@ -229,7 +229,7 @@ def hourly_sum_with_controls(t):
     f"""WITH {RAW_READINGS}, {_ranked_sql('timestamp_utc', False)}
     SELECT date_trunc('hour', timestamp_utc) AS timestamp_utc, CAST(year(any_value(timestamp_utc)) AS INTEGER) AS year,
     CAST(day(any_value(timestamp_utc)) AS INTEGER) AS day, CAST(hour(any_value(timestamp_utc)) AS INTEGER) AS hour,
-    round(sum(total), 6) + 0.0 AS consumo_total, CAST(count(*) AS INTEGER) AS source_rows, DATE '2024-02-01' AS process_date
+    round(sum(total), 6) + 0.0 AS consumo_total, CAST(count(*) AS BIGINT) AS source_rows, DATE '2024-02-01' AS process_date
     FROM ranked WHERE duplicate_rank = 1 AND total IS NOT NULL GROUP BY 1"""
 )
 def silver_consumption_hourly(t):

@@ -40,7 +40,7 @@ _BRONZE_HEAD = [
     (STRING, "hora_local_raw"),
 ]
 _BRONZE_TAIL = [
-    (INT, "duplicate_count duplicate_rank"),
+    (LONG, "duplicate_count duplicate_rank"),
     (BOOL, "flag_duplicate_timestamp flag_bad_timestamp flag_bad_date flag_bad_total flag_zero_row"),
 ]
 _CONSUMPTION_MEASURES = (DOUBLE, "consumo_bt_kwh consumo_mt_kwh consumo_at_kwh consumo_mat_kwh consumo_total_kwh")
@@ -56,7 +56,7 @@ BRONZE_PRICE = _schema(
     (INT, "market_hour"),
     (TS, "timestamp_utc"),
     (DOUBLE, "preco_pt_eur_mwh preco_es_eur_mwh"),
-    (INT, "duplicate_count duplicate_rank"),
+    (LONG, "duplicate_count duplicate_rank"),
     (
         BOOL,
         "flag_duplicate_timestamp flag_bad_timestamp flag_bad_date flag_bad_hour"
