@@ -121,6 +121,14 @@ def predict_next_hour(model: PipelineModel, gold: DataFrame) -> DataFrame:
     )
 
 
+def _settled(few_rows: DataFrame, cached: DataFrame) -> DataFrame:
+    """A metrics table of a few rows, computed now so that the cached training table can be released."""
+    try:
+        return few_rows.sparkSession.createDataFrame(few_rows.collect(), few_rows.schema)
+    finally:
+        cached.unpersist()
+
+
 def cross_validate(
     df: DataFrame, features: Sequence[str], label: str, row_id: str, k: int = 5, seed: int = 42,
     c: float = 1.0, max_iter: int = 1000,
@@ -141,7 +149,7 @@ def cross_validate(
 
     with ThreadPool(CONCURRENCY) as pool:
         predictions = reduce(DataFrame.unionByName, pool.map(predict, sorted(sizes)))
-    return evaluate_binary(predictions, label, ["fold"])
+    return _settled(evaluate_binary(predictions, label, ["fold"]), folded)
 
 
 def grid_search_trees(
@@ -164,7 +172,8 @@ def grid_search_trees(
         [(i, g["criterion"], g["max_depth"], g["min_samples_split"]) for i, g in enumerate(grid)],
         "config int, criterion string, max_depth int, min_samples_split int",
     )
-    return measured.join(F.broadcast(configs), "config").drop("config")  # one row per configuration
+    named = measured.join(F.broadcast(configs), "config").drop("config")  # one row per configuration
+    return _settled(named, split)
 
 
 def refit_best_tree(

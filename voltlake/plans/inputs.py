@@ -163,7 +163,7 @@ r AS (
          CASE WHEN event_id % 23 = 0 OR event_id % 19 = 0 THEN NULL
               ELSE CAST(ts AS DATE) + INTERVAL 1 HOUR * (CAST(user_id % 24 AS INTEGER) - 1) END AS timestamp_utc,
          day(ts) AS dia, month(ts) AS mes, year(ts) AS ano, CAST(ts AS DATE) AS data_local,
-         strftime(ts, '%H:%M') AS hora_local_raw, value AS bt, value AS mt, 0.0 AS at_, CAST(NULL AS DOUBLE) AS mat,
+         strftime(ts, '%H:%M') AS hora_local_raw, value AS bt, value AS mt, CAST(0 AS DOUBLE) AS at_, CAST(NULL AS DOUBLE) AS mat,
          CASE WHEN event_id % 10 = 0 THEN 0.0 WHEN event_id % 17 = 0 THEN NULL ELSE value END AS total
   FROM events)"""
 

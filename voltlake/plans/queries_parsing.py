@@ -308,7 +308,7 @@ def alias_resolution(t):
 
 @query(
     f"""WITH {GOLD} SELECT strftime(timestamp_utc, '%Y-%m-%d') AS periodo, {sql_round(['consumo_total', 'producao_total', 'producao_pre', 'producao_dgm', 'saldo'])},
-      round(CASE WHEN consumo_total > 0 THEN producao_total / consumo_total END, 6) + 0.0 AS ratio_producao_consumo, 0.0 AS defice_horas, 0.0 AS excedente_horas, CAST(n AS DOUBLE) AS leituras
+      round(CASE WHEN consumo_total > 0 THEN producao_total / consumo_total END, 6) + 0.0 AS ratio_producao_consumo, CAST(0 AS DOUBLE) AS defice_horas, CAST(0 AS DOUBLE) AS excedente_horas, CAST(n AS DOUBLE) AS leituras
     FROM (SELECT date_trunc('day', timestamp_utc) AS timestamp_utc, coalesce(sum(consumo_total_kwh), 0) AS consumo_total,
       coalesce(sum(producao_total_kwh), 0) AS producao_total, coalesce(sum(producao_pre_kwh), 0) AS producao_pre,
       coalesce(sum(producao_dgm_kwh), 0) AS producao_dgm, coalesce(sum(saldo_kwh), 0) AS saldo, count(*) AS n FROM gold GROUP BY 1)"""

@@ -342,7 +342,7 @@ def check_join_rate(t):
 
 
 @query(
-    """SELECT 'incomplete_hours' AS "check", CAST(count(*) AS DOUBLE) AS observed, 0.0 AS threshold, count(*) <= 0 AS passed FROM
+    """SELECT 'incomplete_hours' AS "check", CAST(count(*) AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS threshold, count(*) <= 0 AS passed FROM
     (SELECT date_trunc('hour', ts), count(*) AS n FROM events GROUP BY 1) WHERE n <> 4"""
 )
 def check_source_rows(t):

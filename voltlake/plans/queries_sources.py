@@ -145,11 +145,6 @@ def incremental_partition_overwrite(t):
     return t.spark.read.parquet(path).groupBy("process_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EXPORT = {
-    "consumo_total": "consumo_total_kwh", "producao_total": "producao_total_kwh", "saldo": "saldo_kwh",
-}
-
-
 @query(
     f"""SELECT '"' || periodo || '"' AS primeira_celula, leituras, defice_horas FROM ({_rollup_sql('day', '%Y-%m-%d')})
     UNION ALL SELECT '"periodo"', NULL, NULL"""

@@ -27,13 +27,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions present in `df`; rows are clustered so each task writes few files.
+    """Replace only the partitions present in `df`.
 
-    The extra `_spread` hash keeps one large partition value from landing in a single task.
+    The rebalance clusters rows by partition value, so each task writes few files, and lets adaptive
+    execution split a value that holds most rows over as many tasks as its size needs.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(32))
     (
-        df.repartition(*[F.col(c) for c in partition_by], spread)
+        df.hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
