@@ -22,17 +22,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.train(docs), LEAST_SHARE)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` less the ids of `gone`, which are written first: where they are few, Spark then sees it and spares the
+    texts a shuffle. An id that several rows bear goes with all of them."""
+    gone = staged(gone.select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id stays."""
-    gone = exact_dedup.exact_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, exact_dedup.exact_duplicates(docs).where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by sets of five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays."""
     joined = set_join.linked_components(docs, num=4, den=5, width=5)
-    gone = joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, joined.where(F.col("doc_id") != F.col("component_id")))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

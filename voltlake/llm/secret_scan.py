@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import decode, documents_of, prepare
+from .common import decode, documents_of, prepare, staged
 
 LABELLED = 5000  # labelled findings per label that the forest is fitted on
 TREES, DEPTH, LEAF = 40, 8, 3
@@ -221,7 +221,7 @@ def train(docs: DataFrame, findings: DataFrame | None = None, bound: int = LABEL
     """
     spark = prepare(docs.sparkSession)
     letters = Letters.of(docs)
-    findings = labelled_findings(docs, letters) if findings is None else findings
+    findings = staged(labelled_findings(docs, letters) if findings is None else findings, "labelled-findings")
     sample = [findings.where(F.col("label") == k).orderBy("order", "x").limit(bound).collect() for k in (0, 1)]
     if not all(sample):
         return Forest(letters, [])

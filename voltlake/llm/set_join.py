@@ -1,13 +1,14 @@
 """Exact Jaccard self-join of word-shingle sets by pigeonhole over a partitioned universe.
 
 Sets of sizes lo..hi form a band. Two sets of a band with Jaccard similarity t or more differ in at most
-H = 2 * hi * (1 - t) / (1 + t) shingles, so if the universe of shingles is hashed into H + 1 segments, they agree
-wholly on one. A set is indexed by the hash of its subset in each segment of its own band and, as bands are wide
+H = 2 * hi * (1 - t) / (1 + t) shingles, so if the universe of shingles is hashed into more than H segments, they
+agree wholly on one. A set is indexed by the hash of its subset in each segment of its own band and, as bands are wide
 enough for partners to lie in the next band at most, of the band above where its size can have partners there.
 
-Allocation: agreeing on a segment counts one unit, agreeing up to one deletion two; any allocation of H + 1 units
-finds every pair. All segments start with one unit. Where sets that share a segment turn out to be unrelated and
-would cost more comparisons than entries for one-deletion neighbourhoods of other segments, those sets give the
+Allocation: agreeing on a segment counts one unit, agreeing up to one deletion two; any allocation of more units than
+a set can differ from its partners finds every pair. All segments start with one unit, and each set takes back
+those it can spare from its largest groups (`_allocate`). Where sets that share a segment turn out to be unrelated
+and would cost more comparisons than entries for one-deletion neighbourhoods of other segments, those sets give the
 costly segment nothing and cheap segments two units (`_reallocate`).
 
 Verification compares whole sets of 64-bit shingle hashes. Copies are compared as one set. In a group of sets that
@@ -25,14 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged
+from .common import documents_of, slots, staged
 from .graph import components
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+BAND_OF = "int(shiftrightunsigned(sig, 56))"
 WIDTH = 1.25  # of a band: its largest size over its smallest
 
 
@@ -70,14 +73,22 @@ class Threshold:
     def compatible(self, n: Column, m: Column) -> Column:
         return self.den * F.least(n, m) >= self.num * F.greatest(n, m)
 
-    def bands(self, n: int) -> list[tuple[int, int]]:
-        """(band, segments) that index a set of n shingles."""
+    def spare(self, hi: int) -> int:
+        """Segments beyond those the pigeonhole needs: so many of a set may be empty without being indexed."""
+        return (self.reach(hi) + 9) // 10
+
+    def segments(self, hi: int) -> int:
+        return self.reach(hi) + 1 + self.spare(hi)
+
+    def bands(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, segments, spare ones) that index a set of n shingles."""
         lo, band = 1, 0
         while (hi := max(lo, int(lo * WIDTH))) < n:
             lo, band = hi + 1, band + 1
-        out = [(band, self.reach(hi) + 1)]
+        above = max(hi + 1, int((hi + 1) * WIDTH))
+        out = [(band, self.segments(hi), self.spare(hi))]
         if self.den * n >= self.num * (hi + 1):
-            out.append((band + 1, self.reach(max(hi + 1, int((hi + 1) * WIDTH))) + 1))
+            out.append((band + 1, self.segments(above), self.spare(above)))
         return out
 
 
@@ -86,14 +97,26 @@ def _segment_bounds(s: np.ndarray, m: int) -> np.ndarray:
     return np.searchsorted((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1))
 
 
-def _signatures(s: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
-    """One hash for each segment of each band."""
+def _signatures(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each segment's subset of a set, and its size."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s * C))])
-    out = []
-    for band, m in bands:
-        at = _segment_bounds(s, m)
-        out.append(_key(sums[at[1:]] - sums[at[:-1]], band, np.arange(m, dtype=np.uint64)))
-    return np.concatenate(out)
+    at = _segment_bounds(s, m)
+    return _key(sums[at[1:]] - sums[at[:-1]], band, np.arange(m, dtype=np.uint64)), np.diff(at)
+
+
+def _index(s: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, int, int]:
+    """The hashes that index a set: of its segments that aren't empty, or of all if more are empty than are spare.
+    With them, how many are empty in its own band and in the one above.
+
+    Two sets that both leave out empty segments still agree on one that is indexed, as at most the spare ones are
+    empty in both.
+    """
+    out, empty = [np.empty(0, np.uint64)], [0, 0]
+    for k, (band, m, spare) in enumerate(threshold.bands(len(s)) if len(s) else ()):
+        sig, size = _signatures(s, band, m)
+        empty[k] = int((size == 0).sum())
+        out.append(sig if empty[k] > spare else sig[size > 0])
+    return np.concatenate(out), *empty
 
 
 def _key(sums: np.ndarray, band: int, segment: np.ndarray) -> np.ndarray:
@@ -102,41 +125,106 @@ def _key(sums: np.ndarray, band: int, segment: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(8)) | np.uint64(band << 56)
 
 
-def _sign(threshold: Threshold, width: int):
+SIGNED = "kind int, bucket int, ids binary, sigs binary, n bigint, k1 bigint, k2 bigint, e0 bigint, e1 bigint, doc_id bigint"
+MEMBER, ENTRY, SHARED = 0, 1, 2
+
+
+def _signed_rows(kind: int, **cols) -> pa.RecordBatch:
+    size = max(len(c) for c in cols.values())
+    kinds = {"bucket": pa.int32(), "ids": pa.binary(), "sigs": pa.binary()}
+    names = [c.split()[0] for c in SIGNED.split(", ")][1:]
+    out = [pa.array(cols.get(c, [None] * size), kinds.get(c, pa.int64())) for c in names]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), *out], ["kind", *names])
+
+
+def _sign(threshold: Threshold, width: int, buckets: int):
+    """Of a batch: a row per document with its size and the hash of its set, and its index entries.
+
+    Entries are packed into one row per bucket of hashes. A hash that several documents of a batch share is sent to
+    its bucket once, with the smallest document; the others are known to share it and go past the buckets.
+    """
+
     def run(batches):
         for b in batches:
-            n, k1, k2, sigs = [], [], [], []
+            ids = b.column(0).to_pylist()
+            n, k1, k2, sigs, e0, e1 = [], [], [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingle_set(raw, width)
                 n.append(len(s))
                 k1.append(mix(s * A).sum(dtype=np.uint64))
                 k2.append(mix(s * B).sum(dtype=np.uint64))
-                sigs.append(_signatures(s, threshold.bands(len(s))).view(np.int64) if len(s) else np.empty(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n", "k1", "k2", "sigs"])
+                for out, value in zip((sigs, e0, e1), _index(s, threshold), strict=True):
+                    out.append(value)
+            if not ids:
+                continue
+            signed = lambda k: np.array(k, np.uint64).view(np.int64)
+            yield _signed_rows(MEMBER, n=n, k1=signed(k1), k2=signed(k2), e0=e0, e1=e1, doc_id=ids)
+            named = [k for k, i in enumerate(ids) if i is not None]
+            sig = np.concatenate([np.empty(0, np.uint64), *(sigs[k] for k in named)])
+            doc = np.repeat(np.array([ids[k] for k in named], np.int64), [len(sigs[k]) for k in named])
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            again = np.concatenate([[False], sig[1:] == sig[:-1]]) if len(sig) else np.empty(0, bool)
+            yield _signed_rows(SHARED, k1=sig[again].view(np.int64), doc_id=doc[again])
+            own = np.concatenate([again[1:], [False]])[~again] if len(sig) else again  # others of the batch share it
+            sig, doc = sig[~again], doc[~again]
+            yield _signed_rows(SHARED, k1=sig[own].view(np.int64), doc_id=doc[own])
+            bucket = (sig % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            parts = [order[cuts[k] : cuts[k + 1]] for k in used]
+            yield _signed_rows(ENTRY, bucket=used, ids=[doc[p].tobytes() for p in parts], sigs=[sig[p].tobytes() for p in parts])
 
     return run
 
 
+def _share(batches):
+    """Of the entries of a bucket, those whose hash another batch has too; all other rows as they are."""
+    held: list[tuple[bytes, bytes]] = []
+    bucket = None
+
+    def shared():
+        sig = np.concatenate([np.frombuffer(s, np.uint64) for s, _ in held])
+        doc = np.concatenate([np.frombuffer(d, np.int64) for _, d in held])
+        order = np.argsort(sig, kind="stable")
+        sig, doc = sig[order], doc[order]
+        same = sig[1:] == sig[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return _signed_rows(SHARED, k1=sig[keep].view(np.int64), doc_id=doc[keep])
+
+    for b in batches:
+        entry = pc.equal(b.column("kind"), ENTRY)
+        yield b.filter(pc.invert(entry))
+        b = b.filter(entry)
+        for key, ids, sigs in zip(*(b.column(c).to_pylist() for c in ("bucket", "ids", "sigs")), strict=True):
+            if key != bucket and held:
+                yield shared()
+                held.clear()
+            bucket = key
+            held.append((sigs, ids))
+    if held:
+        yield shared()
+
+
 def _sets(width: int, threshold: Threshold):
-    """Whole set and, for each of its bands, the profile: 4 bytes of every segment's hash, then its size (255 at most)."""
+    """Whole set, the last 2 bytes of its hashes and, for each of its bands, the profile: 2 bytes of every segment's hash, then its size (255 at most)."""
 
     def run(batches):
         for b in batches:
-            sets, bands, profiles = [], [], []
+            sets, tokens, bands, profiles = [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingle_set(raw, width)
                 mine = threshold.bands(len(s)) if len(s) else []
                 sets.append(s.tobytes())
-                bands.append([band for band, _ in mine])
+                tokens.append(s.astype(np.uint16).tobytes())
+                bands.append([band for band, _, _ in mine])
                 profiles.append([])
-                for band, m in mine:
-                    size = np.minimum(np.diff(_segment_bounds(s, m)), 255).astype(np.uint8)
-                    profiles[-1].append(_signatures(s, [(band, m)]).astype(np.uint32).tobytes() + size.tobytes())
-            cols = [pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(profiles, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["d", "shingles", "bands", "profiles"])
+                for band, m, _ in mine:
+                    sig, size = _signatures(s, band, m)
+                    profiles[-1].append(sig.astype(np.uint16).tobytes() + np.minimum(size, 255).astype(np.uint8).tobytes())
+            cols = [pa.array(sets, pa.binary()), pa.array(tokens, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(profiles, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["d", "shingles", "tokens", "bands", "profiles"])
 
     return run
 
@@ -185,20 +273,22 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _compare(threshold: Threshold):
-    """Pairs of a group, in different components, that their profiles don't rule out.
+def _compare(threshold: Threshold, best: bool):
+    """Pairs of a group, in different components, that neither profiles nor hash ends rule out.
 
     Two segments whose hashes differ hold at least one shingle of difference, two if they are of equal size, and
-    never fewer than their sizes differ by.
+    never fewer than their sizes differ by. A shingle in both sets has its hash's end in both. With `best`, only the
+    likeliest partner of a set in each other component is returned, so that a group never returns all its pairs.
     """
 
     def run(batches):
+        seen = np.zeros(1 << 16, bool)
         for t in _runs(batches, 3):
             d, n, comp, chunk = (t.column(c).to_numpy() for c in ("d", "n", "component", "chunk"))
-            flat = [np.frombuffer(p, np.uint8) for p in t.column("profile").to_pylist()]
-            table = np.stack(flat)
-            m = table.shape[1] // 5
-            sig, size = np.ascontiguousarray(table[:, : 4 * m]).view(np.uint32), table[:, 4 * m :].astype(np.int16)
+            table = np.stack([np.frombuffer(p, np.uint8) for p in t.column("profile").to_pylist()])
+            m = table.shape[1] // 3
+            sig, size = np.ascontiguousarray(table[:, : 2 * m]).view(np.uint16), table[:, 2 * m :].astype(np.int16)
+            tokens = [np.frombuffer(x, np.uint16) for x in t.column("tokens").to_pylist()]
             i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
             left = np.flatnonzero(chunk == i)
             right = left if i == j else np.flatnonzero(chunk == j)
@@ -213,6 +303,16 @@ def _compare(threshold: Threshold):
                 gap = np.where(gap, gap, 2) * (sig[y] != sig[x])
                 reach = (n[x] + n[y]) * (threshold.den - threshold.num) // (threshold.den + threshold.num)
                 y = y[gap.sum(axis=1) <= reach]
+                if not len(y):
+                    continue
+                seen[tokens[x]] = True
+                both = np.array([np.count_nonzero(seen[tokens[k]]) for k in y])
+                seen[tokens[x]] = False
+                margin = both * (threshold.num + threshold.den) - threshold.num * (n[x] + n[y])
+                y, margin = y[margin >= 0], margin[margin >= 0]
+                if best and len(y) > 1:
+                    order = np.argsort(-margin, kind="stable")
+                    y = y[order][np.unique(comp[y[order]], return_index=True)[1]]
                 found[0].append(np.minimum(d[x], d[y]))
                 found[1].append(np.maximum(d[x], d[y]))
             if found[0]:
@@ -224,17 +324,26 @@ def _compare(threshold: Threshold):
 CHUNK = 512  # rows of a group that meet in one piece of work; larger groups are compared chunk by chunk
 
 
-def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs (a, b) from the groups of `rows` (sig, d, component) left by the profiles. Groups never meet whole in one task."""
-    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
-    rows = rows.join(sizes, "sig").withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("int"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr("int(shiftrightunsigned(sig, 56))"))
+def _different(rows: DataFrame) -> DataFrame:
+    """`rows` less groups with the very members of another group."""
+    groups = rows.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("x"), F.min("d").alias("y"), F.max("d").alias("z")
+    )
+    # The band stays apart, as profiles are compared within it.
+    one = groups.groupBy(F.expr(BAND_OF), "k", "x", "y", "z").agg(F.min("sig").alias("sig")).select("sig", "k")
+    return rows.join(one, "sig")
+
+
+def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, best: bool) -> DataFrame:
+    """Pairs (a, b) from the groups of `rows` that may be linked. Groups never meet whole in one task."""
+    rows = _different(rows).withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
     rows = rows.join(profiles, ["d", "band"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     rows = rows.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.select("sig", "i", "j", "chunk", "d", "n", "component", "profile")
+    rows = rows.select("sig", "i", "j", "chunk", "d", "n", "component", "profile", "tokens")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return rows.mapInArrow(_compare(threshold), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(_compare(threshold, best), "a bigint, b bigint").distinct()
 
 
 ROW_COST = 500  # a shuffled index entry costs as much as so many comparisons of segments
@@ -245,8 +354,8 @@ def _segment_rows(threshold: Threshold):
         for b in batches:
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
-                for band, m in threshold.bands(len(s)):
-                    sig = _signatures(s, [(band, m)]).view(np.int64)
+                for band, m, _ in threshold.bands(len(s)):
+                    sig = _signatures(s, band, m)[0].view(np.int64)
                     cols = [np.full(m, d, np.int64), np.full(m, band, np.int32), np.arange(m, dtype=np.int32), np.full(m, m, np.int32), sig]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["d", "band", "segment", "m", "sig"])
 
@@ -261,7 +370,7 @@ def _neighbourhoods(threshold: Threshold):
             for d, raw, band, segments in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 parts = mix(s * C)
-                at = _segment_bounds(s, dict(threshold.bands(len(s)))[band])
+                at = _segment_bounds(s, next(m for k, m, _ in threshold.bands(len(s)) if k == band))
                 out = []
                 for g in segments:
                     part = parts[at[g] : at[g + 1]]
@@ -280,21 +389,24 @@ def _reallocate(mixed: DataFrame, sets: DataFrame, threshold: Threshold, row_cos
     one-deletion neighbourhoods of the first h segments of U. Two sets that share s costly groups have s <= h in both,
     lose s units and gain s, so the pigeonhole still holds.
     """
-    k = F.count(F.lit(1)).over(Window.partitionBy("sig"))
-    reps = sets.select("d", "shingles").join(mixed.select("d").distinct(), "d", "left_semi")
-    rows = reps.mapInArrow(_segment_rows(threshold), "d bigint, band int, segment int, m int, sig bigint")
-    rows = rows.join(mixed.select("sig", "d"), ["sig", "d"]).withColumn("k", k)
-    rows = staged(rows.withColumn("costly", F.col("k") * F.col("m") > row_cost * 4 * (1 / 0.105 + 1)), "segments")
+    groups = mixed.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).withColumn("band", F.expr(BAND_OF)).join(_band_table(mixed, threshold), "band")
+    # k sets cost k * k / 2 comparisons of m segments, or k entries for each of the shingles of two segments.
+    costly = staged(groups.where(F.col("k") * F.col("m") > row_cost * 4 * (F.col("hi") / F.col("m") + 1)).select("sig", "k"), "costly")
+    if costly.isEmpty():
+        return mixed
+    reps = mixed.join(costly.select("sig"), "sig", "left_semi").select("d").distinct()
+    rows = sets.select("d", "shingles").join(reps, "d", "left_semi").mapInArrow(_segment_rows(threshold), "d bigint, band int, segment int, m int, sig bigint")
+    rows = staged(rows.join(mixed.select("sig", "d"), ["sig", "d"]).join(costly, "sig"), "segments")
     # One row per band and segment: bounded by the largest set, not by the number of sets.
-    costs = rows.groupBy("band", "segment", "m").agg(F.sum("k").alias("cost"), F.max("costly").alias("costly"))
+    costs = rows.groupBy("band", "segment", "m").agg(F.sum("k").alias("cost"))
     order = Window.partitionBy("band")
-    costs = costs.withColumn("rank", F.row_number().over(order.orderBy(F.desc("costly"), F.desc("cost"), "segment")))
-    skipped = costs.where("costly AND rank <= m div 2").select("band", "segment")
+    costs = costs.withColumn("rank", F.row_number().over(order.orderBy(F.desc("cost"), "segment")))
+    skipped = costs.where("rank <= m div 2").select("band", "segment")
     every = costs.select("band", "m").distinct().select("band", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("segment"))
     rest = every.join(skipped, ["band", "segment"], "left_anti").join(costs.select("band", "segment", "cost"), ["band", "segment"], "left")
     ranked = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("cost", F.lit(0)), "segment"))), lambda x: x["segment"])
     upgraded = rest.groupBy("band").agg(ranked.alias("order"))
-    gone = staged(rows.where("costly").join(skipped, ["band", "segment"]).select("sig", "d", "band"), "costly-groups")
+    gone = staged(rows.join(skipped, ["band", "segment"]).select("sig", "d", "band"), "costly-groups")
     new = gone.groupBy("d", "band").count().join(upgraded, "band").join(sets.select("d", "shingles"), "d")
     new = new.select("d", "shingles", "band", F.slice("order", F.lit(1), F.col("count").cast("int")).alias("segments"))
     entries = new.mapInArrow(_neighbourhoods(threshold), "sig bigint, d bigint")
@@ -303,6 +415,36 @@ def _reallocate(mixed: DataFrame, sets: DataFrame, threshold: Threshold, row_cos
     return _mixed(kept.unionByName(entries))
 
 
+def _band_table(df: DataFrame, threshold: Threshold) -> DataFrame:
+    """band, lo, hi, segments m, spare, reach: one row per band, all that fit the hashes."""
+    lo, rows = 1, []
+    for band in range(256):
+        hi = max(lo, int(lo * WIDTH))
+        if hi < 1 << 40:
+            rows.append((band, lo, hi, threshold.segments(hi), threshold.spare(hi), threshold.reach(hi)))
+        lo = hi + 1
+    names = ("band int", "lo bigint", "hi bigint", "m bigint", "spare bigint", "reach bigint")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join(names)))
+
+
+def _allocate(groups: DataFrame, member: DataFrame, threshold: Threshold) -> DataFrame:
+    """Take sets out of the groups they can do without, the largest first.
+
+    A set differs from any partner in at most h shingles and at most e segments are empty in both, so they share
+    m - h - e indexed segments or more. Leaving out one fewer than that, in the same order of group size for all
+    sets, keeps the smallest group that two partners share. Most sets that share a passage and no more leave all.
+    """
+    sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    empty = member.where("doc_id = rep").select(F.col("rep").alias("d"), "e0", "e1").dropDuplicates(["d"])
+    rows = groups.join(sizes, "sig").join(empty, "d").withColumn("band", F.expr(BAND_OF)).join(_band_table(groups, threshold), "band")
+    partner = F.least("hi", F.expr(f"n * {threshold.den} div {threshold.num}"))
+    differ = F.floor((F.col("n") + partner) * (threshold.den - threshold.num) / (threshold.den + threshold.num))
+    absent = F.least("spare", F.when(F.col("n") >= F.col("lo"), F.col("e0")).otherwise(F.col("e1")))
+    order = Window.partitionBy("d", "band").orderBy(F.desc("k"), "sig")
+    rows = rows.withColumn("spared", F.col("m") - differ - absent - 1).withColumn("place", F.row_number().over(order))
+    return rows.where("place > spared").select("sig", "d", "n")
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of groups that hold more than one component."""
     groups = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
@@ -314,38 +456,54 @@ def linked_components(
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; sets of `width`-word shingles link at similarity num / den."""
     t = Threshold(num, den)
-    signed = staged(
-        documents_of(docs).mapInArrow(_sign(t, width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>"), "signatures"
-    )
-    rows = signed.select("doc_id", "n", "k1", "k2")
+    signed = documents_of(docs).mapInArrow(_sign(t, width, 4 * slots(docs.sparkSession)), SIGNED)
+    # Rows without a bucket are dealt evenly.
+    signed = signed.repartition(F.coalesce(F.col("bucket"), F.xxhash64("doc_id", "k1"))).sortWithinPartitions("bucket")
+    signed = staged(signed.mapInArrow(_share, SIGNED), "signatures")
+    rows = signed.where(F.col("kind") == MEMBER).select("doc_id", "n", "k1", "k2", "e0", "e1")
     classes = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     member = staged(
-        rows.join(staged(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members"
+        rows.join(staged(classes, "classes"), ["n", "k1", "k2"], "left").select("doc_id", "n", "e0", "e1", F.coalesce("rep", "doc_id").alias("rep")), "members"
     )
 
     # Sets that share a segment with another set: (sig, d, n).
-    entries = signed.where("doc_id IS NOT NULL").select("doc_id", F.explode("sigs").alias("sig"))
-    shared = entries.groupBy("sig").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("sig")
-    named = entries.join(shared, "sig").join(member.where("doc_id IS NOT NULL").distinct(), "doc_id")
+    shared = signed.where(F.col("kind") == SHARED).select("doc_id", F.col("k1").alias("sig"))
+    named = shared.join(member.where("doc_id IS NOT NULL").select("doc_id", "rep", "n").distinct(), "doc_id")
     groups = staged(named.select("sig", F.col("rep").alias("d"), "n").distinct(), "segment-groups")
+    groups = staged(_allocate(groups, member, t), "segment-groups")
     first = groups.groupBy("sig").agg(F.min(F.struct("d", "n")).alias("first"), F.max("d").alias("last")).where("first.d < last")
     groups = staged(groups.join(first.select("sig", "first"), "sig"), "segment-groups")
 
-    ids = groups.select(F.col("d").alias("doc_id")).distinct()
+    # Written first, so that its size is known and the join can spare shuffling the texts where it is small.
+    ids = staged(groups.select(F.col("d").alias("doc_id")).distinct(), "set-ids")
     sets = documents_of(docs).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = staged(sets.mapInArrow(_sets(width, t), "d bigint, shingles binary, bands array<int>, profiles array<binary>"), "sets")
-    profiles = sets.select("d", F.explode(F.arrays_zip("bands", "profiles")).alias("p")).select("d", F.col("p.bands").alias("band"), F.col("p.profiles").alias("profile"))
+    sets = staged(sets.mapInArrow(_sets(width, t), "d bigint, shingles binary, tokens binary, bands array<int>, profiles array<binary>"), "sets")
+    profiles = sets.select("d", "tokens", F.explode(F.arrays_zip("bands", "profiles")).alias("p"))
+    profiles = profiles.select("d", "tokens", F.col("p.bands").alias("band"), F.col("p.profiles").alias("profile"))
 
     stars = groups.where(F.col("d") != F.col("first.d")).where(t.compatible(F.col("n"), F.col("first.n")))
     stars = stars.select(F.col("first.d").alias("a"), F.col("d").alias("b")).distinct()
-    links = staged(_verified(stars, sets, t), "star-links")
+    links = staged(_verified(stars, sets, t), "links")
     found = staged(components(links), "components")
-
-    rest = groups.select("sig", "d", "n").join(found.withColumnRenamed("node", "d"), "d", "left")
-    mixed = staged(_mixed(rest.withColumn("component", F.coalesce("component", "d"))), "mixed-groups")
-    mixed = staged(_reallocate(mixed, sets, t, row_cost), "mixed-groups")
-    more = _verified(_survivors(mixed, profiles, t), sets, t)
-    found = components(links.unionByName(staged(more, "more-links")))
+    best = True
+    while True:
+        rest = groups.select("sig", "d", "n").join(found.withColumnRenamed("node", "d"), "d", "left")
+        mixed = staged(_mixed(rest.withColumn("component", F.coalesce("component", "d"))), "mixed-groups")
+        mixed = _reallocate(mixed, sets, t, row_cost)
+        pairs = staged(_survivors(mixed, profiles, t, best), "likely-pairs")
+        if pairs.isEmpty():
+            break
+        more = staged(_verified(pairs, sets, t), "links")
+        if more.isEmpty():
+            # Nothing likeliest is linked; what is left has only hash ends in common, or the round saw all of it.
+            if not best:
+                break
+            best = False
+            continue
+        links = links.unionByName(more)
+        found = staged(components(links), "components")
+        if not best:
+            break
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")
     )
