@@ -15,7 +15,7 @@ from ..operators.timeline import backfill_missing_hours, project_forward
 from ..schemas import CONSUMPTION_COMPONENTS, CONSUMPTION_TOTAL, PRODUCTION_COMPONENTS, PRODUCTION_TOTAL
 from ..session import configure
 from ..sources.readers import read_csv, read_price_csv
-from ..sources.writers import append_new, replace_partitions, with_year, write_parquet
+from ..sources.writers import append_new, exists, replace_partitions, with_year, write_parquet
 
 BALANCE, MARKET = "balance", "market"
 YEAR = ("ano_particao",)
@@ -36,7 +36,7 @@ def _store(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFr
 
 
 def _store_day(df: DataFrame, path: str, day: str) -> DataFrame:
-    replace_partitions(df, path, ["process_date"])
+    replace_partitions(df, path, ["process_date"], [[day]])
     return of_process_date(_written(df, path), day)
 
 
@@ -70,27 +70,72 @@ def extend_balance(spark: SparkSession, path: str, as_of: datetime) -> None:
     append_new(with_year(projected), path, ["timestamp_utc"], ["year"])
 
 
-def run_market(spark: SparkSession, base: str, run_id: str, as_of: datetime, source_tz: str = "Europe/Lisbon") -> str:
-    """Consumption and price CSV to the hourly market and load-feature tables; returns the market path.
+def run_market(
+    spark: SparkSession, base: str, run_id: str, as_of: datetime, source_tz: str = "Europe/Lisbon", raw: str = "raw"
+) -> str:
+    """Consumption and price CSV under `base/raw` to the hourly market and load-feature tables; returns the market path.
 
-    Bronze and silver hold one partition per process date, and a repeated run replaces its own partition.
+    `raw` may hold all deliveries so far or only those of this run, which must deliver an hour whole. Bronze keeps
+    one partition per process date. Silver and gold hold one row per hour over all runs, by year: the hours of a
+    run replace those they have, and gold is computed anew from the first changed year on, its windows starting
+    on the rows before. A run that is repeated leaves the same tables.
     """
     day = as_of.date().isoformat()
     raws = {
-        "consumption": read_csv(spark, f"{base}/raw/consumption", positions=True),
-        "price": read_price_csv(spark, f"{base}/raw/price"),
+        "consumption": read_csv(spark, f"{base}/{raw}/consumption", positions=True),
+        "price": read_price_csv(spark, f"{base}/{raw}/price"),
     }
-    silver = {}
-    for kind, raw in raws.items():
-        cleaned = bronze_clean(raw, kind, run_id, as_of, "B", source_tz)
+    silver, changed = {}, []
+    for kind, rows in raws.items():
+        cleaned = bronze_clean(rows, kind, run_id, as_of, "B", source_tz)
         bronze = _store_day(cleaned.withColumn("process_date", F.lit(day).cast("date")), f"{base}/bronze/{kind}_b", day)
-        silver[kind] = _store_day(silver_hourly(bronze, kind, day), f"{base}/silver/{kind}_hourly", day)
+        new = silver_hourly(bronze, kind, day)
+        silver[kind] = _replace_hours(new, f"{base}/silver/{kind}_hourly")
+        changed.append(new.agg(F.min("timestamp_utc")).first()[0])
     market_path = f"{base}/gold/market_hourly"
-    market = _store_day(G.gold_market_hourly(silver["consumption"], silver["price"], day), market_path, day)
-    _store_day(G.gold_load_features_hourly(market), f"{base}/gold/load_features_hourly", day)
+    first = min((c for c in changed if c is not None), default=None)
+    if first is not None:
+        _refresh_gold(silver["consumption"], silver["price"], first, day, market_path, f"{base}/gold/load_features_hourly")
     return market_path
 
 
+HOUR = "timestamp_utc"
+
+
+def _replace_hours(new: DataFrame, path: str) -> DataFrame:
+    """Put the hours of `new` into the table by year, in the place of those it has already."""
+    years = [[r["year"]] for r in new.select("year").distinct().collect()]  # one row per year
+    rows = new
+    if years and exists(new, path):
+        there = _written(new, path).where(F.col("year").isin([y for (y,) in years]))
+        rows = there.join(new.select(HOUR), HOUR, "left_anti").unionByName(new)
+    replace_partitions(rows, path, ["year"])
+    return _written(new, path)
+
+
+def _refresh_gold(consumption: DataFrame, price: DataFrame, first: datetime, day: str, market_path: str, features_path: str) -> None:
+    """Market and load-feature rows of the years from that of the row before `first` on."""
+    hours = consumption.select(HOUR, "year").join(price.select(HOUR, "year"), [HOUR, "year"])
+
+    def before(instant: datetime, rows: int) -> list:
+        return hours.where(F.col(HOUR) < F.lit(instant)).orderBy(F.desc(HOUR)).limit(rows).collect()
+
+    # The row before the first change gets a new target, which is why its year counts as changed.
+    start = datetime(min([first.year, *[r["year"] for r in before(first, 1)]]), 1, 1)
+    since = min([start, *[r[HOUR] for r in before(start, G.MARKET_LAG_HOURS)]])
+
+    def window(df: DataFrame) -> DataFrame:
+        return df.where((F.col("year") >= since.year) & (F.col(HOUR) >= F.lit(since)))
+
+    market = G.gold_market_hourly(window(consumption), window(price), day)
+    last = hours.agg(F.max("year")).first()[0] or start.year
+    years = [[y] for y in range(start.year, last + 1)]
+    replace_partitions(market.where(F.col("year") >= start.year), market_path, ["year"], years)
+    rows = _written(market, market_path).where(F.col("year") >= start.year)
+    features = G.gold_load_features_hourly(rows).withColumn("year", F.year(HOUR))
+    replace_partitions(features, features_path, ["year"], years)
+
+
 def of_process_date(df: DataFrame, process_date: str) -> DataFrame:
     """Rows of one run; the predicate prunes partitions."""
     return df.where(F.col("process_date") == F.lit(process_date).cast("date"))
@@ -105,8 +150,12 @@ def run_medallion(
     run_id: str = "manual",
     project: bool = False,
     source_tz: str = "Europe/Lisbon",
+    raw: str = "raw",
 ) -> None:
-    """Run the chosen pipelines; for the balance, backfill `repeats` times and optionally project to `as_of`."""
+    """Run the chosen pipelines; for the balance, backfill `repeats` times and optionally project to `as_of`.
+
+    `raw` names the folder below `base_path` that the market run reads.
+    """
     configure(spark)
     unknown = set(pipelines) - {BALANCE, MARKET}
     if unknown:
@@ -117,4 +166,4 @@ def run_medallion(
         if project:
             extend_balance(spark, path, as_of)
     if MARKET in pipelines:
-        run_market(spark, base_path, run_id, as_of, source_tz)
+        run_market(spark, base_path, run_id, as_of, source_tz, raw)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +56,14 @@ def external_text_table(t):
     return R.read_text_table(t.spark, path, schema)
 
 
-def _write_price_files(t, path: str, decimal_point: bool = False) -> None:
-    """Day-ahead files: two preamble lines, then a header, then the rows; half the files order the columns differently."""
+def _write_price_files(t, path: str, decimal_point: bool = False, keep=None) -> None:
+    """Files of one delivery month each: two preamble lines, then a header, then the rows; months order the columns
+    differently. `keep` chooses delivery days."""
+    day = P.multi_format_date(F.col("date"))
     prices = raw_price(t)
-    rows = (prices.withColumn("portugal", F.col("spain")) if decimal_point else prices).withColumn("file_no", F.pmod(F.xxhash64("date"), F.lit(8)))
+    prices = prices.where(keep(day)) if keep else prices
+    month = (F.year(day) * 12 + F.month(day)).cast("int")
+    rows = (prices.withColumn("portugal", F.col("spain")) if decimal_point else prices).withColumn("file_no", month)
     even = F.col("file_no") % 2 == 0
     swapped = F.concat_ws(";", "portugal", "hour", "spain", "date")
     lines = rows.select(
@@ -72,7 +76,7 @@ def _write_price_files(t, path: str, decimal_point: bool = False) -> None:
         F.struct(F.lit(2).alias("_n"), F.lit("unit: EUR/MWh; source: table").alias("value")),
         F.struct(F.lit(3).alias("_n"), head.alias("value")),
     )).alias("_l")).select("file_no", "_l.*")
-    (lines.unionByName(top).repartition(8, "file_no").sortWithinPartitions("file_no", "_n")
+    (lines.unionByName(top).repartition("file_no").sortWithinPartitions("file_no", "_n")
      .select("file_no", "value").write.partitionBy("file_no").text(path))
 
 
@@ -208,17 +212,42 @@ mm AS (SELECT *, lag(consumo_total) OVER w AS consumo_lag_1h, lag(consumo_total,
 _MARKET_COLUMNS = ["consumo_total", "market_price_pt", "consumo_lag_1h", "consumo_lag_24h", "price_lag_1h", "rolling_avg_consumo_24h", "rolling_avg_price_24h"]
 
 
-@query(f"WITH {_MARKET_RUN} SELECT timestamp_utc, {sql_round(_MARKET_COLUMNS)} FROM mm")
-def medallion_market_run(t):
-    """Raw consumption and price files of several years to the market table, delivery hours taken as UTC."""
-    base = new_folder(t.spark, "lake")
+def _write_raw_market(t, base: str, keep=None, wrong=None) -> None:
+    """Consumption and price deliveries of the days `keep` accepts; consumption is tripled on the days `wrong` names."""
     hour = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_custkey") % 24).cast("int"))
-    rows = t.orders.select(hour.alias("ts"), F.col("o_totalprice").alias("value"))
+    value = F.col("o_totalprice")
+    value = F.when(wrong(F.to_date(hour)), value * 3).otherwise(value) if wrong else value
+    rows = t.orders.select(hour.alias("ts"), value.alias("value"))
+    rows = rows.where(keep(F.to_date("ts"))) if keep else rows
     rows.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("datahora"), F.dayofmonth("ts").alias("dia"), F.month("ts").alias("mes"),
         F.year("ts").alias("ano"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm").alias("time"),
         *[F.lit(0).alias(c) for c in ("bt", "mt", "at", "mat")], F.col("value").alias("total"),
-    ).write.option("header", True).csv(f"{base}/raw/consumption")
-    _write_price_files(t, f"{base}/raw/price", decimal_point=True)
+    ).write.option("header", True).csv(f"{base}/consumption")
+    _write_price_files(t, f"{base}/price", True, keep)
+
+
+_MARKET_SQL = f"WITH {_MARKET_RUN} SELECT timestamp_utc, {sql_round(_MARKET_COLUMNS)} FROM mm"
+
+
+@query(_MARKET_SQL)
+def medallion_market_run(t):
+    """Raw consumption and price files of several years to the market table, delivery hours taken as UTC."""
+    base = new_folder(t.spark, "lake")
+    _write_raw_market(t, f"{base}/raw")
     medallion.run_medallion(t.spark, base, RUN_AT, pipelines=[medallion.MARKET], source_tz="UTC")
     return rounded(t.spark.read.parquet(f"{base}/gold/market_hourly").select("timestamp_utc", *_MARKET_COLUMNS))
+
+
+@query(_MARKET_SQL)
+def medallion_market_daily_runs(t):
+    """The same table from three deliveries on three days, the last a correction of hours of the first; each run twice."""
+    base = new_folder(t.spark, "lake")
+    early = lambda day: day < F.lit("1995-03-01").cast("date")
+    fixed = lambda day: early(day) & (F.dayofmonth(day) % 3 == 0)
+    deliveries = [(early, fixed), (lambda day: ~early(day), None), (fixed, None)]
+    for n, (keep, wrong) in enumerate(deliveries):
+        _write_raw_market(t, f"{base}/day{n}", keep, wrong)
+        for _ in range(2):
+            medallion.run_medallion(t.spark, base, RUN_AT + timedelta(days=n), pipelines=[medallion.MARKET], source_tz="UTC", raw=f"day{n}")
+    return rounded(t.spark.read.parquet(f"{base}/gold/market_hourly").select("timestamp_utc", *_MARKET_COLUMNS))

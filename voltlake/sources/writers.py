@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -20,25 +21,85 @@ EXPORT_COLUMNS = (
 )
 
 
+def _files(df: DataFrame, path: str):
+    """Hadoop's file system of `path` and a maker of its paths."""
+    jvm = df.sparkSession._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), make
+
+
+def exists(df: DataFrame, path: str) -> bool:
+    """Whether `path` is there; `df` only names the session."""
+    files, make = _files(df, path)
+    return files.exists(make(path))
+
+
+def _swap(df: DataFrame, new: str, path: str) -> None:
+    """Put the finished dataset `new` in the place of `path`; the old one goes last."""
+    files, make = _files(df, path)
+    old = f"{path.rstrip('/')}.old"
+    if files.exists(make(path)):
+        files.delete(make(old), True)
+        files.rename(make(path), make(old))
+    elif not files.exists(make(path).getParent()):
+        files.mkdirs(make(path).getParent())
+    if not files.rename(make(new), make(path)):
+        raise OSError(f"could not move {new} to {path}")
+    files.delete(make(old), True)
+
+
+def recover(df: DataFrame, path: str) -> None:
+    """Bring back the old dataset if a run died in the middle of its swap."""
+    files, make = _files(df, path)
+    old = f"{path.rstrip('/')}.old"
+    if files.exists(make(old)) and not files.exists(make(path)):
+        files.rename(make(old), make(path))
+
+
+def _staging(path: str) -> str:
+    return f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the dataset at `path`."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Replace the dataset at `path`.
+
+    Written beside it and swapped in when complete, so a run that dies leaves the old table, and `df` may
+    read from the table it replaces.
+    """
+    recover(df, path)
+    new = _staging(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(new)
+    _swap(df, new, path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions present in `df`.
+def replace_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str], covered: Sequence[Sequence[object]] = ()
+) -> None:
+    """Replace the partitions present in `df`, and empty those of `covered` that `df` has no row for.
 
-    The rebalance clusters rows by partition value, so each task writes few files, and lets adaptive
-    execution split a value that holds most rows over as many tasks as its size needs.
+    `covered` lists the partition values a run accounts for. The rebalance clusters rows by partition value, so
+    each task writes few files, and lets adaptive execution split a value that holds most rows over as many tasks
+    as its size needs. Finished partitions are swapped in one by one; `df` may read from the table.
     """
-    (
-        df.hint("rebalance", *partition_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+    new = _staging(path)
+    df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(new)
+    files, make = _files(df, path)
+    files.mkdirs(make(path))
+    folders = [""]
+    for _ in partition_by:
+        folders = [
+            f"{folder}/{s.getPath().getName()}"
+            for folder in folders
+            for s in files.listStatus(make(new + folder))
+            if s.isDirectory() and "=" in s.getPath().getName()
+        ]
+    for folder in folders:
+        _swap(df, new + folder, path + folder)
+    for values in covered:
+        folder = "".join(f"/{c}={v}" for c, v in zip(partition_by, values, strict=True))
+        if folder not in folders:
+            files.delete(make(path + folder), True)
+    files.delete(make(new), True)
 
 
 def append_new(df: DataFrame, path: str, key: Sequence[str], partition_by: Sequence[str] = ()) -> None:
