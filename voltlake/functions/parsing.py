@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 WHOLE_NUMBER = r"^[+-]?\d+(\.0*)?$"
 DATE = r"^(\d{4}([-/])\d{1,2}\2\d{1,2}|\d{1,2}([-/])\d{1,2}\3\d{4})$"
-INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:\d{2}|Z)?)?$"
+DATE_WITH_TIME = r"^(\d{4}([-/])\d{1,2}\2\d{1,2}|\d{1,2}([-/])\d{1,2}\3\d{4})[T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?\s*([+-]\d{2}:?\d{2}|Z)?$"
+INSTANT = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d+)?)?)?\s*([+-]\d{2}:?\d{2}|Z)?)?$"
+COMPACT_INSTANT = r"^(\d{4})(\d{2})(\d{2})([T ](\d{2})(\d{2})(\d{2})?(\.\d+)?([+-]\d{2}:?\d{2}|Z)?)?$"
 
 
 def _let(value: Column, body) -> Column:
@@ -72,18 +74,28 @@ def offset_timestamp(c: Column, floor_to_ms: bool = False) -> Column:
 
 
 def multi_format_timestamp(c: Column) -> Column:
-    """Date and time with "T" or a blank between them, seconds, fraction and offset optional."""
+    """Date and time with "T" or a blank between them; seconds, fraction and offset optional.
+
+    Parts may lack leading zeros, fractions beyond microseconds are cut, and the compact form without marks is read.
+    """
     text = F.trim(c)
-    return to_utc_ntz(F.when(text.rlike(INSTANT), text.try_cast("timestamp")))
+    compact = F.regexp_replace(text, COMPACT_INSTANT, "$1-$2-$3T$5:$6:$7$8$9")
+    compact = F.regexp_replace(F.regexp_replace(compact, r"T::$", ""), r":(?=$|[+-]|Z)", "")
+    spread = F.when(text.rlike(COMPACT_INSTANT), compact).otherwise(text)
+    shown = F.regexp_replace(F.regexp_replace(spread, r"(\.\d{6})\d+", "$1"), r"\s+([+-]|Z)", "$1")
+    shown = F.regexp_replace(shown, r"^(\S+[T ]\d{1,2}:\d{1,2})([+-]|Z)", "$1:00$2")  # an offset is read after seconds only
+    return to_utc_ntz(F.when(text.rlike(INSTANT) | text.rlike(COMPACT_INSTANT), shown.try_cast("timestamp")))
 
 
 def multi_format_date(c: Column) -> Column:
-    """Year-month-day or day-month-year, with dashes or slashes."""
-    dashed = F.translate(F.trim(c), "/", "-")
+    """Year-month-day or day-month-year, with dashes or slashes; a time of day after it is left out."""
+    text = F.trim(c)
+    day_only = F.when(text.rlike(DATE_WITH_TIME), F.regexp_extract(text, r"^[^T ]+", 0)).otherwise(text)
+    dashed = F.translate(day_only, "/", "-")
     day, year = F.substring_index(dashed, "-", 1), F.substring_index(dashed, "-", -1)
     month = F.substring_index(F.substring_index(dashed, "-", 2), "-", -1)
-    iso = F.when(F.substring(dashed, 5, 1) == "-", dashed).otherwise(F.concat_ws("-", year, month, day))
-    return F.when(F.trim(c).rlike(DATE), iso.try_cast("date"))
+    iso = F.when(F.length(day) == 4, dashed).otherwise(F.concat_ws("-", year, month, day))
+    return F.when(day_only.rlike(DATE), iso.try_cast("date"))
 
 
 def query_layer_timestamp(c: Column) -> Column:

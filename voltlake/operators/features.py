@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.calendar import training_calendar, trunc_ntz
+from ..session import fan_out
 from .timeline import bucket_window, lag_columns, main_rows, with_halo
 
 # Lagged measures, lags and the target of the deficit model.
@@ -64,12 +65,13 @@ def latest_features(gold: DataFrame, lags: Sequence[int] = LAGS, check: bool = T
     )
     named = picked.withColumns(training_calendar(F.col(ts)))
     if check:
-        found = named.first()
+        found = named.first()  # one row
         if found["_n"] < need:
             raise ValueError(f"at least {need} hours are needed, found {found['_n']}")
         unknown = [n for n in feature_names(lags) if found[n] is None]
         if unknown:
             raise ValueError(f"the newest hour lacks {unknown}")
+        named = gold.sparkSession.createDataFrame([found], named.schema)  # not computed a second time
     return named.select(ts, *feature_names(lags))
 
 
@@ -108,7 +110,8 @@ def stratified_rank(df: DataFrame, label: str, row_id: str, seed: int) -> DataFr
     The shuffle order is a hash, so its leading digits cut any class into even slices; a slice is ranked
     on its own and shifted by the rows in the class's earlier slices.
     """
-    hashed = df.withColumn("_h", _shuffle_key(row_id, seed)).withColumn("_slice", F.substring("_h", 1, 3))
+    digits = len(f"{fan_out(df.sparkSession, 4096) - 1:x}")
+    hashed = df.withColumn("_h", _shuffle_key(row_id, seed)).withColumn("_slice", F.substring("_h", 1, digits))
     earlier = W.partitionBy(label).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = hashed.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     slices = slices.select(

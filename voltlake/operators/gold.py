@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from ..functions import measures as M
 from ..functions import parsing as P
 from ..functions.calendar import calendar_columns, hour_bucket, trunc_ntz
+from ..session import reliable_checkpoint
 from ..sources.readers import source_position
 from .ranking import last_write_wins
 from .timeline import add_lead, bucket_window, main_rows, rolling_mean_columns, with_halo
@@ -187,7 +188,10 @@ def price_candidates(raw_price: DataFrame, conventions: Sequence[str] = ("v1", "
 
 def convention_overlap(candidates: DataFrame, consumption: DataFrame) -> DataFrame:
     """One row: hours each convention shares with consumption and the chosen one, "v2" only if strictly better."""
-    shared = candidates.join(consumption.select("timestamp_utc"), "timestamp_utc", "left_semi")
+    return _better_convention(candidates.join(consumption.select("timestamp_utc"), "timestamp_utc", "left_semi"))
+
+
+def _better_convention(shared: DataFrame) -> DataFrame:
     counts = shared.agg(
         F.count_if(F.col("convention") == "v1").alias("intersection_v1"),
         F.count_if(F.col("convention") == "v2").alias("intersection_v2"),
@@ -205,13 +209,12 @@ def gold_cost_hourly(
     `raw_price` has text columns `date`, `hour`, `portugal` and its rows' positions. "auto" takes the hour
     convention with the larger overlap.
     """
+    hours = consumption.select("timestamp_utc", "consumo_mwh")
+    joined = join_on_hour(hours, price_candidates(raw_price, list(PARSER_NAMES) if convention == "auto" else [convention]))
     if convention == "auto":
-        candidates = price_candidates(raw_price)
-        chosen = F.broadcast(convention_overlap(candidates, consumption).select("convention"))  # one row
-        prices = candidates.join(chosen, "convention")
-    else:
-        prices = price_candidates(raw_price, [convention])
-    joined = join_on_hour(consumption.select("timestamp_utc", "consumo_mwh"), prices)
+        # An hour has one row per side, so the joined rows of a convention are its overlap: joined once, kept, counted.
+        joined = reliable_checkpoint(joined)
+        joined = joined.join(F.broadcast(_better_convention(joined).select("convention")), "convention")  # one row
     name = F.create_map(*[F.lit(x) for pair in PARSER_NAMES.items() for x in pair])
     return joined.select(
         "timestamp_utc",

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# Score ranges used to cut the running counts; any number gives the same result.
+from ..session import fan_out
+
+# Score ranges used to cut the running counts, at least; any number gives the same result.
 SCORE_RANGES = 256
 
 
@@ -105,8 +107,9 @@ def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", b
     scored = df.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
-    probabilities = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    splits = sorted(set(df.select(F.col(score).cast("double").alias("_s")).approxQuantile("_s", probabilities, 0.001)))
+    ranges = fan_out(df.sparkSession, SCORE_RANGES)
+    probabilities = [i / ranges for i in range(1, ranges)]
+    splits = sorted(set(df.select(F.col(score).cast("double").alias("_s")).approxQuantile("_s", probabilities, min(0.001, 0.25 / ranges))))
     bounds = F.array(*[F.lit(x) for x in splits]) if splits else F.array().cast("array<double>")
     ranged = scored.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_s"))))
     above = W.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)

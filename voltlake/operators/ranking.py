@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import reliable_checkpoint
+from ..session import fan_out, reliable_checkpoint
 
 # A key with more rows than this is ranked over many tasks.
 HOT_ROWS = 1_000_000
-# Hot-key tables up to this many rows are broadcast.
-BROADCAST_ROWS = 100_000
-# Rows without a key are never ranked in variant B, so they may be spread freely.
+# Rows without a key are never ranked in variant B, so they may be spread freely, over so many lanes at least.
 _NULL_LANES = 1024
 
 
@@ -23,10 +21,6 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def rank_duplicates(
     df: DataFrame,
     key: str,
@@ -57,11 +51,11 @@ def rank_duplicates(
     if hot["keys"] == 0:
         ranked = _rank_in_window(df, key, order, known, position)
     else:
-        keys = _maybe_broadcast(groups.select(key), hot["keys"])
+        keys = groups.select(key)
         cold = df.join(keys, _same_key(df, keys, [key]), "left_anti")
         heavy = df.join(keys, _same_key(df, keys, [key]), "left_semi")
         ranked = _rank_in_window(cold, key, order, known, position).unionByName(
-            _rank_over_ranges(heavy, key, order, hot["keys"], hot["rows"], hot_rows)
+            _rank_over_ranges(heavy, key, order, hot["rows"], hot_rows)
         )
     return ranked.withColumnsRenamed({"_count": count_col, "_rank": rank_col}).withColumn(
         flag_col, F.col(count_col) > 1
@@ -69,7 +63,7 @@ def rank_duplicates(
 
 
 def _rank_in_window(df: DataFrame, key: str, order: list[Column], known: Column, position: str) -> DataFrame:
-    lane = F.when(~known, F.pmod(F.xxhash64(position), F.lit(_NULL_LANES)))
+    lane = F.when(~known, F.pmod(F.xxhash64(position), F.lit(fan_out(df.sparkSession, _NULL_LANES))))
     group = W.partitionBy(key, lane)
     return df.withColumns(
         {
@@ -79,9 +73,7 @@ def _rank_in_window(df: DataFrame, key: str, order: list[Column], known: Column,
     )
 
 
-def _rank_over_ranges(
-    df: DataFrame, key: str, order: list[Column], n_keys: int, n_rows: int, hot_rows: int
-) -> DataFrame:
+def _rank_over_ranges(df: DataFrame, key: str, order: list[Column], n_rows: int, hot_rows: int) -> DataFrame:
     spark = df.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_rows // hot_rows + 1)
     # The partition numbers must not change between the two uses below, hence the checkpoint.
@@ -89,7 +81,7 @@ def _rank_over_ranges(
         df.repartitionByRange(ranges, F.col(key), *order).withColumn("_range", F.spark_partition_id())
     )
     earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    # A range boundary cuts at most one key, so this table has at most n_keys + ranges rows.
+    # A range boundary cuts at most one key, so this table has at most one row per key and range more than keys.
     shifts = (
         ranged.groupBy(key, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -101,7 +93,6 @@ def _rank_over_ranges(
         )
     )
     local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_range", key).orderBy(*order)))
-    shifts = _maybe_broadcast(shifts, n_keys + ranges)
     joined = local.join(shifts, _same_key(local, shifts, [key, "_range"]))
     return joined.select(
         *[local[c] for c in df.columns],

@@ -18,12 +18,13 @@ def trusted_rows(bronze: DataFrame) -> DataFrame:
 
 
 def pick_order(total: str) -> list[Column]:
-    """Non-zero first, larger total, better bronze rank, later ingest."""
+    """Non-zero first, larger total, better bronze rank, later ingest; the raw text settles ties."""
     return [
         M.is_true(F.col("flag_zero_row")).cast("int"),
         F.col(total).desc_nulls_last(),
         F.col("duplicate_rank").asc_nulls_last(),
         F.col("ingest_ts_utc").desc_nulls_last(),
+        F.col("datahora_raw"),
     ]
 
 

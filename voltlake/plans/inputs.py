@@ -118,8 +118,8 @@ def raw_price(t: Tables) -> DataFrame:
 
 
 def line_position() -> Column:
-    """A unique position per line."""
-    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """A position per line as one number, which lets aggregates over it hash."""
+    return F.xxhash64("l_partkey", "l_suppkey").bitwiseAND(F.lit((1 << 20) - 1)) + F.col("l_orderkey") * (1 << 24) + F.col("l_linenumber") * (1 << 20)
 
 
 RAW_PRICE = """

@@ -146,21 +146,22 @@ def standardised_features(t):
 # ---- models; their numbers depend on the tree and solver implementation, so no SQL is given ----
 
 
-def _complete(t):
-    """Balance hours with both sources, so every lag is known."""
-    return balance(t).where(~F.col("flag_missing_source") & F.col("ratio_producao_consumo").isNotNull())
+def _without_gaps(t):
+    """The balance with hours that lack a source backfilled as absent ones, so that a lag of 24 rows is one of 24 hours."""
+    known = balance(t).where(~F.col("flag_missing_source") & F.col("ratio_producao_consumo").isNotNull())
+    return known.unionByName(T.backfill_missing_hours(known))
 
 
 @query()
 def deficit_forest_metrics(t):
-    return ml.train_deficit_model(_complete(t))[1]
+    return ml.train_deficit_model(_without_gaps(t))[1]
 
 
 @query()
 def next_hour_prediction(t):
     """Train, persist, reload and score the newest hour."""
-    gold = _complete(t)
-    model, measured = ml.train_deficit_model(gold, numTrees=50)
+    gold = _without_gaps(t)
+    model, measured = ml.train_deficit_model(gold)
     path = new_folder(t.spark, "model")
     ml.save_model(model, measured, X.feature_names(), path)
     return ml.predict_next_hour(ml.load_model(t.spark, path)[0], gold)
@@ -171,7 +172,7 @@ def deficit_forest_metrics_by_series(t):
     """Training rows of ten backfilled series together; lags by hour."""
     gold = balance_by_series(t)
     filled = gold.unionByName(T.backfill_missing_hours(gold, SERIES, "week"))
-    return ml.train_deficit_model(filled, time_aware=True, series=SERIES, numTrees=20)[1]
+    return ml.train_deficit_model(filled, time_aware=True, series=SERIES)[1]
 
 
 def _document_features(t):

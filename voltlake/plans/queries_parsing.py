@@ -61,26 +61,31 @@ def offset_timestamps(t):
 
 
 @query(
-    """SELECT event_id, CASE event_id % 7
-        WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts)
-        WHEN 2 THEN date_trunc('minute', ts) WHEN 3 THEN date_trunc('minute', ts)
-        WHEN 4 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 5 THEN date_trunc('day', ts) END AS utc FROM events"""
+    """SELECT event_id, CASE event_id % 14
+        WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 7 THEN date_trunc('second', ts)
+        WHEN 2 THEN date_trunc('minute', ts) WHEN 3 THEN date_trunc('minute', ts) WHEN 8 THEN date_trunc('minute', ts)
+        WHEN 4 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 13 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+        WHEN 5 THEN date_trunc('day', ts) WHEN 12 THEN date_trunc('day', ts)
+        WHEN 9 THEN date_trunc('second', ts) WHEN 10 THEN date_trunc('minute', ts) WHEN 11 THEN ts END AS utc FROM events"""
 )
 def multi_format_timestamps(t):
     layouts = {
         0: "yyyy-MM-dd'T'HH:mm:ss", 1: "yyyy-MM-dd HH:mm:ss", 2: "yyyy-MM-dd'T'HH:mm", 3: "yyyy-MM-dd HH:mm",
         4: "yyyy-MM-dd'T'HH:mm:ss'+02:00'", 5: "yyyy-MM-dd", 6: "dd MMM yyyy",
+        7: "yyyy-M-d H:m:s", 8: "yyyy-M-d'T'H:m", 9: "yyyyMMdd'T'HHmmss", 10: "yyyyMMdd'T'HHmm'Z'", 11: "yyyy-MM-dd HH:mm:ss.SSSSSS'789'",
+        12: "yyyyMMdd", 13: "yyyy-MM-dd HH:mm:ss' +0200'",
     }
-    text = F.coalesce(*[F.when(F.col("event_id") % 7 == k, F.date_format("ts", v)) for k, v in layouts.items()])
+    text = F.coalesce(*[F.when(F.col("event_id") % 14 == k, F.date_format("ts", v)) for k, v in layouts.items()])
     return t.events.select("event_id", P.multi_format_timestamp(text).alias("utc"))
 
 
 @query(
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders"
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (4, 9) THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders"
 )
 def multi_format_dates(t):
-    layouts = {0: "yyyy-MM-dd", 1: "dd/MM/yyyy", 2: "dd-MM-yyyy", 3: "yyyy/MM/dd", 4: "yyyy MM dd"}
-    text = F.coalesce(*[F.when(F.col("o_orderkey") % 5 == k, F.date_format("o_orderdate", v)) for k, v in layouts.items()])
+    layouts = {0: "yyyy-MM-dd", 1: "dd/MM/yyyy", 2: "dd-MM-yyyy", 3: "yyyy/MM/dd", 4: "yyyy MM dd",
+               5: "yyyy-MM-dd'T'HH:mm:ss", 6: "dd/MM/yyyy HH:mm", 7: "yyyy-MM-dd HH:mm:ss'+01:00'", 8: "d-M-yyyy H:m", 9: "yyyy-MM-dd 'at noon'"}
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % 10 == k, F.date_format("o_orderdate", v)) for k, v in layouts.items()])
     return t.orders.select("o_orderkey", P.multi_format_date(text).alias("day"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as ST
 from ..functions import parsing as P
 from ..operators import serving as S
 from ..operators import timeline as T
+from ..operators.ranking import last_write_wins, rank_duplicates
 from ..session import new_folder
 from ..sources import readers as R
 from ..sources import writers as Wr
@@ -48,6 +49,35 @@ def source_row_positions(t):
         F.count_if((F.col("first") != F.col("at_lo")) | (F.col("hi") != F.col("n"))).cast("int").alias("inversoes"), F.sum("ids").alias("ids"))
 
 
+@query(
+    """SELECT l_orderkey AS hour, max(l_linenumber) AS last_file, min(l_linenumber) AS first_ranked, 0 AS differing FROM lineitem GROUP BY 1"""
+)
+def order_over_files(t):
+    """One hour in several files: whatever their sizes and however they are split, the last file by name has the last
+    word, and of equal values the first file ranks first."""
+    path = new_folder(t.spark, "files")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("hour"), F.col("l_linenumber").alias("file_no"), F.lit(1.0).alias("v"))
+    # The first files by name are the largest ones here; padding makes their rows longer still.
+    padded = rows.withColumn("pad", F.repeat(F.lit("x"), F.lit(60) - F.col("file_no").cast("int") * 8))
+    padded.repartition("file_no").write.partitionBy("file_no").option("header", True).csv(path)
+    kept, found = t.spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("64k", "128m"):
+            t.spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = R.read_csv(t.spark, path, positions=True).select("hour", "file_no", "row_pos", F.col("v").cast("double").alias("v"))
+            last = last_write_wins(read, ["hour"], ["file_no"], "row_pos").withColumnRenamed("file_no", "last_file")
+            first = rank_duplicates(read, "hour", "v", "row_pos").where("duplicate_rank = 1").select("hour", F.col("file_no").alias("first_ranked"))
+            written = new_folder(t.spark, "order")
+            last.join(first, "hour").write.parquet(written)  # read under this split
+            found.append(t.spark.read.parquet(written))
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    one, two = found
+    both = one.join(two.withColumnsRenamed({"last_file": "_l", "first_ranked": "_f"}), "hour", "full")
+    same = F.col("last_file").eqNullSafe(F.col("_l")) & F.col("first_ranked").eqNullSafe(F.col("_f"))
+    return both.select(F.col("hour").cast("long").alias("hour"), "last_file", "first_ranked", F.when(same, 0).otherwise(1).alias("differing"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders")
 def external_text_table(t):
     path = new_folder(t.spark, "text")

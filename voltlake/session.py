@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return configure(spark)
 
 
+def fan_out(spark: SparkSession, least: int) -> int:
+    """Slices to cut one large group into: `least`, or more where the session shuffles widely, as it does for more data."""
+    return max(least, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a private one only where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # the executors of local-cluster are other processes
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="voltlake-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,30 +85,28 @@ def read_price_csv(
     """
     text = spark.read.text(path)
     lines = with_source_order(text.withColumn("_file", F.col("_metadata.file_path")))
-    lines = lines.withColumn("cells", _cells(F.replace(F.col("value"), F.lit(_BOM), F.lit(""))))
-    names = F.transform(F.col("cells"), lambda c: F.lower(c))
+    lines = lines.withColumns({"value": F.replace(F.col("value"), F.lit(_BOM), F.lit("")), "_line": F.col("row_pos.line")})
+    names = F.transform(_cells(F.col("value")), lambda c: F.lower(c))
     if skip_lines is None:
+        # Only lines that hold every wanted name are split and grouped.
+        likely = reduce(lambda a, b: a & b, [F.contains(F.lower("value"), F.lit(c)) for c in columns])
         wanted = F.array(*[F.lit(c) for c in columns])
-        candidate = F.when(F.size(F.array_intersect(names, wanted)) == len(columns), F.col("row_pos"))
+        headers = lines.where(likely).withColumn("_names", names).where(F.size(F.array_intersect("_names", wanted)) == len(columns))
     else:
         # A file's first lines are read by one task, so their positions are consecutive.
-        starts = lines.groupBy("_file").agg((F.min("row_pos") + skip_lines).alias("_header_at"))
-        lines = lines.join(_per_file(starts, text), "_file")
-        candidate = F.when(F.col("row_pos") == F.col("_header_at"), F.col("row_pos"))
-    headers = lines.groupBy("_file").agg(
-        F.min(candidate).alias("_header_pos"), F.min_by(names, candidate).alias("_header")
-    )
-    index = {c: F.coalesce(F.array_position(F.col("_header"), c), F.lit(0)).cast("int") for c in columns}
-    error = F.raise_error(F.concat(F.lit("no header line in "), F.col("_file")))
-    headers = headers.select(
-        "_file",
-        *[i.alias(f"_at_{c}") for c, i in index.items()],
-        F.when(F.least(*index.values()) > 0, F.col("_header_pos")).otherwise(error.cast("long")).alias("_header_pos"),
-    )
+        starts = lines.groupBy("_file").agg((F.min("_line") + skip_lines).alias("_line"))
+        headers = lines.join(starts, ["_file", "_line"]).withColumn("_names", names)
+    headers = headers.groupBy("_file").agg(F.min("_line").alias("_header"), F.min_by("_names", "_line").alias("_names"))
+    headers = headers.select("_file", "_header", *[F.array_position("_names", c).cast("int").alias(f"_at_{c}") for c in columns])
+    least = F.least(*[F.col(f"_at_{c}") for c in columns])
     last = F.greatest(*[F.col(f"_at_{c}") for c in columns])
+    error = F.raise_error(F.concat(F.lit("no header line in "), F.col("_file"))).cast("boolean")
+    body = F.when(F.coalesce(least, F.lit(0)) > 0, F.col("_line") > F.col("_header")).otherwise(error)
     return (
-        lines.join(_per_file(headers, text), "_file")
-        .where((F.col("row_pos") > F.col("_header_pos")) & (F.size("cells") >= last))
+        lines.join(headers, "_file", "left")
+        .where(body)
+        .withColumn("cells", _cells(F.col("value")))
+        .where(F.size("cells") >= last)
         .select(
             *[F.get(F.col("cells"), F.col(f"_at_{c}") - 1).alias(c) for c in columns],
             "source_file_name",
@@ -116,23 +115,21 @@ def read_price_csv(
     )
 
 
-# A table with one row per source file is broadcast up to this many files.
-BROADCAST_FILES = 100_000
-
+def _file_order(files: str) -> Column:
+    """Order of the files of a source: by path, or by the time of their last change and then by path."""
+    at = {"name": F.lit(None).cast("timestamp"), "modified": F.col("_metadata.file_modification_time")}[files]
+    return F.struct(at.alias("at"), F.col("_metadata.file_path").alias("path"))
 
-def _per_file(table: DataFrame, scan: DataFrame) -> DataFrame:
-    return F.broadcast(table) if len(scan.inputFiles()) <= BROADCAST_FILES else table
 
+def with_source_order(scan: DataFrame, files: str = "name") -> DataFrame:
+    """Add `source_file_name` and `row_pos`, which orders rows by file (`files`: "name" or "modified"), then as the file does.
 
-def with_source_order(scan: DataFrame) -> DataFrame:
-    """Add `source_file_name` and `row_pos`, which orders the rows of a file as the file does.
-
-    Must be applied to the scan itself. Nothing is shuffled: blocks of one file are handed to tasks in
-    file order, so the task-local row ids keep that order.
+    Must be applied to the scan itself. Nothing is shuffled: the blocks of one file are handed to tasks in file
+    order, so the task-local row ids keep that order within a file; between files they follow file sizes, which
+    is why the file comes first.
     """
-    return scan.select(
-        "*", F.col("_metadata.file_name").alias("source_file_name"), F.monotonically_increasing_id().alias("row_pos")
-    )
+    place = F.struct(_file_order(files).alias("file"), F.monotonically_increasing_id().alias("line"))
+    return scan.select("*", F.col("_metadata.file_name").alias("source_file_name"), place.alias("row_pos"))
 
 
 def with_row_number(scan: DataFrame) -> DataFrame:
