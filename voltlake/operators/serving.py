@@ -219,3 +219,51 @@ def normalise_grouped(df: DataFrame) -> DataFrame:
     )
     derived = F.when(F.col("consumo_total") > 0, F.col("producao_total") / F.col("consumo_total"))
     return named.withColumn("ratio_producao_consumo", F.coalesce(F.col("_ratio"), derived)).drop("_ratio")
+
+
+# Names under which an analytics row may carry each column, in order of preference.
+ANALYTICS_ALIASES = {
+    "consumo_total": ("total_consumo", "total_consumo_kwh", "consumo_total", "consumo_total_kwh"),
+    "producao_total": ("total_producao", "total_producao_kwh", "producao_total", "producao_total_kwh"),
+    "saldo_total": ("saldo_total", "saldo_total_kwh", "total_saldo", "total_saldo_kwh"),
+    "producao_pre": ("total_producao_pre", "total_producao_pre_kwh", "producao_pre", "producao_pre_kwh"),
+    "producao_dgm": ("total_producao_dgm", "total_producao_dgm_kwh", "producao_dgm", "producao_dgm_kwh"),
+    "share_pre_percentual": ("share_pre_percentual", "percentual_pre", "peso_pre", "share_pre"),
+    "share_dgm_percentual": ("share_dgm_percentual", "percentual_dgm", "peso_dgm", "share_dgm"),
+}
+HOUR_COUNT_ALIASES = ("total_horas", "registos", "leituras")
+DEFICIT_SHARE_ALIASES = ("percentual_defice", "taxa_defice")
+DEFICIT_HOUR_ALIASES = ("horas_defice", "defice_horas")
+GLOBAL_RATIO_ALIASES = ("ratio_global_producao_consumo", *RATIO_ALIASES)
+WORST_ALIASES = {
+    "consumo_total": GROUPED_ALIASES["consumo_total"],
+    "producao_total": GROUPED_ALIASES["producao_total"],
+    "saldo": GROUPED_ALIASES["saldo"],
+}
+INSTANT_ALIASES = ("timestamp", "timestamp_utc", "momento_utc", "periodo")
+
+
+def normalise_analytics(df: DataFrame) -> DataFrame:
+    """An analytics row under its canonical names; the deficit share is derived from hours where it is missing."""
+    numbers = {out: P.finite_or_zero(P.first_present(df, names)) for out, names in ANALYTICS_ALIASES.items()}
+    # The share is over the hours counted under one of the first two names only.
+    hours = P.finite_or_zero(P.first_present(df, HOUR_COUNT_ALIASES[:2]))
+    derived = F.when(hours != 0, P.finite_or_zero(P.first_present(df, DEFICIT_HOUR_ALIASES)) / hours * 100).otherwise(F.lit(0.0))
+    return df.select(
+        P.first_present(df, HOUR_COUNT_ALIASES, 0).cast("long").alias("registos"),
+        *[e.alias(out) for out, e in numbers.items()],
+        P.first_present(df, GLOBAL_RATIO_ALIASES).cast("double").alias("ratio_producao_consumo"),
+        F.coalesce(P.first_present(df, DEFICIT_SHARE_ALIASES).cast("double"), derived).alias("percentual_defice"),
+    )
+
+
+def normalise_worst_hours(df: DataFrame) -> DataFrame:
+    """Worst hours under their canonical names, the ratio derived where it is missing."""
+    numbers = {out: P.finite_or_zero(P.first_present(df, names)) for out, names in WORST_ALIASES.items()}
+    named = df.select(
+        P.first_present(df, INSTANT_ALIASES).alias("timestamp"),
+        *[e.alias(out) for out, e in numbers.items()],
+        P.first_present(df, RATIO_ALIASES).cast("double").alias("_ratio"),
+    )
+    derived = F.when(F.col("consumo_total") > 0, F.col("producao_total") / F.col("consumo_total"))
+    return named.withColumn("ratio_producao_consumo", F.coalesce(F.col("_ratio"), derived)).drop("_ratio")

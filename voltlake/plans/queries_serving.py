@@ -14,6 +14,7 @@ from ..operators import timeline as T
 from ..operators.bronze import bronze_clean
 from ..operators.features import deficit_features, feature_names
 from ..operators.silver import hourly_with_controls
+from ..sources.readers import source_contract
 from .inputs import (
     COST, GOLD, GOLD_OUT, GOLD_S, MEASURES, RAW_PRICE, RAW_READINGS, SERIES, balance, balance_by_series, consumption_mwh, cost,
     price_hourly, raw_price, raw_readings, sql_round,
@@ -389,3 +390,43 @@ def backfill_leaves_no_gap(t):
     filled = gold.unionByName(T.backfill_missing_hours(gold, SERIES, BUCKET))
     again = T.backfill_missing_hours(filled, SERIES, BUCKET)
     return again.agg(F.count(F.lit(1)).alias("horas_em_falta")).withColumn("has_rows", F.lit(True))
+
+
+@query(
+    f"""WITH {GOLD}, a AS (SELECT count(*) AS n, sum(consumo_total_kwh) AS c, sum(producao_total_kwh) AS p, sum(producao_pre_kwh) AS pre,
+      sum(producao_dgm_kwh) AS dgm, sum(saldo_kwh) AS s, count(*) FILTER (flag_defice) AS d FROM gold)
+    SELECT n AS registos, round(c, 4) + 0.0 AS consumo_total, round(p, 4) + 0.0 AS producao_total, round(s, 4) + 0.0 AS saldo_total,
+      round(pre, 4) + 0.0 AS producao_pre, round(dgm, 4) + 0.0 AS producao_dgm, round(pre / p * 100, 4) + 0.0 AS share_pre_percentual,
+      0.0::DOUBLE AS share_dgm_percentual, round(p / c, 4) + 0.0 AS ratio_producao_consumo, round(CAST(d AS DOUBLE) / n * 100, 4) + 0.0 AS percentual_defice FROM a"""
+)
+def analytics_normalised(t):
+    """Analytics under other names: one alias each, no share of one kind and no deficit share, which is derived."""
+    found = S.balance_analytics(balance(t)).drop("share_dgm_percentual", "percentual_defice")
+    renamed = {"total_consumo_kwh": "total_consumo", "producao_pre_kwh": "x", "saldo_total_kwh": "total_saldo", "total_horas": "registos",
+               "total_producao_pre_kwh": "producao_pre", "share_pre_percentual": "peso_pre", "horas_defice": "defice_horas"}
+    return rounded(S.normalise_analytics(found.withColumnsRenamed(renamed)), digits=4)
+
+
+@query(
+    f"""WITH {GOLD_S} SELECT timestamp_utc AS "timestamp", round(consumo_total_kwh, 6) + 0.0 AS consumo_total, round(producao_total_kwh, 6) + 0.0 AS producao_total,
+      round(saldo_kwh, 6) + 0.0 AS saldo, round(producao_total_kwh / nullif(consumo_total_kwh, 0), 6) + 0.0 AS ratio_producao_consumo
+    FROM gold_s WHERE saldo_kwh IS NOT NULL ORDER BY gold_s.saldo_kwh, timestamp_utc, series LIMIT 10"""
+)
+def worst_hours_normalised(t):
+    worst = S.worst_deficits(balance_by_series(t), ties=["timestamp_utc", "series"]).drop("series")
+    return rounded(S.normalise_worst_hours(worst.withColumnsRenamed({"timestamp_utc": "momento_utc", "saldo_kwh": "total_saldo_kwh"})))
+
+
+@query(
+    """SELECT 'events' AS dataset, '' AS missing, count(*) > 0 AS has_rows FROM events
+    UNION ALL SELECT 'orders', 'datahora,total', count(*) > 0 FROM orders
+    UNION ALL SELECT 'refunds', '', count(*) > 0 FROM lineitem WHERE l_quantity < 0"""
+)
+def check_source_contracts(t):
+    """Required columns and rows of three sources: one sound, one without two columns, one without rows."""
+    parts = [
+        source_contract(t.events, ["ts", "value"], "events"),
+        source_contract(t.orders, ["datahora", "o_orderkey", "total"], "orders"),
+        source_contract(t.lineitem.where("l_quantity < 0"), ["l_orderkey"], "refunds"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -43,6 +43,13 @@ def require_rows(df: DataFrame, dataset: str) -> DataFrame:
     return df
 
 
+def source_contract(df: DataFrame, required: Sequence[str], dataset: str) -> DataFrame:
+    """One row: the dataset, its missing columns (comma-separated) and whether it has rows. Reads one row at most."""
+    missing = ",".join(c for c in required if c not in df.columns)
+    found = df.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_rows"))
+    return found.select(F.lit(dataset).alias("dataset"), F.lit(missing).alias("missing"), "has_rows")
+
+
 def read_csv(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
     """Comma-separated file with a header, every column text, names normalised.
 
