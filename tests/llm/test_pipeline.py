@@ -9,6 +9,8 @@ from tests.llm.test_text_operators import secret_rows
 from tests.llm.util import documents, edited
 from voltlake.llm.queries import QUERIES
 
+#: Texts repeated four times, with an edit and without, have nearly the shingles of the text itself, which stays.
+NEAR = {k + i for k in (2000, 3000) for i in range(20, 40)}
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
@@ -36,7 +38,7 @@ def test_each_stage_does_its_part(spark, folder):
     ids = {i for i, _, _ in every}
     assert ids - set(kept["language_id"]) == {4000, 4001, 4002}
     assert set(kept["language_id"]) - set(kept["exact_dedup"]) == set(range(20))
-    assert set(kept["exact_dedup"]) - set(kept["ngram_jaccard_join"]) == {3000 + i for i in range(20, 40)}
+    assert set(kept["exact_dedup"]) - set(kept["ngram_jaccard_join"]) == NEAR
     assert set(kept["secret_scan"]) == set(kept["ngram_jaccard_join"])
     assert not any(value in text for _, value in truth for text in kept["secret_scan"].values())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
@@ -45,7 +47,7 @@ def test_each_stage_does_its_part(spark, folder):
 
 def test_run_applies_all_stages(spark, folder):
     path, every, _ = folder
-    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == {i for i, _, _ in every} - set(range(20)) - {3000 + i for i in range(20, 40)} - {4000, 4001, 4002}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == {i for i, _, _ in every} - set(range(20)) - NEAR - {4000, 4001, 4002}
 
 
 def test_pipeline_of_nothing(spark, tmp_path):

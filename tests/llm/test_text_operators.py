@@ -221,7 +221,8 @@ def test_slot_probabilities_sum_to_one(spark):
     h = maxent_lm._hashed([b"a", b"b", b"zz", maxent_lm.END])
     sweep = maxent_lm.Sweep(model.shape, h, np.array([0]))
     for level in (0, 1):
-        assert np.exp(maxent_lm.softmax(model.shape, model.weights, sweep, level, 0, 4)).sum(axis=1) == pytest.approx(np.ones(4), abs=1e-4)
+        p = maxent_lm.chances(model.shape, model.weights, sweep, level)
+        assert p.shape == (16, 4) and p.sum(axis=0) == pytest.approx(np.ones(4), abs=1e-4)
 
 
 def test_model_of_nothing(spark):
