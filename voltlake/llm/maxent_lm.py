@@ -38,7 +38,8 @@ N_CLASS = N_MEMBER = 16
 FEATURES = 3
 ROWS = (1 << 14, 1 << 15)  # of a feature's weights for classes and for slots
 PRIOR, RATES = 20.0, (0.5, 0.4)
-SWEEP = 1 << 16  # tokens that are scored at once
+SWEEP = 1 << 13  # tokens that are scored at once: their numbers stay in a core's cache
+BOUND = 20.0  # of a weight
 PIECE = 2048  # rows of a table that travel together
 KEYS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -76,7 +77,8 @@ class Shape:
         around = rest % (2 * (n - own))
         slot[order[own:]] = own + np.where(around < n - own, around, 2 * (n - own) - 1 - around)  # heavy bins meet light ones
         mass = np.bincount(slot, counts, n).reshape(N_CLASS, N_MEMBER) + 1.0
-        return Shape(slot, np.log(mass.sum(axis=1) / mass.sum()), np.log(mass / mass.sum(axis=1, keepdims=True)))
+        log_class, log_member = np.log(mass.sum(axis=1) / mass.sum()), np.log(mass / mass.sum(axis=1, keepdims=True))
+        return Shape(slot, log_class.astype(np.float32), log_member.astype(np.float32))
 
     def slots_of(self, h: np.ndarray) -> np.ndarray:
         return self.slot[(h & np.uint64(BINS - 1)).astype(np.int64)]
@@ -101,13 +103,23 @@ class Sweep:
         self.outcome = [self.kind, self.member]
 
 
-def softmax(shape: Shape, weights: list[np.ndarray], s: Sweep, level: int, a: int, b: int) -> np.ndarray:
-    """Log probabilities of the 16 outcomes at tokens a..b."""
-    x = (shape.log_class[None] if level == 0 else shape.log_member[s.kind[a:b]]).astype(np.float32)
-    for f in range(FEATURES):
-        x = x + weights[level][f][s.rows[level][f][a:b]]
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def logits(shape: Shape, weights: list[np.ndarray], s: Sweep, level: int, a: int, b: int) -> np.ndarray:
+    """Unnormalised log weights of the 16 outcomes at tokens a..b. Weights are bounded, so their exponentials are too."""
+    x = np.tile(shape.log_class, (b - a, 1)) if level == 0 else shape.log_member[s.kind[a:b]]
+    for table, rows in zip(weights[level], s.rows[level], strict=True):
+        x += np.take(table, rows[a:b], axis=0)
+    return x
+
+
+def chances(shape: Shape, weights: list[np.ndarray], s: Sweep, level: int) -> np.ndarray:
+    """Probabilities, one row per outcome and one column per token."""
+    out = np.empty((N_CLASS, len(s.kind)), np.float32)
+    for a in range(0, len(s.kind), SWEEP):
+        b = min(a + SWEEP, len(s.kind))
+        x = np.exp(logits(shape, weights, s, level, a, b))
+        x /= x.sum(axis=1, keepdims=True)
+        out[:, a:b] = x.T
+    return out
 
 
 def _sequence(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -141,11 +153,10 @@ def _counts(shape_of, weights_of):
             for level in (0, 1):
                 for f in range(FEATURES):
                     seen[level][f] += np.bincount(s.rows[level][f] * N_CLASS + s.outcome[level], minlength=ROWS[level] * N_CLASS)
-                for a in range(0, len(h) if weights else 0, SWEEP):
-                    p = np.exp(softmax(shape, weights, s, level, a, a + SWEEP)).T.astype(np.float64)
-                    for o in range(N_CLASS):
-                        for f in range(FEATURES):
-                            meant[level][o, f] += np.bincount(s.rows[level][f][a : a + SWEEP], p[o], ROWS[level])
+                for o, p in enumerate(chances(shape, weights, s, level) if weights else ()):
+                    p = p.astype(np.float64)
+                    for f in range(FEATURES):
+                        meant[level][o, f] += np.bincount(s.rows[level][f], p, ROWS[level])
         for level in (0, 1):
             table = seen[level].reshape(FEATURES * ROWS[level], N_CLASS)
             if weights:
@@ -174,7 +185,8 @@ class Model:
         for a in range(0, len(h), SWEEP):
             b = min(a + SWEEP, len(h))
             for level in (0, 1):
-                out[a:b] += softmax(self.shape, self.weights, s, level, a, b)[np.arange(b - a), s.outcome[level][a:b]]
+                x = logits(self.shape, self.weights, s, level, a, b)
+                out[a:b] += x[np.arange(b - a), s.outcome[level][a:b]] - np.log(np.exp(x).sum(axis=1))
         return out / np.log(10)
 
 
@@ -201,7 +213,7 @@ def train(docs: DataFrame) -> Model:
             usual = np.exp(shape.log_class) if level == 0 else np.exp(shape.log_member).mean(axis=0)
             meant = tables[level][:, N_CLASS:] if step else seen.sum(axis=1, keepdims=True) * usual
             change = rate * np.log((seen + PRIOR * usual) / (meant + PRIOR * usual))
-            weights[level] = weights[level] + change.reshape(weights[level].shape).astype(np.float32)
+            weights[level] = np.clip(weights[level] + change.reshape(weights[level].shape), -BOUND, BOUND).astype(np.float32)
     return Model(shape, weights)
 
 
