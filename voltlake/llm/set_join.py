@@ -278,7 +278,8 @@ def _compare(threshold: Threshold, best: bool):
 
     Two segments whose hashes differ hold at least one shingle of difference, two if they are of equal size, and
     never fewer than their sizes differ by. A shingle in both sets has its hash's end in both. With `best`, only the
-    likeliest partner of a set in each other component is returned, so that a group never returns all its pairs.
+    likeliest partner of a set x in each other component is returned, so that a group never returns all its pairs;
+    `more` tells that there were others.
     """
 
     def run(batches):
@@ -292,7 +293,7 @@ def _compare(threshold: Threshold, best: bool):
             i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
             left = np.flatnonzero(chunk == i)
             right = left if i == j else np.flatnonzero(chunk == j)
-            found = ([], [])
+            found = ([], [], [], [])
             for x in left:
                 y = right[(comp[right] != comp[x]) & ((d[right] > d[x]) if i == j else True)]
                 low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
@@ -310,13 +311,15 @@ def _compare(threshold: Threshold, best: bool):
                 seen[tokens[x]] = False
                 margin = both * (threshold.num + threshold.den) - threshold.num * (n[x] + n[y])
                 y, margin = y[margin >= 0], margin[margin >= 0]
+                more = np.zeros(len(y), bool)
                 if best and len(y) > 1:
                     order = np.argsort(-margin, kind="stable")
-                    y = y[order][np.unique(comp[y[order]], return_index=True)[1]]
-                found[0].append(np.minimum(d[x], d[y]))
-                found[1].append(np.maximum(d[x], d[y]))
+                    _, at, times = np.unique(comp[y[order]], return_index=True, return_counts=True)
+                    y, more = y[order][at], times > 1
+                for out, values in zip(found, (np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), np.full(len(y), d[x]), more), strict=True):
+                    out.append(values)
             if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b", "x", "more"])
 
     return run
 
@@ -335,7 +338,7 @@ def _different(rows: DataFrame) -> DataFrame:
 
 
 def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, best: bool) -> DataFrame:
-    """Pairs (a, b) from the groups of `rows` that may be linked. Groups never meet whole in one task."""
+    """Pairs (a, b, x, more) from the groups of `rows` that may be linked. Groups never meet whole in one task."""
     rows = _different(rows).withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("int"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
     rows = rows.join(profiles, ["d", "band"])
@@ -343,7 +346,7 @@ def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, best:
     rows = rows.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     rows = rows.select("sig", "i", "j", "chunk", "d", "n", "component", "profile", "tokens")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return rows.mapInArrow(_compare(threshold, best), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(_compare(threshold, best), "a bigint, b bigint, x bigint, more boolean").distinct()
 
 
 ROW_COST = 500  # a shuffled index entry costs as much as so many comparisons of segments
@@ -451,6 +454,12 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(groups, "sig")
 
 
+def _across(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(sig, d, n, component) of the groups with sets of several components."""
+    rows = groups.select("sig", "d", "n").join(found.withColumnRenamed("node", "d"), "d", "left")
+    return staged(_mixed(rows.withColumn("component", F.coalesce("component", "d"))), "mixed-groups")
+
+
 def linked_components(
     docs: DataFrame, num: int = 9, den: int = 10, width: int = 3, row_cost: float = ROW_COST
 ) -> DataFrame:
@@ -485,25 +494,18 @@ def linked_components(
     stars = stars.select(F.col("first.d").alias("a"), F.col("d").alias("b")).distinct()
     links = staged(_verified(stars, sets, t), "links")
     found = staged(components(links), "components")
-    best = True
-    while True:
-        rest = groups.select("sig", "d", "n").join(found.withColumnRenamed("node", "d"), "d", "left")
-        mixed = staged(_mixed(rest.withColumn("component", F.coalesce("component", "d"))), "mixed-groups")
-        mixed = _reallocate(mixed, sets, t, row_cost)
-        pairs = staged(_survivors(mixed, profiles, t, best), "likely-pairs")
-        if pairs.isEmpty():
-            break
-        more = staged(_verified(pairs, sets, t), "links")
-        if more.isEmpty():
-            # Nothing likeliest is linked; what is left has only hash ends in common, or the round saw all of it.
-            if not best:
-                break
-            best = False
-            continue
-        links = links.unionByName(more)
-        found = staged(components(links), "components")
-        if not best:
-            break
+    mixed = _reallocate(_across(groups, found), sets, t, row_cost)
+    pairs = staged(_survivors(mixed, profiles, t, best=True), "likely-pairs")
+    links = links.unionByName(staged(_verified(pairs.select("a", "b").distinct(), sets, t), "links"))
+    found = staged(components(links), "components")
+    # Where a likeliest pair is linked, so are the others it stood for. Where it is not, all of them are compared.
+    failed = staged(pairs.where("more").join(links.select("a", "b"), ["a", "b"], "left_anti").select(F.col("x").alias("d")).distinct(), "failed")
+    if not failed.isEmpty():
+        again = _across(groups, found)
+        again = again.join(again.join(failed, "d", "left_semi").select("sig").distinct(), "sig", "left_semi")
+        again = _reallocate(staged(again, "mixed-groups"), sets, t, row_cost)
+        more = _verified(_survivors(again, profiles, t, best=False).select("a", "b").distinct(), sets, t)
+        found = components(links.unionByName(staged(more, "links")))
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")
     )
