@@ -148,6 +148,38 @@ def test_secret_scan_edge_rows(spark):
     assert forest.trees == [] and secret_scan.scan(none, forest).collect() == [] and secret_scan.redact(none, forest).collect() == []
 
 
+UNQUOTED = ("export API_KEY={}", "aws_secret_access_key={}", "AUTH_TOKEN:{}", "password = {}", "get https://host.example/v1?token={}&page=2", "secret: {}")
+
+
+@pytest.mark.parametrize("form", UNQUOTED)
+@pytest.mark.parametrize("value", ["24be64d09a1c77f3e5b2", "wJa1rXU7nF3MI/K7MD5NG+bPx", "QUJ1REV2R0h3SktNTU5PUA=="])
+def test_secret_candidates_of_unquoted_assignments_are_the_values(form, value):
+    raw = form.format(value).encode()
+    spans = [(i, j) for i, j in secret_scan.candidates(raw) if value.encode()[:8] in raw[i:j]]
+    assert [raw[i:j].decode() for i, j in spans] == [value]
+    letters = secret_scan.Letters(np.zeros((secret_scan._N,) * 2), np.zeros(secret_scan._N**3, bool))
+    x = np.array([secret_scan.features(raw, *spans[0], letters)])
+    at = dict(zip(secret_scan.FEATURES, x[0], strict=True))
+    assert at["assigned"] == at["secret_name"] == 1
+    assert secret_scan.clear_case(x).tolist() == [1]
+
+
+def test_secret_scan_finds_unquoted_assignments(spark):
+    rows, _ = secret_rows()
+    rng, truth = random.Random(6), set()
+    for k, (i, text) in enumerate(rows):
+        if i % 5 == 1:
+            value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+            truth.add((i, value))
+            rows[k] = (i, f"{text}\n{UNQUOTED[i // 5 % len(UNQUOTED)].format(value)}\n{text}")
+    docs, text = documents(spark, rows), dict(rows)
+    forest = secret_scan.train(docs)
+    got = {(r.doc_id, text[r.doc_id].encode()[r.start : r.start + r.length].decode()) for r in secret_scan.scan(docs, forest).collect()}
+    assert truth <= got
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    assert not any(value in clean[i] for i, value in truth)
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)

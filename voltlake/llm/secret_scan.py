@@ -1,6 +1,7 @@
 """Secret scan: candidates by shape and context, false positives removed by a random forest.
 
-A candidate is a run of 16 or more token characters, or a value of 8 or more characters assigned to something. The
+A candidate is a run of 16 or more token characters, or a value of 8 or more characters assigned to something, with
+the padding at its end but never with the name before it: NAME=value, NAME:value and ?name=value yield the value. The
 forest sees its length, its character transitions, how much of it the corpus's own letter trigrams cover, whether
 it looks like part of a path or address, and the words around it. It learns from labelled findings, by default from
 the clear cases of the corpus itself: a value assigned to a secret-bearing name and mixing letters with digits is a
@@ -38,8 +39,10 @@ FEATURES = (
 ).split()
 NEIGHBOURS = slice(FEATURES.index("address"), len(FEATURES))
 
-_RUN = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}")
-_VALUE = re.compile(rb"[:=][ \t]*[\"']?([^\s\"'=:]{8,})")
+# '=' belongs to a token only as padding at its end: elsewhere it parts a name from its value.
+_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/=_-]))?")
+_VALUE = re.compile(rb"[:=][ \t]*[\"']?([^\s\"'=:]{8,}(?:={1,2}(?![^\s\"'&#,;)\]}]))?)")
+_QUERY = re.compile(rb"[?&][^\s\"'?&=]*=$")
 # Letters 1..26 whatever their case, digits 27, other ASCII 0, further bytes 28.
 _KIND = np.array([0] * 128 + [28] * 128, np.int64)
 _KIND[48:58] = 27
@@ -81,9 +84,19 @@ class Letters:
         return Letters(np.log(pairs / pairs.sum(axis=1, keepdims=True)), n >= 1e-5 * max(1.0, n.sum()))
 
 
+def _values(raw: bytes):
+    """Spans of assigned values; a parameter of an address ends where the next one begins."""
+    for m in _VALUE.finditer(raw):
+        i, j = m.span(1)
+        if _QUERY.search(raw, max(0, i - 64), i):
+            j = i + min(k for k in (raw.find(b"&", i, j) - i, raw.find(b"#", i, j) - i, j - i) if k >= 0)
+        if j - i >= 8:
+            yield i, j
+
+
 def candidates(raw: bytes) -> list[tuple[int, int]]:
     """Byte spans of a text that may be secrets, in order, none within another."""
-    spans = [m.span() for m in _RUN.finditer(raw)] + [m.span(1) for m in _VALUE.finditer(raw)]
+    spans = [m.span() for m in _RUN.finditer(raw)] + list(_values(raw))
     out: list[tuple[int, int]] = []
     for i, j in sorted(set(spans), key=lambda s: (s[0], -s[1])):
         if not out or i >= out[-1][1]:
