@@ -180,6 +180,66 @@ def test_secret_scan_finds_unquoted_assignments(spark):
     assert not any(value in clean[i] for i, value in truth)
 
 
+def bare_secret_rows():
+    """Secrets that no name on their line tells of, and short or letter-only values; words, paths and commits beside them."""
+    rng = random.Random(7)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, lower_case = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    base64 = upper + lower_case + "0123456789+/"
+    rows, truth = secret_rows()
+    for k, (i, text) in enumerate(rows):
+        kind, value = i % 6, None
+        if kind == 0:
+            value = form = "AK" + "IA" + pick(upper + "0123456789", 16)
+        elif kind == 1:
+            value = form = "gh" + "p_" + pick(upper + lower_case + "0123456789", 36)
+        elif kind == 2:
+            value = "\n".join([*(pick(base64, 64) for _ in range(12)), pick(base64, 9)])
+            form = f"-----BEGIN RSA PRIVATE" + f" KEY-----\n{value}\n-----END RSA PRIVATE KEY-----"
+        elif kind == 3:
+            value = pick(lower_case + "0123456789", 7) + "7x"
+            form = f"password={value}"
+        elif kind == 4:
+            value = pick(upper + lower_case, 24)
+            form = f'"api_key": "{value}"'
+        if value:
+            truth.add((i, value))
+            rows[k] = (i, f"{text}\n{form}\n{text}")
+    return rows, truth
+
+
+def test_secret_scan_finds_bare_keys_key_blocks_and_short_values(spark):
+    rows, truth = bare_secret_rows()
+    docs, text = documents(spark, rows), dict(rows)
+    forest = secret_scan.train(docs)
+    assert len(forest.trees) == secret_scan.TREES
+    got = {(r.doc_id, text[r.doc_id].encode()[r.start : r.start + r.length].decode()) for r in secret_scan.scan(docs, forest).collect()}
+    assert truth <= got and not any(re.fullmatch("[aeioutnrs]+", v) or "src/" in v for _, v in got)
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    assert not any(line in clean[i] for i, value in truth for line in value.split("\n"))
+
+
+def test_secret_labels_need_evidence():
+    letters = secret_scan.Letters(np.zeros((secret_scan._N,) * 2), np.zeros(secret_scan._N**3, bool))
+    letters.usual[secret_scan._trigrams(b"the words of a correcthorsebatterystaple in voltlake/operators/somewhere.py")] = True
+
+    def label(text, part):
+        raw = text.encode()
+        span = next(s for s in secret_scan._candidates(raw) if part.encode() in raw[s[0] : s[1]])
+        return int(secret_scan.clear_case(np.array([secret_scan.features(raw, *span[:2], letters, span[2])]))[0])
+
+    assert label("a correcthorsebatterystaple", "horse") == 0 and label("see voltlake/operators/somewhere.py", "voltlake") == 0
+    assert label("commit 24be64d09a1c77f3e5b2", "24be") == 0 and label("no 4516744854574821", "4516") == 0
+    assert label("x 24be64d09a1c77f3e5b2 y", "24be") == label("x kQzXvWpLmRtYbNsD y", "kQz") == -1
+    assert label("password=kq7xw92z", "kq7") == label('token = "kQzXvWpLmRtYbNsD"', "kQz") == label("password=correcthorsebatterystaple", "horse") == 1
+    assert label("keywords: correcthorsebatterystaple", "horse") < 1 and label("token = os.environ[kq7xw92z]", "kq7") < 1
+    body = "MIIEpAIBAAKCAQEA7x2Y\\nq9Zk"
+    for end in ("\\n-----END PRIVATE KEY-----", ""):
+        raw = ('"private_key": "-----BEGIN PRIVATE' + f' KEY-----\\n{body}{end}"').encode()
+        assert any(block and raw[i:j].startswith(b"MIIE") for i, j, block in secret_scan._candidates(raw))
+    assert secret_scan.blocks(b"-----BEGIN PRIVATE" + b" KEY-----\nis how it starts, and\n-----END PRIVATE KEY----- how it ends") == []
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)

@@ -3,10 +3,12 @@
 A candidate is a run of 16 or more token characters, or a value of 8 or more characters assigned to something, with
 the padding at its end but never with the name before it: NAME=value, NAME:value and ?name=value yield the value. The
 forest sees its length, its character transitions, how much of it the corpus's own letter trigrams cover, whether
-it looks like part of a path or address, and the words around it. It learns from labelled findings, by default from
-the clear cases of the corpus itself: a value assigned to a secret-bearing name and mixing letters with digits is a
-secret, a run that no such name precedes is not. Every labelled finding is learned with and without its
-neighbours, so that shape alone can decide.
+it looks like part of a path or address, whether it has the form of a known key or lies in a private key block, and the
+words around it. It learns from labelled findings, by default from the clear cases of the corpus itself. Secrets are
+known key forms, private key blocks, and values assigned to a secret-bearing name that are no code or path: mixed of
+letters and digits, or of any length and letters if the name stands right before them. Plain are only candidates with a
+sign of it: word-like, all digits, in a path or address, or after a plain name such as commit. All others are left
+unlabelled. Every labelled finding is learned with and without its neighbours, so that shape alone can decide.
 
 The forest is fitted on at most `LABELLED` findings of each label, those with the smallest hashes. The trigram
 table counts all texts. Scanning is one pass over whole texts without a shuffle.
@@ -35,13 +37,31 @@ REDACTED = b"[secret removed]"
 SECRET_NAMES = (b"api", b"auth", b"bearer", b"credential", b"key", b"pass", b"private", b"pwd", b"secret", b"token")
 PLAIN_NAMES = (b"checksum", b"commit", b"digest", b"hash", b"md5", b"revision", b"sha", b"uuid", b"version")
 FEATURES = (
-    "length digits upper class_changes distinct entropy transition coverage slashes dots address assigned quoted secret_name plain_name"
+    "length digits upper class_changes distinct entropy transition coverage slashes dots brackets known address assigned quoted secret_name"
+    " plain_name named block"
 ).split()
 NEIGHBOURS = slice(FEATURES.index("address"), len(FEATURES))
 
 # '=' belongs to a token only as padding at its end: elsewhere it parts a name from its value.
 _RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/=_-]))?")
 _VALUE = re.compile(rb"[:=][ \t]*[\"']?([^\s\"'=:]{8,}(?:={1,2}(?![^\s\"'&#,;)\]}]))?)")
+# Names that end in a secret's: api_key, db.password, tokenValue. Keywords, authors and max_tokens do not.
+_NAMED = re.compile(
+    rb"(?:key|token|secret|password|passwd|passphrase|pass|pwd|credentials?|auth|bearer)(?:[_.-]?(?:id|value|string|[0-9]+))?[\"']?[ \t]*([:=])[ \t]*([\"']?)$"
+)
+# Keys that show what they are. Those of several parts with dots are candidates as a whole.
+_DOTTED = rb"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|ya29\.[A-Za-z0-9_-]{20,})"
+_PARTS = re.compile(_DOTTED)
+_KNOWN = re.compile(
+    _DOTTED + rb"|(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
+    rb"|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]*[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}"
+    rb"|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|hf_[A-Za-z0-9]{30,})"
+)
+_BEGIN = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BREAK = re.compile(rb"(?:\s|\\[nrt])*")
+_LINES = re.compile(rb"\n|(?:\\r)?\\n")
+_LINE = re.compile(rb"[A-Za-z-]+: .*|[A-Za-z0-9+/=]*")
+_CUT = re.compile(rb"(?:[A-Za-z0-9+/]{16,}={0,2}(?:\s|\\[nrt])*)+(?:[A-Za-z0-9+/]+=={0,1})?")
 _QUERY = re.compile(rb"[?&][^\s\"'?&=]*=$")
 # Letters 1..26 whatever their case, digits 27, other ASCII 0, further bytes 28.
 _KIND = np.array([0] * 128 + [28] * 128, np.int64)
@@ -94,17 +114,49 @@ def _values(raw: bytes):
             yield i, j
 
 
+def blocks(raw: bytes) -> list[tuple[int, int]]:
+    """Spans of the bodies of private key blocks: to the end mark, or as far as lines of base64 go if none belongs to it."""
+    out = []
+    begins = list(_BEGIN.finditer(raw)) if b"-----BEGIN " in raw else []
+    limits = [*(m.start() for m in begins[1:]), len(raw)]
+    for m, limit in zip(begins, limits, strict=False):
+        i = _BREAK.match(raw, m.end()).end()
+        end = raw.find(b"-----END ", i, limit)
+        if end < 0 or not all(_LINE.fullmatch(line.strip(b" \t\r>#*|\"',\\")) for line in _LINES.split(raw[i:end])):
+            cut = _CUT.match(raw, i, limit)
+            end = cut.end() if cut else i
+        body = raw[i:end].rstrip()
+        while body.endswith((b"\\n", b"\\r", b"\\t")):
+            body = body[:-2].rstrip()
+        if body:
+            out.append((i, i + len(body)))
+    return out
+
+
 def candidates(raw: bytes) -> list[tuple[int, int]]:
-    """Byte spans of a text that may be secrets, in order, none within another."""
-    spans = [m.span() for m in _RUN.finditer(raw)] + list(_values(raw))
-    out: list[tuple[int, int]] = []
-    for i, j in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+    """Byte spans of a text that may be secrets, in order, none within another. A private key block is one of them."""
+    return [(i, j) for i, j, _ in _candidates(raw)]
+
+
+def _candidates(raw: bytes) -> list[tuple[int, int, bool]]:
+    """`candidates`, and whether each is the body of a private key block."""
+    whole = blocks(raw)
+    spans = {m.span() for m in _RUN.finditer(raw)} | set(_values(raw))
+    if any(p in raw for p in (b"eyJ", b"SG.", b"ya29.")):
+        spans |= {m.span() for m in _PARTS.finditer(raw)}
+    if whole:
+        starts, ends = np.array(whole).T
+        # Marks and lines of a block are no candidates beside it: a span may neither begin in it nor reach into it.
+        spans = {(i, j) for i, j in spans if (k := int(np.searchsorted(ends, i, "right"))) == len(ends) or j <= starts[k]}
+    out: list[tuple[int, int, bool]] = []
+    for i, j, block in sorted([(i, j, False) for i, j in spans] + [(i, j, True) for i, j in whole], key=lambda s: (s[0], -s[1])):
         if not out or i >= out[-1][1]:
-            out.append((i, j))
+            out.append((i, j, block))
     return out
 
 
-def features(raw: bytes, i: int, j: int, letters: Letters) -> list[float]:
+def features(raw: bytes, i: int, j: int, letters: Letters, block: bool = False) -> list[float]:
+    """`named` is 2 if a secret's name stands right before with '=' or a quote, 1 with a colon alone, as in prose."""
     value = raw[i:j]
     b = np.frombuffer(value, np.uint8)
     kind = _KIND[b]
@@ -116,6 +168,7 @@ def features(raw: bytes, i: int, j: int, letters: Letters) -> list[float]:
     near = before.split(b"\n")[-1]
     grams = _trigrams(value) if len(b) > 2 else np.zeros(0, np.int64)
     assigned = re.search(rb"[:=]\s*[\"']?$", near) is not None
+    named = _NAMED.search(near)
     return [
         float(len(b)),
         float((kind == 27).mean()),
@@ -127,11 +180,15 @@ def features(raw: bytes, i: int, j: int, letters: Letters) -> list[float]:
         float(letters.usual[grams].mean()) if len(grams) else 0.0,
         value.count(b"/") / len(b),
         value.count(b".") / len(b),
+        sum(map(value.count, b"()[]{}<>$*")) / len(b),
+        float(_KNOWN.search(value) is not None),
         float(b"://" in near or b"www." in near or near.endswith((b"/", b"\\", b"@")) or after.startswith((b"/", b"@"))),
         float(assigned),
         float(near.endswith((b'"', b"'")) and after[:1] in (b'"', b"'")),
         float(any(n in near for n in SECRET_NAMES)),
         float(any(n in near for n in PLAIN_NAMES)),
+        0.0 if named is None else 1.0 + float(named[1] == b"=" or named[2] != b""),
+        float(block),
     ]
 
 
@@ -139,17 +196,25 @@ def clear_case(x: np.ndarray) -> np.ndarray:
     """1 for a clear secret, 0 for a clear non-secret, -1 for neither, by rows of features."""
     at = {n: x[:, k] for k, n in enumerate(FEATURES)}
     mixed = (at["digits"] > 0.1) & (at["digits"] < 0.95) & (at["entropy"] > 2.5)
-    secret = (at["assigned"] > 0) & (at["secret_name"] > 0) & (at["plain_name"] == 0) & mixed & (at["length"] >= 16)
-    plain = (at["secret_name"] == 0) & ((at["assigned"] == 0) | ~mixed)
+    number = at["digits"] >= 0.95
+    words = (at["coverage"] >= 0.7) & (at["digits"] <= 0.1)
+    path = words & ((at["slashes"] > 0) | (at["dots"] > 0))
+    shown = (at["known"] > 0) | (at["block"] > 0)
+    assigned = (at["assigned"] > 0) & (at["secret_name"] > 0)
+    value = (at["plain_name"] == 0) & (at["brackets"] == 0) & (at["entropy"] > 2) & ~number & ~path
+    named = (at["named"] > 0) & value & (mixed | ~words | (at["named"] == 2))
+    secret = shown | named | (assigned & value & mixed & (at["length"] >= 16))
+    sign = words | number | (at["plain_name"] > 0) | (((at["slashes"] > 0) | (at["address"] > 0)) & (at["coverage"] >= 0.4))
+    plain = sign & ~assigned & (at["named"] == 0) & ((at["secret_name"] == 0) | words)
     return np.where(secret, 1, np.where(plain, 0, -1))
 
 
 def _rows(b: pa.RecordBatch, at: int, letters: Letters) -> tuple[list[tuple[int, int, int]], np.ndarray, list[bytes]]:
     """Candidates (row, start, end) of a batch, their features and the texts."""
     raws = [raw or b"" for raw in b.column(at).cast(pa.binary()).to_pylist()]
-    spans = [(r, i, j) for r, raw in enumerate(raws) for i, j in candidates(raw)]
-    x = np.array([features(raws[r], i, j, letters) for r, i, j in spans], np.float64).reshape(len(spans), len(FEATURES))
-    return spans, x, raws
+    spans = [(r, *span) for r, raw in enumerate(raws) for span in _candidates(raw)]
+    x = np.array([features(raws[r], i, j, letters, block) for r, i, j, block in spans], np.float64).reshape(len(spans), len(FEATURES))
+    return [span[:3] for span in spans], x, raws
 
 
 # A tree: per node feature (-1 at a leaf), threshold, right child (the left one follows the node), share of secrets.
