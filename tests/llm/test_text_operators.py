@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -308,6 +309,45 @@ def test_model_beats_its_base_on_held_out_texts(small):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+class Held:
+    """A broadcast variable without Spark."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_first_round_expects_what_a_sweep_at_zero_weights_does():
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 4000), 600)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[:999]])], ["doc_id", "text"])
+    counts = np.zeros(maxent_lm.BINS)
+    bins = next(iter(maxent_lm._bins([batch])))
+    counts[bins.column("bin").to_numpy()] = bins.column("n").to_numpy()
+    shape = Held(maxent_lm.Shape.of(counts))
+    zero = Held([np.zeros((maxent_lm.FEATURES, r, maxent_lm.N_CLASS), np.float32) for r in maxent_lm.ROWS])
+    first, swept = (
+        [np.frombuffer(zlib.decompress(b.column("body")[0].as_py()), "<f4") for b in maxent_lm._counts(shape, w)([batch])] for w in (None, zero)
+    )
+    assert len(first) == len(swept) > 0
+    for a, b in zip(first, swept, strict=True):
+        assert a.shape == b.shape and a == pytest.approx(b, rel=1e-3, abs=1e-3)
+
+
+def test_words_without_context_keep_their_share(spark):
+    rng = np.random.default_rng(9)
+    share = 1 / np.arange(1, 31)
+    words = [f"w{k}" for k in range(30)]
+    model = maxent_lm.train(documents(spark, [(i, " ".join(rng.choice(words, 800, p=share / share.sum()))) for i in range(60)]))
+    drawn = rng.choice(words, 6000, p=share / share.sum()).tolist()
+    h = maxent_lm._hashed([w.encode() for w in drawn])
+    got = model.log10_slots(h, np.array([0]))
+    slot = model.shape.slots_of(h)
+    plain = (model.shape.log_class[slot // 16] + model.shape.log_member[slot // 16, slot % 16]) / math.log(10)
+    for w in words[:10]:
+        at = np.array([x == w for x in drawn])
+        assert got[at].mean() == pytest.approx(plain[at].mean(), abs=0.05)
+
+
 def test_slot_probabilities_sum_to_one(spark):
     model = maxent_lm.train(documents(spark, [(i, "a b c a b d " * (i + 1)) for i in range(20)]))
     h = maxent_lm._hashed([b"a", b"b", b"zz", maxent_lm.END])

@@ -8,8 +8,9 @@ are rows of 16 numbers at the hash of a feature (for slots: feature and class),
 
 Training is by distributed gradient updates: tasks add up observed and expected counts of every weight over whole
 training texts, the sums meet in one update per weight, `rate * log((observed + prior) / (expected + prior))`, the
-gradient step in the log domain. At the first round the weights are zero and the expectation is known without a
-sweep. The driver holds the tables, whose size is fixed. Word counts are packed postings over all texts, see
+gradient step in the log domain. At the first round the weights are zero, so the expectation of a class is its share of
+a row's tokens, and that of a slot the sum over the classes seen in the row of their tokens times the slot's share of
+that class. The driver holds the tables, whose size is fixed. Word counts are packed postings over all texts, see
 `postings`; words never reach the driver.
 
 The base score is the add-one unigram model. Rules: a null text counts as empty, whose one token is the end. Rows
@@ -139,17 +140,21 @@ def _bins(batches):
 
 
 def _counts(shape_of, weights_of):
-    """Observed counts of every weight and, where there are weights, expected ones."""
+    """Observed and expected counts of every weight. Without weights, the expectation follows from the counts of classes."""
 
     def run(batches):
         shape, weights = shape_of.value, weights_of.value if weights_of else None
         seen = [np.zeros((FEATURES, r * N_CLASS), np.float32) for r in ROWS]
         meant = [np.zeros((N_CLASS, FEATURES, r), np.float64) for r in ROWS] if weights else None
+        # Tokens of each class by row of a slot's weights: the hash lets several classes meet in one row.
+        within = None if weights else np.zeros((FEATURES, ROWS[1] * N_CLASS), np.float64)
         for batch in batches:
             h, first, _ = _sequence(batch.column(1).to_pylist())
             if not len(h):
                 continue
             s = Sweep(shape, h, first)
+            for f in range(FEATURES if within is not None else 0):
+                within[f] += np.bincount(s.rows[1][f] * N_CLASS + s.kind, minlength=ROWS[1] * N_CLASS)
             for level in (0, 1):
                 for f in range(FEATURES):
                     seen[level][f] += np.bincount(s.rows[level][f] * N_CLASS + s.outcome[level], minlength=ROWS[level] * N_CLASS)
@@ -160,7 +165,12 @@ def _counts(shape_of, weights_of):
         for level in (0, 1):
             table = seen[level].reshape(FEATURES * ROWS[level], N_CLASS)
             if weights:
-                table = np.concatenate([table, meant[level].transpose(1, 2, 0).reshape(table.shape)], axis=1)
+                expected = meant[level].transpose(1, 2, 0).reshape(table.shape)
+            elif level == 0:
+                expected = table.sum(axis=1, keepdims=True) * np.exp(shape.log_class)
+            else:
+                expected = within.reshape(table.shape) @ np.exp(shape.log_member)
+            table = np.concatenate([table, expected], axis=1)
             for k in range(0, len(table), PIECE):
                 body = zlib.compress(table[k : k + PIECE].astype("<f4").tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([k], pa.int32()), pa.array([body], pa.binary())], ["level", "at", "body"])
@@ -203,15 +213,14 @@ def train(docs: DataFrame) -> Model:
         shared = sc.broadcast(weights) if step else None
         summed = rows.mapInArrow(_counts(sc.broadcast(shape), shared), "level int, at int, body binary")
         summed = summed.repartition("level", "at").sortWithinPartitions("level", "at").mapInArrow(_sum, "level int, at int, body binary")
-        tables = [np.zeros((FEATURES * r, N_CLASS * (2 if step else 1)), np.float64) for r in ROWS]
+        tables = [np.zeros((FEATURES * r, N_CLASS * 2), np.float64) for r in ROWS]
         for row in summed.toArrow().to_pylist():
             part = np.frombuffer(row["body"], "<f4").reshape(-1, tables[row["level"]].shape[1])
             tables[row["level"]][row["at"] : row["at"] + len(part)] += part
         for level in (0, 1):
-            seen = tables[level][:, :N_CLASS]
-            # Slots of a class are told apart by the class in the row's hash; their average stands for the prior.
+            seen, meant = tables[level][:, :N_CLASS], tables[level][:, N_CLASS:]
+            # The prior stands on both sides, so it only holds weights of few tokens back; for slots it is the classes' average.
             usual = np.exp(shape.log_class) if level == 0 else np.exp(shape.log_member).mean(axis=0)
-            meant = tables[level][:, N_CLASS:] if step else seen.sum(axis=1, keepdims=True) * usual
             change = rate * np.log((seen + PRIOR * usual) / (meant + PRIOR * usual))
             weights[level] = np.clip(weights[level] + change.reshape(weights[level].shape), -BOUND, BOUND).astype(np.float32)
     return Model(shape, weights)
