@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
 from ..session import configure
-from . import chat_format, exact_dedup, language_id, maxent_lm, near_vectors, packing, piece_bpe, secret_scan, set_join, token_counts
+from . import chat_format, exact_dedup, hard_negatives, language_id, maxent_lm, near_vectors, packing, piece_bpe, secret_scan, set_join
+from . import token_counts
 from .common import prepare
 
 QUERIES: dict[str, Query] = {}
@@ -108,6 +109,36 @@ def near_vectors_of(t: Tables) -> DataFrame:
     return near_vectors.near_vectors(t.embeddings, 0.93)
 
 
+@query(
+    "op13_hard_negative_mining",
+    """
+    WITH whole AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, b.v) END::BIGINT AS score
+        FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+    positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5
+    """,
+)
+def mine_hard_negatives(t: Tables) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    rows = t.embeddings.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(prepare(configure(spark)), folder)
 
