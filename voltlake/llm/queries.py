@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Query, Tables
 from ..session import configure
 from . import chat_format, exact_dedup, hard_negatives, language_id, maxent_lm, near_vectors, packing, piece_bpe, secret_scan, set_join
-from . import token_counts
+from . import spelling_variants, token_counts
 from .common import prepare
 
 QUERIES: dict[str, Query] = {}
@@ -109,6 +109,16 @@ def near_vectors_of(t: Tables) -> DataFrame:
     return near_vectors.near_vectors(t.embeddings, 0.93)
 
 
+@query("op12_spelling_variants")
+def group_spelling_variants(t: Tables) -> DataFrame:
+    """A hash of document and run takes one code point from some runs, as a slip of the pen would."""
+    rows = spelling_variants.runs(t.documents, 6)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    slipped = spelling_variants.without_character(F.col("run"), h % F.char_length("run"))
+    words = rows.select(F.when(h % 199 == 0, slipped).otherwise(F.col("run")).alias("word"))
+    return spelling_variants.variant_forms(spelling_variants.counted(words, 6, 5))
+
+
 @query(
     "op13_hard_negative_mining",
     """
