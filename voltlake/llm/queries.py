@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
 from ..session import configure
-from . import chat_format, exact_dedup, hard_negatives, language_id, maxent_lm, near_vectors, packing, piece_bpe, secret_scan, set_join
-from . import spelling_variants, token_counts
+from . import chat_format, exact_dedup, hard_negatives, language_id, maxent_lm, near_vectors, packing, piece_bpe, quality_rules
+from . import secret_scan, set_join, spelling_variants, token_counts
 from .common import prepare
 
 QUERIES: dict[str, Query] = {}
@@ -109,6 +109,11 @@ def near_vectors_of(t: Tables) -> DataFrame:
     return near_vectors.near_vectors(t.embeddings, 0.93)
 
 
+@query("op11_quality_rules")
+def judge_quality(t: Tables) -> DataFrame:
+    return quality_rules.judge(t.documents, quality_rules.train(t.documents, t.labels))
+
+
 @query("op12_spelling_variants")
 def group_spelling_variants(t: Tables) -> DataFrame:
     """A hash of document and run takes one code point from some runs, as a slip of the pen would."""
