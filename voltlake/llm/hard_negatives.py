@@ -100,7 +100,9 @@ class Block:
         self.left = _suffix_norms(self.x)
 
     def above(self, a: np.ndarray, t: np.ndarray):
-        """(i, j, score) of all pairs of anchors a and rows whose score is at least t[i], in pieces of bounded size."""
+        """(i, j, score) of all pairs of anchors a and rows whose score is at least t[i], in pieces of bounded size.
+
+        A bound that overflows prunes nothing: what is left is scored in exact whole numbers."""
         a = a[:, self.order]
         left = _suffix_norms(a)
         # Listed runs of each row: the suffix from there on can't reach the least threshold, whatever the anchor.
@@ -129,13 +131,13 @@ class Block:
                 done = c + 1
                 if c + 1 == runs // 2:
                     seen = np.minimum(cut, done)
-                    open_pairs = score + lefts[:, seen] * self.left[rows, seen] >= floor - slack
+                    open_pairs = ~(score + lefts[:, seen] * self.left[rows, seen] < floor - slack)
                     if open_pairs.mean() < 0.125:
                         break
             seen = np.minimum(cut, done)
-            near = score + lefts[:, seen] * self.left[rows, seen] >= floor - slack
+            near = ~(score + lefts[:, seen] * self.left[rows, seen] < floor - slack)
             i, j = np.nonzero(near if open_pairs is None else near & open_pairs)
-            for k in range(0, len(i), piece := max(1, TILE // x.shape[1])):
+            for k in range(0, len(i), piece := max(1, TILE // max(1, x.shape[1]))):
                 at, row = i[k : k + piece], j[k : k + piece]
                 exact = exact_products(p[at], x[row])
                 good = exact >= t[part][at]
@@ -233,7 +235,9 @@ def _search(same: bool, k: int, lowered: tuple[float, ...]):
                 labels = np.array(t.column("label").to_pylist(), object)
                 block = Block(t.column("vec_id").to_numpy(), t.column("key").to_numpy(), labels, _table(t.column("vec")))
             anchors = Anchors(part)
-            for i, w, j, score in anchors.search(block, same, k, lowered):
+            with np.errstate(over="ignore", invalid="ignore"):
+                found = list(anchors.search(block, same, k, lowered))
+            for i, w, j, score in found:
                 columns = [anchors.ids[i], anchors.keys[i], w.astype(np.int32), block.ids[j], block.keys[j], score]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in FOUND.split(", ")])
 
