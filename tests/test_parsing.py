@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -98,3 +100,21 @@ def test_aliases_and_non_finite(spark):
     df = spark.createDataFrame([(None, 5.0), (float("inf"), 6.0)], "b double, c double")
     picked = df.select(P.finite_or_zero(P.first_present(df, ["a", "b", "c"])).alias("x"), P.first_present(df, ["z"], "—").alias("y"))
     assert [tuple(r) for r in picked.collect()] == [(5.0, "—"), (0.0, "—")]
+
+
+def test_dates_of_ten_characters_read_as_the_general_layout(spark):
+    rng = random.Random(4)
+    texts = ["2024-02-30", "30/02/2024", "29/02/2024", "2024/02/29", "12/12-2024", "20a4-01-01", "+024-01-01", "12/ 1/2024", "2024 -01-1", " 05/06/2024 ", "12-13-2024", "1-1-2024", "2024-2-9", None, ""]
+    texts += ["".join(rng.choice("0123//--") for _ in range(10)) for _ in range(3000)]
+    texts += [f"{rng.randrange(40):02d}{c}{rng.randrange(14):02d}{c}{rng.randrange(10000):04d}" for c in "/-" for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", P.multi_format_date(F.col("x")).alias("d")).collect()
+    for r in got:
+        want = None
+        found = re.fullmatch(r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/])(\d{1,2})\6(\d{4})", (r.x or "").strip())
+        if found:
+            y, _, m, d, d2, _, m2, y2 = found.groups()
+            try:
+                want = date(int(y or y2), int(m or m2), int(d or d2))
+            except ValueError:
+                continue  # no such day, or the year 0, which Python can't hold
+        assert r.d == want or (want is None and r.d is None), r

@@ -95,7 +95,14 @@ def multi_format_date(c: Column) -> Column:
     day, year = F.substring_index(dashed, "-", 1), F.substring_index(dashed, "-", -1)
     month = F.substring_index(F.substring_index(dashed, "-", 2), "-", -1)
     iso = F.when(F.length(day) == 4, dashed).otherwise(F.concat_ws("-", year, month, day))
-    return F.when(day_only.rlike(DATE), iso.try_cast("date"))
+    general = F.when(day_only.rlike(DATE), iso.try_cast("date"))
+    # The two layouts of ten characters need no pattern: what isn't a date in them doesn't cast.
+    part = lambda at, n: F.substring(text, at, n)
+    parted = lambda a, b: part(a, 1).isin("/", "-") & (part(a, 1) == part(b, 1))
+    year_first = F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2)).try_cast("date")
+    day_first = F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)).try_cast("date")
+    ten = F.length(text) == 10
+    return F.when(ten & parted(3, 6), day_first).when(ten & parted(5, 8), year_first).otherwise(general)
 
 
 def query_layer_timestamp(c: Column) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import measures as M
 from ..functions import parsing as P
 from ..functions.calendar import calendar_columns, hour_bucket, trunc_ntz
-from ..session import reliable_checkpoint
 from ..sources.readers import source_position
 from .ranking import last_write_wins
 from .timeline import add_lead, bucket_window, main_rows, rolling_mean_columns, with_halo
@@ -158,12 +157,8 @@ def cost_consumption_hourly(readings: DataFrame, factor: float = 0.25) -> DataFr
     )
 
 
-def price_candidates(raw_price: DataFrame, conventions: Sequence[str] = ("v1", "v2")) -> DataFrame:
-    """Hourly price per hour convention; of several rows for one hour the last in the source wins.
-
-    The conventions differ by a constant shift, so two rows collide under one exactly if they collide
-    under the other: the winners are found once and then placed under every convention.
-    """
+def _priced_rows(raw_price: DataFrame) -> DataFrame:
+    """Parsed price rows with a readable hour and price, placed by the first convention as `_v1`."""
     parsed = P.add_parsed(
         raw_price.select("date", "hour", "portugal", source_position(raw_price).alias("row_pos")),
         {
@@ -173,32 +168,57 @@ def price_candidates(raw_price: DataFrame, conventions: Sequence[str] = ("v1", "
         },
     )
     instant = P.market_hour_timestamp(F.col("delivery_date_local"), F.col("market_hour"), "v1")
-    rows = parsed.withColumn("_v1", instant).where(F.col("_v1").isNotNull() & F.col("preco_eur_mwh").isNotNull())
-    winners = last_write_wins(rows, ["_v1"], ["preco_eur_mwh", "delivery_date_local", "market_hour"], "row_pos")
-    placed = [
-        F.struct(
-            F.lit(c).alias("convention"),
-            P.market_hour_timestamp(F.col("delivery_date_local"), F.col("market_hour"), c).alias("timestamp_utc"),
-        )
-        for c in conventions
-    ]
-    unfolded = winners.select("preco_eur_mwh", "delivery_date_local", "market_hour", F.explode(F.array(*placed)).alias("_c"))
-    return unfolded.select("_c.*", "preco_eur_mwh", "delivery_date_local", "market_hour")
+    return parsed.withColumn("_v1", instant).where(F.col("_v1").isNotNull() & F.col("preco_eur_mwh").isNotNull())
 
 
-def convention_overlap(candidates: DataFrame, consumption: DataFrame) -> DataFrame:
-    """One row: hours each convention shares with consumption and the chosen one, "v2" only if strictly better."""
-    return _better_convention(candidates.join(consumption.select("timestamp_utc"), "timestamp_utc", "left_semi"))
+def _placed(convention: str) -> Column:
+    return P.market_hour_timestamp(F.col("delivery_date_local"), F.col("market_hour"), convention)
 
 
-def _better_convention(shared: DataFrame) -> DataFrame:
-    counts = shared.agg(
-        F.count_if(F.col("convention") == "v1").alias("intersection_v1"),
-        F.count_if(F.col("convention") == "v2").alias("intersection_v2"),
-    )
-    return counts.withColumn(
-        "convention", F.when(F.col("intersection_v2") > F.col("intersection_v1"), "v2").otherwise("v1")
-    )
+def price_candidates(raw_price: DataFrame, conventions: Sequence[str] = ("v1", "v2")) -> DataFrame:
+    """Hourly price per hour convention; of several rows for one hour the last in the source wins.
+
+    The conventions differ by a constant shift, so two rows collide under one exactly if they collide
+    under the other: the winners are found once and then placed under every convention.
+    """
+    values = ["preco_eur_mwh", "delivery_date_local", "market_hour"]
+    winners = last_write_wins(_priced_rows(raw_price), ["_v1"], values, "row_pos")
+    placed = [F.struct(F.lit(c).alias("convention"), _placed(c).alias("timestamp_utc")) for c in conventions]
+    unfolded = winners.select(*values, F.explode(F.array(*placed)).alias("_c"))
+    return unfolded.select("_c.*", *values)
+
+
+#: Hours from the year 0001 to 1970, so that hour numbers count from 1 on.
+_BEFORE_EPOCH = 24 * 719162 + 1
+
+
+def hour_bitmaps(df: DataFrame, sets: Mapping[str, Column]) -> DataFrame:
+    """Exact bitmaps of the whole hours each instant column holds: one row (set, bucket, hours) per 32,768 hours.
+
+    Repeated hours cost a bit. Tasks build their bitmaps before the shuffle, so what travels has a fixed size per
+    bucket and task whatever the number of rows.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("set"), c.alias("ts")) for n, c in sets.items()])).alias("_s")
+    hours = df.select(named).select("_s.*").where(F.col("ts").isNotNull() & (F.col("ts") == hour_bucket(F.col("ts"))))
+    number = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) + F.lit(_BEFORE_EPOCH)
+    hours = hours.select("set", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
+    return hours.groupBy("set", "bucket").agg(F.bitmap_construct_agg("bit").alias("hours"))
+
+
+def convention_overlap(raw_price: DataFrame, consumption: DataFrame) -> DataFrame:
+    """One row: hours each convention shares with consumption and the chosen one, "v2" only if strictly better.
+
+    Hours meet as bitmaps, so the prices are neither picked nor joined to be counted.
+    """
+    price = hour_bitmaps(_priced_rows(raw_price), {c: _placed(c) for c in PARSER_NAMES})
+    used = hour_bitmaps(consumption, {"used": F.col("timestamp_utc")})
+    # Every convention meets the hours of consumption: two bitmaps a bucket if both have hours there.
+    used = used.select(F.explode(F.array(*map(F.lit, PARSER_NAMES))).alias("set"), "bucket", "hours")
+    met = price.unionByName(used).groupBy("set", "bucket").agg(F.count(F.lit(1)).alias("sides"), F.bitmap_and_agg("hours").alias("hours"))
+    met = met.where("sides = 2").select("set", F.bitmap_count("hours").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("set") == c, F.col("n"))), F.lit(0).cast("bigint"))
+    counts = met.agg(*[total(c).alias(f"intersection_{c}") for c in PARSER_NAMES])
+    return counts.withColumn("convention", F.when(F.col("intersection_v2") > F.col("intersection_v1"), "v2").otherwise("v1"))
 
 
 def gold_cost_hourly(
@@ -207,15 +227,12 @@ def gold_cost_hourly(
     """Hourly consumption × price for the hours both have.
 
     `raw_price` has text columns `date`, `hour`, `portugal` and its rows' positions. "auto" takes the hour
-    convention with the larger overlap.
+    convention with the larger overlap, which is counted and chosen before anything is joined.
     """
     hours = consumption.select("timestamp_utc", "consumo_mwh")
-    joined = join_on_hour(hours, price_candidates(raw_price, list(PARSER_NAMES) if convention == "auto" else [convention]))
     if convention == "auto":
-        # An hour has one row per side, so the joined rows of a convention are its overlap: joined once, kept, counted.
-        joined = reliable_checkpoint(joined)
-        joined = joined.join(F.broadcast(_better_convention(joined).select("convention")), "convention")  # one row
-    name = F.create_map(*[F.lit(x) for pair in PARSER_NAMES.items() for x in pair])
+        convention = convention_overlap(raw_price, hours).first()["convention"]  # one row
+    joined = join_on_hour(hours, price_candidates(raw_price, [convention]))
     return joined.select(
         "timestamp_utc",
         "consumo_mwh",
@@ -223,7 +240,7 @@ def gold_cost_hourly(
         (F.col("consumo_mwh") * F.col("preco_eur_mwh")).alias("custo_estimado_eur"),
         "delivery_date_local",
         "market_hour",
-        name[F.col("convention")].alias("price_parser_version"),
+        F.lit(PARSER_NAMES[convention]).alias("price_parser_version"),
     )
 
 

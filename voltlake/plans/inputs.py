@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,14 +121,16 @@ def raw_price(t: Tables) -> DataFrame:
 
 
 def line_position() -> Column:
-    """A position per line as one number, which lets aggregates over it hash."""
-    return F.xxhash64("l_partkey", "l_suppkey").bitwiseAND(F.lit((1 << 20) - 1)) + F.col("l_orderkey") * (1 << 24) + F.col("l_linenumber") * (1 << 20)
+    """A position per line as one exact number, which lets aggregates over it hash: order, line, part and supplier."""
+    places = {"l_orderkey": 23, "l_linenumber": 22, "l_partkey": 10, "l_suppkey": 0}
+    return reduce(Column.__add__, [F.col(c).cast("decimal(12,0)") * F.lit(Decimal(10**n)) for c, n in places.items()])
 
 
 RAW_PRICE = """
 raw_price AS (
   SELECT CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey % 25 + 1 AS INTEGER) AS hour, l_extendedprice AS price,
-         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos
+         l_orderkey::HUGEINT * 100000000000000000000000 + l_linenumber::HUGEINT * 10000000000000000000000
+           + l_partkey::HUGEINT * 10000000000 + l_suppkey AS pos
   FROM lineitem)"""
 
 

@@ -334,17 +334,18 @@ def scalar_subquery_filter(t):
 
 
 _CANDIDATES = f"""{RAW_PRICE}, {ORDER_CONSUMPTION},
-cand AS (SELECT convention, timestamp_utc, arg_max(price, pos) AS preco_eur_mwh, arg_max(day, pos) AS delivery_date_local, arg_max(hour, pos) AS market_hour
-  FROM (SELECT 'v1' AS convention, day + INTERVAL 1 HOUR * (hour - 1) AS timestamp_utc, * FROM raw_price
-        UNION ALL SELECT 'v2', day + INTERVAL 1 HOUR * hour, * FROM raw_price) GROUP BY 1, 2),
+won AS MATERIALIZED (SELECT day + INTERVAL 1 HOUR * (hour - 1) AS v1, arg_max(price, pos) AS preco_eur_mwh, arg_max(day, pos) AS delivery_date_local,
+  arg_max(hour, pos) AS market_hour FROM raw_price GROUP BY 1),
+cand AS (SELECT 'v1' AS convention, v1 AS timestamp_utc, * EXCLUDE (v1) FROM won
+  UNION ALL SELECT 'v2', v1 + INTERVAL 1 HOUR, * EXCLUDE (v1) FROM won),
 choice AS (SELECT count(*) FILTER (convention = 'v1') AS intersection_v1, count(*) FILTER (convention = 'v2') AS intersection_v2
-  FROM cand WHERE timestamp_utc IN (SELECT timestamp_utc FROM oc)),
-chosen AS (SELECT *, CASE WHEN intersection_v2 > intersection_v1 THEN 'v2' ELSE 'v1' END AS convention FROM choice)"""
+  FROM cand JOIN oc USING (timestamp_utc)),
+chosen AS MATERIALIZED (SELECT *, CASE WHEN intersection_v2 > intersection_v1 THEN 'v2' ELSE 'v1' END AS convention FROM choice)"""
 
 
 @query(f"WITH {_CANDIDATES} SELECT intersection_v1, intersection_v2, convention FROM chosen")
 def parser_choice_by_overlap(t):
-    return G.convention_overlap(G.price_candidates(raw_price(t)), order_consumption(t))
+    return G.convention_overlap(raw_price(t), order_consumption(t))
 
 
 @query(
