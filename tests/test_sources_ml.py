@@ -167,11 +167,11 @@ def test_deficit_model_learns_a_daily_pattern(spark, tmp_path):
     from .test_timeline_gold import gold_rows
 
     gold = gold_rows(spark, {h: 10.0 + h % 5 for h in range(600)}, {h: 20.0 if h % 24 < 12 else 5.0 for h in range(600)})
-    model, measured = ml.train_deficit_model(gold, numTrees=10)
+    model, measured = ml.train_deficit_model(gold, trees=10)
     assert measured.first()["f1"] > 0.95
-    ml.save_model(model, measured, X.feature_names(), str(tmp_path / "m"))
-    loaded, metrics, names = ml.load_model(spark, str(tmp_path / "m"))
-    assert names == X.feature_names() and metrics.first()["f1"] > 0.95
+    ml.save_model(model, measured, str(tmp_path / "m"))
+    loaded, metrics = ml.load_model(spark, str(tmp_path / "m"))
+    assert loaded.features == X.feature_names() and metrics.first()["f1"] > 0.95
     row = ml.predict_next_hour(loaded, gold).first()
     assert row["pred_flag_defice_t_plus_1"] == (1 if 600 % 24 >= 12 else 0)
 

@@ -1,23 +1,21 @@
-"""Model training and scoring with Spark ML on feature tables."""
+"""Model training and scoring on feature tables."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as K
 from .features import TARGET, deficit_features, feature_names, latest_features, stratified_folds, stratified_holdout, temporal_split
+from .logistic import fit_folds, predict_folds
+from .trees import Forest, Settings, grow, load_forest, save_forest
 
 # The forest of the deficit model.
-FOREST = {"numTrees": 300, "maxDepth": 8, "minInstancesPerNode": 3}
+FOREST = {"trees": 300, "max_depth": 8, "min_leaf": 3}
 
 # The tree grid.
 TREE_GRID = (
@@ -30,7 +28,6 @@ TREE_GRID = (
     {"criterion": "log_loss", "max_depth": 3, "min_samples_split": 2},
     {"criterion": "log_loss", "max_depth": 4, "min_samples_split": 4},
 )
-CONCURRENCY = 4
 
 BINARY_METRICS = (
     "accuracy",
@@ -44,7 +41,10 @@ BINARY_METRICS = (
 
 
 def preparation(features: Sequence[str], impute: bool = True) -> list:
-    """Median imputation and standardisation of the feature columns into `features`."""
+    """Spark ML stages of imputation by an approximate median and standardisation by the sample deviation into `features`.
+
+    `selection.impute_and_scale` does the same with exact medians and the population deviation.
+    """
     filled = [f"{f}__filled" for f in features] if impute else list(features)
     stages = [VectorAssembler(inputCols=filled, outputCol="raw_features"),
               StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]
@@ -53,35 +53,23 @@ def preparation(features: Sequence[str], impute: bool = True) -> list:
     return stages
 
 
-def forest_pipeline(features: Sequence[str], label: str = TARGET, seed: int = 42, **overrides) -> Pipeline:
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **(FOREST | overrides))
-    return Pipeline(stages=[*preparation(features), forest])
+def forest_settings(features: int, seed: int = 42, trees: int = FOREST["trees"], depth: int = FOREST["max_depth"], leaf: int = FOREST["min_leaf"]) -> list[Settings]:
+    """The trees of the deficit forest; a node chooses among the root of the number of features."""
+    one = Settings("gini", depth, 2, leaf, bootstrap=True, features=max(1, math.isqrt(features)), seed=seed)
+    return [one] * trees
 
 
-def logistic_pipeline(features: Sequence[str], label: str, rows: int, c: float = 1.0, max_iter: int = 1000) -> Pipeline:
-    """L2 logistic regression; a penalty of 1/(C·rows) per row is the usual strength C on the whole sum."""
-    model = LogisticRegression(
-        labelCol=label, featuresCol="features", regParam=1.0 / (c * rows), elasticNetParam=0.0,
-        maxIter=max_iter, standardization=False,
-    )
-    return Pipeline(stages=[*preparation(features, impute=False), model])
+def tree_settings(config: Mapping[str, object]) -> Settings:
+    """The tree of one grid entry."""
+    return Settings(config["criterion"], config["max_depth"], config["min_samples_split"])
 
 
-def tree_pipeline(features: Sequence[str], label: str, config: Mapping[str, object], seed: int = 42) -> Pipeline:
-    """Decision tree of one grid entry. Log loss and entropy are one criterion; the smallest splittable
-    node has no counterpart in Spark, so half of it bounds the leaves."""
-    impurity = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy"}[config["criterion"]]
-    tree = DecisionTreeClassifier(
-        labelCol=label, featuresCol="raw_features", impurity=impurity, maxDepth=config["max_depth"],
-        minInstancesPerNode=max(1, config["min_samples_split"] // 2), seed=seed,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw_features"), tree])
-
-
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add `prediction` and `score`, the probability of class 1; intermediate vectors are dropped."""
-    scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(*df.columns, "prediction", "score")
+def score(forest: Forest, df: DataFrame) -> DataFrame:
+    """Add `prediction` and `score`, the probability of class 1."""
+    scored = forest.score(df)
+    if 1 in forest.classes:
+        return scored.withColumn("score", F.get("probability", F.lit(forest.classes.index(1)))).drop("probability")
+    return scored.withColumn("score", F.lit(0.0)).drop("probability")
 
 
 def evaluate_binary(predictions: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -95,15 +83,20 @@ def evaluate_binary(predictions: DataFrame, label: str, by: Sequence[str] = ())
 def train_deficit_model(
     gold: DataFrame, test_ratio: float = 0.2, seed: int = 42, time_aware: bool = False,
     series: Sequence[str] = (), **forest,
-) -> tuple[PipelineModel, DataFrame]:
-    """Fit the deficit forest on the earlier rows; return the model and its metrics on the later ones."""
+) -> tuple[Forest, DataFrame]:
+    """Fit the deficit forest on the earlier rows; return the model and its metrics on the later ones.
+
+    Trees split on order alone, so features need no scaling; rows with gaps are not in the table.
+    """
     table = temporal_split(deficit_features(gold, time_aware=time_aware, series=series), test_ratio=test_ratio).persist()
     try:
         names = feature_names()
         sides = table.groupBy("is_test").count().collect()  # two rows
         if len(sides) < 2:
             raise ValueError("the split leaves one side without rows")
-        model = forest_pipeline(names, seed=seed, **forest).fit(table.where(~F.col("is_test")))
+        id_ = "_row"
+        keyed = table.withColumn(id_, F.concat_ws("|", *[F.col(c).cast("string") for c in [*series, "timestamp_utc"]]))
+        model = grow(keyed.where(~F.col("is_test")), names, TARGET, forest_settings(len(names), seed, **forest), id_)
         values = evaluate_binary(score(model, table.where("is_test")), TARGET).first()
     finally:
         table.unpersist()
@@ -111,7 +104,7 @@ def train_deficit_model(
     return model, gold.sparkSession.createDataFrame([tuple(values[m] for m in BINARY_METRICS)], schema)
 
 
-def predict_next_hour(model: PipelineModel, gold: DataFrame) -> DataFrame:
+def predict_next_hour(model: Forest, gold: DataFrame) -> DataFrame:
     """Class and probability of a deficit in the hour after the newest one."""
     scored = score(model, latest_features(gold))
     return scored.select(
@@ -133,22 +126,14 @@ def cross_validate(
     df: DataFrame, features: Sequence[str], label: str, row_id: str, k: int = 5, seed: int = 42,
     c: float = 1.0, max_iter: int = 1000,
 ) -> DataFrame:
-    """Metrics per fold of a stratified k-fold logistic regression.
+    """Metrics per fold of a stratified k-fold logistic regression of a 0/1 label.
 
-    The fold column is computed once on a persisted table; folds are fitted concurrently and their
-    predictions evaluated together in one grouped aggregate.
+    All folds are fitted together, one pass a Newton step, and evaluated in one grouped aggregate.
     """
     folded = stratified_folds(df, label, row_id, k, seed).select(row_id, label, *features, "fold").persist()
-    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}  # k rows
-    total = sum(sizes.values())
-
-    def predict(fold: int) -> DataFrame:
-        train = folded.where(F.col("fold") != fold)
-        model = logistic_pipeline(features, label, total - sizes[fold], c, max_iter).fit(train)
-        return score(model, folded.where(F.col("fold") == fold)).select("fold", label, "prediction", "score")
-
-    with ThreadPool(CONCURRENCY) as pool:
-        predictions = reduce(DataFrame.unionByName, pool.map(predict, sorted(sizes)))
+    models = fit_folds(folded, features, label, "fold", c, max_iter)
+    predicted = predict_folds(folded, features, models, "fold").where("prediction IS NOT NULL")
+    predictions = predicted.select("fold", label, "prediction", F.get("probability", F.lit(1)).alias("score"))
     return _settled(evaluate_binary(predictions, label, ["fold"]), folded)
 
 
@@ -156,44 +141,44 @@ def grid_search_trees(
     df: DataFrame, features: Sequence[str], label: str, row_id: str, grid: Sequence[Mapping[str, object]] = TREE_GRID,
     test_size: float = 0.2, seed: int = 42,
 ) -> DataFrame:
-    """Hold-out metrics of every tree configuration, one row each."""
+    """Hold-out metrics of every tree configuration, one row each. All of them grow together."""
     split = stratified_holdout(df, label, row_id, test_size, seed).select(label, *features, "is_test").persist()
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-
-    def predict(item: tuple[int, Mapping[str, object]]) -> DataFrame:
-        number, config = item
-        scored = tree_pipeline(features, label, config, seed).fit(train).transform(test)
-        return scored.select(F.lit(number).alias("config"), label, "prediction")
-
-    with ThreadPool(CONCURRENCY) as pool:
-        predictions = reduce(DataFrame.unionByName, pool.map(predict, list(enumerate(grid))))
+    forest = grow(split.where(~F.col("is_test")), features, label, [tree_settings(g) for g in grid])
+    test = split.where("is_test")
+    predictions = forest.predictions(split.where("is_test"), [label]).withColumnRenamed("tree", "config").persist()
     measured = K.multiclass_metrics(predictions, label, "prediction", ["config"])
     configs = df.sparkSession.createDataFrame(
         [(i, g["criterion"], g["max_depth"], g["min_samples_split"]) for i, g in enumerate(grid)],
         "config int, criterion string, max_depth int, min_samples_split int",
     )
     named = measured.join(F.broadcast(configs), "config").drop("config")  # one row per configuration
-    return _settled(named, split)
+    try:
+        return _settled(named, split)
+    finally:
+        predictions.unpersist()
+
+
+def split_tables(df: DataFrame, features: Sequence[str], label: str, grid: Sequence[Mapping[str, object]] = TREE_GRID) -> DataFrame:
+    """Every split of every configuration: criterion, max_depth, min_samples_split, node, feature, threshold, rows."""
+    forest = grow(df, features, label, [tree_settings(g) for g in grid])
+    rows = [(grid[t]["criterion"], grid[t]["max_depth"], grid[t]["min_samples_split"], node, *rest) for t, node, *rest, _ in forest.split_rows()]
+    return df.sparkSession.createDataFrame(
+        rows, "criterion string, max_depth int, min_samples_split int, node bigint, feature string, threshold double, rows bigint"
+    )
 
 
-def refit_best_tree(
-    df: DataFrame, features: Sequence[str], label: str, results: DataFrame, seed: int = 42
-) -> tuple[PipelineModel, dict]:
+def refit_best_tree(df: DataFrame, features: Sequence[str], label: str, results: DataFrame) -> tuple[Forest, dict]:
     """Fit the best configuration on every row."""
     best = K.best_configuration(results).first().asDict()
-    return tree_pipeline(features, label, best, seed).fit(df), best
+    return grow(df, features, label, [tree_settings(best)]), best
 
 
-def save_model(model: PipelineModel, metrics: DataFrame, features: Sequence[str], path: str) -> None:
-    """Persist a fitted pipeline with its metrics and feature names."""
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model: Forest, metrics: DataFrame, path: str) -> None:
+    """Persist a fitted forest, which names its features, with its metrics."""
+    save_forest(metrics.sparkSession, model, f"{path}/model")
     metrics.write.mode("overwrite").json(f"{path}/metrics")
-    names = metrics.sparkSession.createDataFrame(list(enumerate(features)), "position int, feature string")
-    names.coalesce(1).write.mode("overwrite").json(f"{path}/features")  # one row per feature
 
 
-def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame, list[str]]:
-    """The pipeline, its metrics and its feature names in order."""
-    features = spark.read.schema("position int, feature string").json(f"{path}/features")
-    names = [r["feature"] for r in features.orderBy("position").collect()]
-    return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metrics"), names
+def load_model(spark, path: str) -> tuple[Forest, DataFrame]:
+    """The forest and its metrics."""
+    return load_forest(spark, f"{path}/model"), spark.read.json(f"{path}/metrics")

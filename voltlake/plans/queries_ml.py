@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import features as X
 from ..operators import metrics as K
 from ..operators import ml
+from ..operators import selection as S
 from ..operators import timeline as T
 from ..session import new_folder
 from .inputs import GOLD_S, SERIES, balance, balance_by_series
@@ -143,7 +144,82 @@ def standardised_features(t):
     return rounded(model.transform(rows).select("event_id", z[0].alias("value_z"), z[1].alias("user_z")))
 
 
-# ---- models; their numbers depend on the tree and solver implementation, so no SQL is given ----
+def _gappy(t):
+    """Readings with gaps, an odd and an even number of values, and a column of many ties."""
+    return t.events.select(
+        "event_id",
+        F.expr("CASE WHEN event_id % 7 <> 0 THEN value END").alias("reading"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN cast(user_id AS double) END").alias("user"),
+        F.expr("CASE WHEN event_id % 11 <> 5 THEN cast(user_id % 4 AS double) END").alias("tied"),
+    )
+
+
+_GAPPY = """gp AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS reading, CASE WHEN event_id % 3 = 0 THEN user_id::DOUBLE END AS "user",
+  CASE WHEN event_id % 11 <> 5 THEN (user_id % 4)::DOUBLE END AS tied FROM events),
+md AS (SELECT median(reading) AS reading, median("user") AS "user", median(tied) AS tied FROM gp)"""
+
+
+@query(f"""WITH {_GAPPY}, fl AS (SELECT event_id, coalesce(gp.reading, md.reading) AS reading, coalesce(gp."user", md."user") AS "user", coalesce(gp.tied, md.tied) AS tied FROM gp CROSS JOIN md)
+SELECT event_id, {', '.join(f'round(("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER (), 6) + 0.0 AS {c}_z' for c in ('reading', 'user', 'tied'))} FROM fl""")
+def median_imputed_features(t):
+    scaled = S.impute_and_scale(_gappy(t), ["reading", "user", "tied"])
+    return rounded(scaled.select("event_id", "reading_z", "user_z", "tied_z"))
+
+
+@query(f"WITH {_GAPPY} SELECT 'reading' AS name, reading AS median FROM md UNION ALL SELECT 'user', \"user\" FROM md UNION ALL SELECT 'tied', tied FROM md")
+def exact_column_medians(t):
+    medians = S.exact_medians(_gappy(t), ["reading", "user", "tied"])
+    return t.spark.createDataFrame(list(medians.items()), "name string, median double")
+
+
+TREE_FEATURES = ["length", "words", "lines", "toxic"]
+
+
+def _coarse_documents(t):
+    words = F.size(F.split("text", " "))
+    lines = F.size(F.split("text", "\n"))
+    docs = t.documents.select("doc_id", *[F.least(F.floor(x / n), F.lit(30)).cast("double").alias(c) for c, x, n in
+                              (("length", F.col("n_chars"), 400), ("words", words, 50), ("lines", lines, 3))])
+    return t.labels.join(docs, "doc_id").select("doc_id", "quality", F.col("toxic").cast("double").alias("toxic"), "length", "words", "lines")
+
+
+def _split_tables_sql() -> str:
+    """All configurations level by level: counts below each threshold, the best fall in impurity, rows sent on."""
+    grid = ", ".join(f"({i}, '{g['criterion']}', {g['max_depth']}, {g['min_samples_split']})" for i, g in enumerate(ml.TREE_GRID))
+    entropy = lambda n, a, b: " - ".join(f"(CASE WHEN {x} > 0 THEN {x} * log2({x}::DOUBLE / {n}) ELSE 0 END)" for x in (a, b))
+    gini = lambda n, a, b: f"{n} * (1 - ((({a})::DOUBLE / ({n})) ** 2 + (({b})::DOUBLE / ({n})) ** 2))"
+    impurity = lambda n, a, b: f"(CASE WHEN criterion = 'gini' THEN {gini(n, a, b)} ELSE - {entropy(n, a, b)} END)"
+    ctes = [
+        f"grid AS (SELECT * FROM (VALUES {grid}) g(config, criterion, max_depth, min_samples_split))",
+        """rows_ AS (SELECT l.doc_id, quality, toxic::DOUBLE AS toxic, least(floor(n_chars / 400), 30)::DOUBLE AS length, least(floor(len(string_split(text, ' ')) / 50), 30)::DOUBLE AS words,
+          least(floor(len(string_split(text, chr(10))) / 3), 30)::DOUBLE AS lines FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE text IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL)""",
+        "long_ AS (" + " UNION ALL ".join(f"SELECT doc_id, quality, {i} AS f, '{c}' AS feature, {c} AS x FROM rows_" for i, c in enumerate(TREE_FEATURES)) + ")",
+        "cut_ AS (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut FROM (SELECT DISTINCT f, x AS v FROM long_))",
+        "a0 AS (SELECT config, doc_id, quality, 1::BIGINT AS node FROM grid CROSS JOIN rows_)",
+    ]
+    depth = max(g["max_depth"] for g in ml.TREE_GRID)
+    for d in range(depth):
+        ctes += [
+            f"n{d} AS (SELECT config, node, count(*) AS n, sum(quality)::BIGINT AS ones FROM a{d} GROUP BY ALL)",
+            f"o{d} AS (SELECT n{d}.*, criterion FROM n{d} JOIN grid USING (config) WHERE {d} < max_depth AND n >= min_samples_split AND ones > 0 AND ones < n)",
+            f"v{d} AS (SELECT config, node, f, feature, x, count(*) AS c, sum(l.quality)::BIGINT AS k FROM a{d} JOIN o{d} USING (config, node) JOIN long_ l USING (doc_id) GROUP BY ALL)",
+            f"""l{d} AS (SELECT config, node, f, feature, cut, n, ones, criterion, coalesce(sum(c) FILTER (x <= cut), 0)::BIGINT AS ln, coalesce(sum(k) FILTER (x <= cut), 0)::BIGINT AS lo
+              FROM v{d} JOIN cut_ USING (f) JOIN o{d} USING (config, node) WHERE cut IS NOT NULL GROUP BY ALL)""",
+            f"""s{d} AS (SELECT * FROM (SELECT *, round(({impurity('n', 'ones', '(n - ones)')} - {impurity('ln', 'lo', '(ln - lo)')} - {impurity('(n - ln)', '(ones - lo)', '(n - ln - ones + lo)')}) / n, 9) AS fall
+              FROM l{d} WHERE ln > 0 AND ln < n) QUALIFY row_number() OVER (PARTITION BY config, node ORDER BY fall DESC, f, cut) = 1)""",
+            f"a{d + 1} AS (SELECT a.config, a.doc_id, a.quality, 2 * a.node + (l.x > s.cut)::BIGINT AS node FROM a{d} a JOIN s{d} s USING (config, node) JOIN long_ l ON l.doc_id = a.doc_id AND l.f = s.f)",
+        ]
+    union = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(depth))
+    return f"WITH {', '.join(c.replace(' AS (', ' AS MATERIALIZED (', 1) for c in ctes)} SELECT g.criterion, max_depth, min_samples_split, node, feature, cut AS threshold, n AS rows FROM ({union}) s JOIN grid g USING (config)"
+
+
+@query(_split_tables_sql())
+def tree_split_tables(t):
+    """The splits of all eight configurations over coarse document measures."""
+    return ml.split_tables(_coarse_documents(t), TREE_FEATURES, "quality")
+
+
+# ---- models whose fits SQL can't follow; tests hold them against plain fits of the same data ----
 
 
 def _without_gaps(t):
@@ -163,7 +239,7 @@ def next_hour_prediction(t):
     gold = _without_gaps(t)
     model, measured = ml.train_deficit_model(gold)
     path = new_folder(t.spark, "model")
-    ml.save_model(model, measured, X.feature_names(), path)
+    ml.save_model(model, measured, path)
     return ml.predict_next_hour(ml.load_model(t.spark, path)[0], gold)
 
 
@@ -210,5 +286,5 @@ def best_tree_refit(t):
     """The best configuration, fitted on every row and scored on them."""
     table, names = _vector_columns(t)
     model, best = ml.refit_best_tree(table, names, "label", ml.grid_search_trees(table, names, "label", "vec_id"))
-    measured = K.multiclass_metrics(model.transform(table), "label", "prediction")
+    measured = K.multiclass_metrics(model.score(table).where("prediction IS NOT NULL"), "label", "prediction")
     return measured.withColumns({k: F.lit(best[k]) for k in ("criterion", "max_depth", "min_samples_split")})
