@@ -12,8 +12,9 @@ and would cost more comparisons than entries for one-deletion neighbourhoods of
 costly segment nothing and cheap segments two units (`_reallocate`).
 
 Verification compares whole sets of 64-bit shingle hashes. Copies are compared as one set. In a group of sets that
-share a segment, each is first compared with one partner; only pairs that verified links leave in different
-components are compared further, so that groups of copies never cost all their pairs.
+share a segment, each is first compared with one partner. What is then in different components is compared chunk by
+chunk, first within chunks and then between them, and a piece of work returns a spanning forest of likely links, which
+are verified. Where one of them is wrong, the groups of its sets are compared by whole sets. No step writes all pairs.
 
 Rules: a null or blank text has no shingles, size 0, and is linked with nothing; it is its own component. With fewer
 words than a shingle has, the whole sequence is the one shingle. Rows without doc_id come back with a null
@@ -232,14 +233,8 @@ def _sets(width: int, threshold: Threshold):
 def _verify(threshold: Threshold):
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(threshold.den * both >= threshold.num * (len(x) + len(y) - both))
+            pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in pairs]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -273,29 +268,41 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _compare(threshold: Threshold, best: bool):
-    """Pairs of a group, in different components, that neither profiles nor hash ends rule out.
+def _linked(x: np.ndarray, y: np.ndarray, threshold: Threshold) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return threshold.den * both >= threshold.num * (len(x) + len(y) - both)
+
+
+def _compare(threshold: Threshold, exact: bool):
+    """Links of a piece of work that join its components to each other: a spanning forest, never all pairs.
 
     Two segments whose hashes differ hold at least one shingle of difference, two if they are of equal size, and
-    never fewer than their sizes differ by. A shingle in both sets has its hash's end in both. With `best`, only the
-    likeliest partner of a set x in each other component is returned, so that a group never returns all its pairs;
-    `more` tells that there were others.
+    never fewer than their sizes differ by. A shingle in both sets has its hash's end in both. Of the pairs that these
+    bounds leave, a set returns the likeliest one to each other component of the piece and the components become one.
+    With `exact`, `tokens` holds whole sets and a pair must be linked to count.
     """
 
     def run(batches):
         seen = np.zeros(1 << 16, bool)
         for t in _runs(batches, 3):
             d, n, comp, chunk = (t.column(c).to_numpy() for c in ("d", "n", "component", "chunk"))
-            table = np.stack([np.frombuffer(p, np.uint8) for p in t.column("profile").to_pylist()])
-            m = table.shape[1] // 3
-            sig, size = np.ascontiguousarray(table[:, : 2 * m]).view(np.uint16), table[:, 2 * m :].astype(np.int16)
-            tokens = [np.frombuffer(x, np.uint16) for x in t.column("tokens").to_pylist()]
+            root = np.unique(comp, return_inverse=True)[1]
             i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
             left = np.flatnonzero(chunk == i)
             right = left if i == j else np.flatnonzero(chunk == j)
-            found = ([], [], [], [])
+            if not len(left) or not len(right) or (root == root[0]).all():
+                continue
+            table = np.stack([np.frombuffer(p, np.uint8) for p in t.column("profile").to_pylist()])
+            m = table.shape[1] // 3
+            sig, size = np.ascontiguousarray(table[:, : 2 * m]).view(np.uint16), table[:, 2 * m :].astype(np.int16)
+            whole = [np.frombuffer(x, np.uint64 if exact else np.uint16) for x in t.column("tokens").to_pylist()]
+            tokens = [x.astype(np.uint16) for x in whole] if exact else whole
+            found: list[tuple[int, int]] = []
             for x in left:
-                y = right[(comp[right] != comp[x]) & ((d[right] > d[x]) if i == j else True)]
+                y = right[(root[right] != root[x]) & ((d[right] > d[x]) if i == j else True)]
                 low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
                 y = y[threshold.den * low >= threshold.num * high]
                 if not len(y):
@@ -310,43 +317,46 @@ def _compare(threshold: Threshold, best: bool):
                 both = np.array([np.count_nonzero(seen[tokens[k]]) for k in y])
                 seen[tokens[x]] = False
                 margin = both * (threshold.num + threshold.den) - threshold.num * (n[x] + n[y])
-                y, margin = y[margin >= 0], margin[margin >= 0]
-                more = np.zeros(len(y), bool)
-                if best and len(y) > 1:
-                    order = np.argsort(-margin, kind="stable")
-                    _, at, times = np.unique(comp[y[order]], return_index=True, return_counts=True)
-                    y, more = y[order][at], times > 1
-                for out, values in zip(found, (np.minimum(d[x], d[y]), np.maximum(d[x], d[y]), np.full(len(y), d[x]), more), strict=True):
-                    out.append(values)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b", "x", "more"])
+                for k in y[np.argsort(-margin, kind="stable")][: int((margin >= 0).sum())].tolist():
+                    if root[k] != root[x] and (not exact or _linked(whole[x], whole[k], threshold)):
+                        found.append((int(min(d[x], d[k])), int(max(d[x], d[k]))))
+                        root[root == root[k]] = root[x]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
 
 CHUNK = 512  # rows of a group that meet in one piece of work; larger groups are compared chunk by chunk
+CHUNK_SHINGLES = 2 << 20  # of a chunk, about, if its sets are long
 
 
 def _different(rows: DataFrame) -> DataFrame:
-    """`rows` less groups with the very members of another group."""
+    """`rows` less groups with the very members of another group; with them, the chunks a group is cut into."""
     groups = rows.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("x"), F.min("d").alias("y"), F.max("d").alias("z")
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("x"), F.min("d").alias("y"), F.max("d").alias("z")
     )
     # The band stays apart, as profiles are compared within it.
-    one = groups.groupBy(F.expr(BAND_OF), "k", "x", "y", "z").agg(F.min("sig").alias("sig")).select("sig", "k")
-    return rows.join(one, "sig")
-
-
-def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, best: bool) -> DataFrame:
-    """Pairs (a, b, x, more) from the groups of `rows` that may be linked. Groups never meet whole in one task."""
-    rows = _different(rows).withColumn("chunks", F.ceil(F.col("k") / CHUNK).cast("int"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
-    rows = rows.join(profiles, ["d", "band"])
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.select("sig", "i", "j", "chunk", "d", "n", "component", "profile", "tokens")
+    one = groups.groupBy(F.expr(BAND_OF), "k", "x", "y", "z").agg(F.min("sig").alias("sig"), F.max("shingles").alias("shingles"))
+    chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    return rows.join(one.select("sig", chunks.alias("chunks")), "sig")
+
+
+OWN, CROSS, ALL = "within chunks", "between chunks", "all"
+
+
+def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, pieces: str, exact: bool = False) -> DataFrame:
+    """Pairs (a, b) from the groups of `rows` that may be linked, or with `exact` are. Groups never meet whole in one task."""
+    rows = _different(rows).withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
+    if pieces == OWN:
+        rows = rows.withColumn("other", F.col("chunk"))
+    else:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.where("chunk != other") if pieces == CROSS else rows
+    rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    rows = rows.join(profiles, ["d", "band"]).select("sig", "i", "j", "chunk", "d", "n", "component", "profile", "tokens")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return rows.mapInArrow(_compare(threshold, best), "a bigint, b bigint, x bigint, more boolean").distinct()
+    return rows.mapInArrow(_compare(threshold, exact), "a bigint, b bigint").distinct()
 
 
 ROW_COST = 500  # a shuffled index entry costs as much as so many comparisons of segments
@@ -494,18 +504,30 @@ def linked_components(
     stars = stars.select(F.col("first.d").alias("a"), F.col("d").alias("b")).distinct()
     links = staged(_verified(stars, sets, t), "links")
     found = staged(components(links), "components")
-    mixed = _reallocate(_across(groups, found), sets, t, row_cost)
-    pairs = staged(_survivors(mixed, profiles, t, best=True), "likely-pairs")
-    links = links.unionByName(staged(_verified(pairs.select("a", "b").distinct(), sets, t), "links"))
-    found = staged(components(links), "components")
-    # Where a likeliest pair is linked, so are the others it stood for. Where it is not, all of them are compared.
-    failed = staged(pairs.where("more").join(links.select("a", "b"), ["a", "b"], "left_anti").select(F.col("x").alias("d")).distinct(), "failed")
+    mixed = staged(_reallocate(_across(groups, found), sets, t, row_cost).select("sig", "d", "n", "component"), "mixed-groups")
+    reached = mixed.drop("component")
+    # Within chunks first: what they join is one component where chunks meet, so that few links are left to find there.
+    failed = None
+    for pieces in (OWN, CROSS):
+        if pieces == CROSS:
+            large = reached.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+            large = large.where((F.col("k") > CHUNK) | (F.col("s") > CHUNK_SHINGLES)).select("sig")
+            mixed = _across(reached.join(large, "sig", "left_semi"), found)
+            if mixed.isEmpty():
+                break
+        pairs = staged(_survivors(mixed, profiles, t, pieces), "likely-pairs")
+        good = staged(_verified(pairs, sets, t), "links")
+        links = links.unionByName(good)
+        wrong = pairs.join(good, ["a", "b"], "left_anti")
+        failed = wrong if failed is None else failed.unionByName(wrong)
+        found = staged(components(links), "components")
+    # A likely pair that isn't linked stood for others of its groups. There whole sets are compared, and links returned.
+    failed = staged(failed.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "failed")
     if not failed.isEmpty():
-        again = _across(groups, found)
-        again = again.join(again.join(failed, "d", "left_semi").select("sig").distinct(), "sig", "left_semi")
-        again = _reallocate(staged(again, "mixed-groups"), sets, t, row_cost)
-        more = _verified(_survivors(again, profiles, t, best=False).select("a", "b").distinct(), sets, t)
-        found = components(links.unionByName(staged(more, "links")))
+        again = _across(reached, found)
+        again = staged(again.join(again.join(failed, "d", "left_semi").select("sig").distinct(), "sig", "left_semi"), "mixed-groups")
+        whole = profiles.drop("tokens").join(sets.select("d", F.col("shingles").alias("tokens")), "d")
+        found = components(links.unionByName(staged(_survivors(again, whole, t, ALL, exact=True), "links")))
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")
     )
