@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.util import documents, lower
 from voltlake.llm import language_id, maxent_lm, packing, piece_bpe, secret_scan, token_counts
+from voltlake.llm.tokenizers import byte_bpe_ids
 
 BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [
@@ -54,6 +55,24 @@ def test_packing_places_every_id_once(spark):
     assert padding < 0.02
 
 
+def test_byte_ids_of_long_runs():
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    runs = [" " * 1_000_000 + "a", "\n" * 1_000_000, "\n" * 2_000_000 + "x", "\t" * 300_000 + " b", "a" + " \n" * 200_000, " " * 10_000, "b" + " " * 10_001 + "c", "\x1c" * 20_000 + "a", "\u3000" * 20_000 + "!", "7" * 100_000]
+    for text in [*runs, "start " + " " * 12_000 + "<|endoftext|>" + "\n" * 12_000 + " end"]:
+        assert byte_bpe_ids(BYTE_BPE, text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:20])
+
+
+def test_packing_of_a_long_run(spark):
+    rows = [(1, " " * 1_000_000 + "a"), (2, "\n" * 1_000_000), (3, "plain text")]
+    pieces = packing.pack(documents(spark, rows), BYTE_BPE).collect()
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    for i, text in rows:
+        want = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        mine = sorted((p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces if p.doc_id == i)
+        assert [(n, c, t) for _, n, c, t in mine] == [(n, zlib.crc32(want[s : s + n].tobytes()), len(want)) for s, n, _, _ in mine]
+        assert sum(n for _, n, _, _ in mine) == len(want)
+
+
 def test_packed_sequences_hold_the_ids(spark):
     pieces = packing.pack(documents(spark, TEXTS[:5]), BYTE_BPE, 64, keep_ids=True)
     whole = {r.sequence_id: (r.n_tokens, r.ids) for r in packing.sequences(pieces).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import tiktoken
@@ -34,5 +35,22 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space as the pattern means it. A run of so many characters is encoded by itself, as the engine of the pattern
+#: keeps a state for every character it may have to give back.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
 def byte_bpe_ids(path: str, text: str) -> np.ndarray:
-    return byte_bpe(path).encode_to_numpy(text, allowed_special="all")
+    """Ids of a whole text.
+
+    The pattern makes one pre-token of a run of white space, less its last character if more text follows, so long
+    runs are cut out at those borders.
+    """
+    encoder, parts, at = byte_bpe(path), [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(encoder.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        parts.append(np.array(encoder._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    parts.append(encoder.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
