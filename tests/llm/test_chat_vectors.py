@@ -97,6 +97,16 @@ def test_near_vectors_edge_rows(spark):
     assert near_vectors.near_vectors(vectors(spark, [])).collect() == []
 
 
+def test_near_vectors_of_extreme_sizes_and_repeated_ids(spark):
+    schema = "vec_id bigint, embedding array<double>, label int"
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 1e195], 1), (3, [1e-200, 0.0], 1), (4, [5e-324, 0.0], 1), (5, [0.0, 1.7e308], 1)]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5)}
+    rows = [(7, [1.0, 0.0], 1), (8, [1.0, 0.01], 1), (7, [0.0, 1.0], 2), (9, [0.01, 1.0], 2), (7, [-1.0, 0.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(7, 0, 7), (7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7)]
+
+
 def test_local_trees_compare_less_than_all_pairs(monkeypatch):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=16) + rng.normal(size=(200, 16)) * 0.01 for _ in range(10)])

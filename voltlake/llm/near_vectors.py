@@ -13,11 +13,14 @@ the smallest point it is connected with, so no pairs are written however large a
 
 Rules: rows with a null label, or whose vector is null, empty, zero or holds a null or non-finite component, link
 with nothing and are their own component. Vectors of different length are not compared. Rows without vec_id have a
-null component and add no links. Repeated rows are vectors of their own. An empty table gives no rows.
+null component and add no links. Repeated rows are vectors of their own, and so are rows that share an id and no more.
+Vectors of any finite size link by their direction. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,9 +30,9 @@ from .common import prepare, staged
 from .graph import components
 from .set_join import _runs
 
-CELL = 2000  # points of a leaf cell at most, unless halving the radius no longer divides it
+CELL_BYTES = 8 << 20  # vectors of a leaf cell at most, unless halving the radius no longer divides it
 SAMPLE, NET = 256, 32  # rows of a cell that a net is drawn from, and points of a net, at most
-LEAF = 48  # points of a leaf of a local tree
+LEAF = 192  # points of a leaf of a local tree, compared by one matrix product
 SLACK = 1e-9
 
 
@@ -39,8 +42,13 @@ def _units(batches):
         out = []
         for v in b.column(2).to_pylist():
             x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
-            norm = float(np.sqrt(x @ x)) if len(x) and np.isfinite(x).all() else 0.0
-            out.append((x / norm).tobytes() if norm > 0 and np.isfinite(norm) else None)
+            largest = float(np.abs(x).max()) if len(x) and np.isfinite(x).all() else 0.0
+            if largest > 0:
+                # Scaled by a power of two first: exact, and the norm neither over- nor underflows.
+                x = np.ldexp(x, -math.frexp(largest)[1])
+                out.append((x / np.sqrt(x @ x)).tobytes())
+            else:
+                out.append(None)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "vec"])
 
 
@@ -199,11 +207,13 @@ def _near_cells(limit: float):
 POINTS = "rep bigint, weight bigint, vec binary, cell string"
 
 
-def _divide(points: DataFrame, cell_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+def _divide(points: DataFrame, cell_rows: int | None) -> tuple[DataFrame, list[DataFrame]]:
     """Points with their leaf cells, and the table (cell, child) of every level."""
     levels, radius = [], 1.0
     while True:
-        counts = staged(points.groupBy("cell").count().where(F.col("count") > cell_rows), "large-cells")
+        sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("vec")).alias("bytes"))
+        large = F.col("count") > cell_rows if cell_rows else F.col("bytes") > CELL_BYTES
+        counts = staged(sizes.where(large & (F.col("count") > 1)), "large-cells")
         if radius < SLACK or counts.isEmpty():
             return points, levels
         by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("rep"))
@@ -240,15 +250,18 @@ def _cell_pairs(points: DataFrame, levels: list[DataFrame], limit: float) -> Dat
     return pairs
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = CELL) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, cell_rows: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label).
+
+    `cell_rows` bounds cells by rows instead of bytes."""
     spark: SparkSession = prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     units = staged(rows.mapInArrow(_units, "vec_id bigint, label string, vec binary"), "units")
     able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull()
-    points = units.where(able).groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    points = staged(points, "points")
-    member = units.where(able).join(points.hint("merge"), ["label", "vec"]).select("vec_id", "rep", "weight")
+    points = units.where(able).groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    # Numbered as they are written: several points may bear the same smallest id.
+    points = staged(points.withColumn("rep", F.monotonically_increasing_id()), "points")
+    member = units.where(able).join(points.hint("merge"), ["label", "vec"]).select("vec_id", "rep", "least", "weight")
     # A label is hashed, so that no character of it can look like a path.
     root = F.sha2(F.concat_ws(":", F.length("vec").cast("string"), "label"), 256)
     leaves, levels = _divide(points.select("rep", "weight", "vec", root.alias("cell")), cell_rows)
@@ -256,9 +269,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = CELL
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
     work = sides.join(leaves, "cell").select("i", "j", "cell", "rep", "weight", "vec").repartition("i", "j").sortWithinPartitions("i", "j")
     found = staged(work.mapInArrow(_join(cosine), "rep bigint, other bigint, linked bigint"), "vector-links")
-    named = components(found.select("rep", "other"), "rep", "other")
+    named = components(found.select("rep", "other"), "rep", "other").withColumnRenamed("node", "rep")
+    smallest = named.join(points.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = staged(named.join(smallest, "component").select("rep", "component_id"), "named")
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    done = member.join(linked, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    done = done.select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    done = member.join(linked, "rep", "left").join(named, "rep", "left")
+    done = done.select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     alone = units.where(~able).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
