@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,6 +157,36 @@ def test_secret_scan_finds_planted_secrets_and_leaves_the_rest(spark):
     assert all(clean[i].text == text[i] for i in untouched)
 
 
+def test_secret_patterns_read_a_text_once():
+    for part in (b"sk-", b"sk-abc_", b"sk_", b"-sk-" + b"a" * 19, b"ghp_", b"eyJaaaaaaaa.", b"glpat-x", b"= "):
+        started = time.process_time()
+        raw = part * (1_000_000 // len(part))
+        secret_scan._KNOWN.search(raw)
+        secret_scan.candidates(raw)
+        assert time.process_time() - started < 3, part
+    known = lambda raw: secret_scan._KNOWN.search(raw) is not None
+    assert known(b"sk-" + b"aB3" * 8) and known(b"sk-proj-ab_cd-" + b"x1" * 10 + b"-_") and known(b"x sk-" + b"a" * 20)
+    assert not known(b"sk-" + b"a" * 19) and not known(b"sk-ab-" + b"c" * 19 + b"-d") and not known(b"risk-" + b"a" * 30)
+
+
+def test_dictionary_share_takes_the_longest_words(spark):
+    words = frozenset([b"pass", b"password", b"horse", b"ords"])
+    assert secret_scan.dictionary_share(b"Password-horse1", words) == 13 / 15
+    assert secret_scan.dictionary_share(b"xpassx.pas", words) == 0.4 and secret_scan.dictionary_share(b"123", words) == 0
+    letters = secret_scan.Letters.of(documents(spark, [(i, "common words here " * 20 + f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)] + [(None, None)]))
+    counts = Counter(w for i in range(300) for w in ["common", "words", "here"] * 20)
+    assert set(w.decode() for w in letters.words) >= set(counts) and len(letters.words) <= 1 / secret_scan.WORD_SHARE
+
+
+def test_secret_sample_takes_the_smallest_hashes(spark):
+    rng = random.Random(1)
+    rows = [(i % 2, rng.randrange(1 << 56), [float(i % 2)] * len(secret_scan.FEATURES)) for i in range(4000)]
+    findings = spark.createDataFrame(rows + rows[:1000] * 2, "label int, order bigint, x array<double>")
+    forest = secret_scan.train(documents(spark, [(1, "text")]), findings, 50)
+    assert len(forest.trees) == secret_scan.TREES
+    assert forest.score(np.array([[0.0] * len(secret_scan.FEATURES), [1.0] * len(secret_scan.FEATURES)])).round().tolist() == [0, 1]
+
+
 def test_secret_scan_edge_rows(spark):
     rows = [(1, None), (2, ""), (None, 'key = "a1b2c3d4e5f6a7b8c9d0"'), (3, 'é token: "a1b2c3d4e5f6a7b8c9d0" é'), (3, "x" * 200_000), (4, "plain words only")]
     docs = documents(spark, rows)

@@ -2,8 +2,8 @@
 
 A candidate is a run of 16 or more token characters, or a value of 8 or more characters assigned to something, with
 the padding at its end but never with the name before it: NAME=value, NAME:value and ?name=value yield the value. The
-forest sees its length, its character transitions, how much of it the corpus's own letter trigrams cover, whether
-it looks like part of a path or address, whether it has the form of a known key or lies in a private key block, and the
+forest sees its length, its character transitions, how much of it the corpus's own letter trigrams cover and how much
+words of a dictionary do (the words of 4 to 16 letters that make up at least `WORD_SHARE` of all in the corpus), whether it looks like part of a path or address, whether it has the form of a known key or lies in a private key block, and the
 words around it. It learns from labelled findings, by default from the clear cases of the corpus itself. Secrets are
 known key forms, private key blocks, and values assigned to a secret-bearing name that are no code or path: mixed of
 letters and digits, or of any length and letters if the name stands right before them. Plain are only candidates with a
@@ -11,7 +11,7 @@ sign of it: word-like, all digits, in a path or address, or after a plain name s
 unlabelled. Every labelled finding is learned with and without its neighbours, so that shape alone can decide.
 
 The forest is fitted on at most `LABELLED` findings of each label, those with the smallest hashes. The trigram
-table counts all texts. Scanning is one pass over whole texts without a shuffle.
+table and the dictionary count all texts. Scanning is one pass over whole texts without a shuffle.
 
 Rules: null and empty texts have no findings. If the corpus has no labelled finding of one of the labels, the rule
 that labels clear cases decides alone. Repeated rows and ids are scanned row by row. Offsets count bytes of the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +34,12 @@ from .common import decode, documents_of, prepare, staged
 
 LABELLED = 5000  # labelled findings per label that the forest is fitted on
 TREES, DEPTH, LEAF = 40, 8, 3
+ORDERS = 1 << 56  # of findings
 REDACTED = b"[secret removed]"
 SECRET_NAMES = (b"api", b"auth", b"bearer", b"credential", b"key", b"pass", b"private", b"pwd", b"secret", b"token")
 PLAIN_NAMES = (b"checksum", b"commit", b"digest", b"hash", b"md5", b"revision", b"sha", b"uuid", b"version")
 FEATURES = (
-    "length digits upper class_changes distinct entropy transition coverage slashes dots brackets known address assigned quoted secret_name"
+    "length digits upper class_changes distinct entropy transition coverage dictionary slashes dots brackets known address assigned quoted secret_name"
     " plain_name named block"
 ).split()
 NEIGHBOURS = slice(FEATURES.index("address"), len(FEATURES))
@@ -54,7 +56,9 @@ _DOTTED = rb"(?<![A-Za-z0-9_-])(?:eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A
 _PARTS = re.compile(_DOTTED)
 _KNOWN = re.compile(
     _DOTTED + rb"|(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
-    rb"|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]*[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}"
+    rb"|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"
+    # Passes over short parts for good, so that a text is read once however often such a key seems to begin.
+    rb"|(?<![_-])sk-(?:[_-]*+[A-Za-z0-9]{1,19}+(?![A-Za-z0-9]))*+[_-]*+[A-Za-z0-9]{20}[A-Za-z0-9_-]*+|AIza[A-Za-z0-9_-]{35}"
     rb"|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|hf_[A-Za-z0-9]{30,})"
 )
 _BEGIN = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -75,6 +79,39 @@ def _trigrams(raw: bytes) -> np.ndarray:
     return k[:-2] * (_N * _N) + k[1:-1] * _N + k[2:]
 
 
+WORD = re.compile(rb"[a-z]{4,16}")
+WORD_SHARE = 2e-5  # of all words of the corpus: what a word of the dictionary makes up, so it has 50,000 words at most
+HELD_WORDS = 200_000  # distinct words a task counts before it hands them on
+
+
+def dictionary_share(value: bytes, words: frozenset[bytes]) -> float:
+    """Share of a candidate's characters in words of the dictionary, the longest one taken from each place on."""
+    covered, lowered = 0, value.lower()
+    for run in re.finditer(rb"[a-z]{4,}", lowered):
+        at, end = run.span()
+        while at + 4 <= end:
+            size = next((n for n in range(min(16, end - at), 3, -1) if lowered[at : at + n] in words), 0)
+            covered += size
+            at += size or 1
+    return covered / len(value)
+
+
+def _count_words(batches):
+    """Counts of the words of 4 to 16 letters."""
+    n: Counter[bytes] = Counter()
+
+    def counted():
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    for b in batches:
+        for raw in b.column(1).to_pylist():
+            n.update(WORD.findall(raw.lower()))
+            if len(n) > HELD_WORDS:
+                yield counted()
+                n.clear()
+    yield counted()
+
+
 def _count(batches):
     n = np.zeros(_N**3, np.int64)
     for b in batches:
@@ -89,19 +126,24 @@ def _count(batches):
 
 @dataclass
 class Letters:
-    """What is usual in the corpus: log probability of a character after another, and the trigrams in use."""
+    """What is usual in the corpus: log probability of a character after another, the trigrams in use, frequent words."""
 
     transition: np.ndarray
     usual: np.ndarray
+    words: frozenset[bytes] = frozenset()
 
     @staticmethod
     def of(docs: DataFrame) -> Letters:
-        """Counted over all texts; the driver receives one number per trigram of 29 character kinds."""
+        """Counted over all texts; the driver receives one number per trigram of 29 character kinds, and the dictionary."""
         got = documents_of(docs).mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(_N**3)
         n[got.column("gram").to_numpy()] = got.column("n").to_numpy()
         pairs = n.reshape(_N, _N, _N).sum(axis=2) + 1
-        return Letters(np.log(pairs / pairs.sum(axis=1, keepdims=True)), n >= 1e-5 * max(1.0, n.sum()))
+        words = documents_of(docs).mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        words = staged(words, "word-counts")
+        total = words.agg(F.sum("n")).first()[0] or 0
+        frequent = words.where(F.col("n") >= WORD_SHARE * total).select("word").toArrow().column(0).to_pylist()
+        return Letters(np.log(pairs / pairs.sum(axis=1, keepdims=True)), n >= 1e-5 * max(1.0, n.sum()), frozenset(frequent))
 
 
 def _values(raw: bytes):
@@ -178,6 +220,7 @@ def features(raw: bytes, i: int, j: int, letters: Letters, block: bool = False)
         float(-(share * np.log2(share)).sum()),
         float(letters.transition[kind[:-1], kind[1:]].mean()) if len(b) > 1 else 0.0,
         float(letters.usual[grams].mean()) if len(grams) else 0.0,
+        dictionary_share(value, letters.words),
         value.count(b"/") / len(b),
         value.count(b".") / len(b),
         sum(map(value.count, b"()[]{}<>$*")) / len(b),
@@ -295,12 +338,17 @@ def labelled_findings(docs: DataFrame, letters: Letters) -> DataFrame:
 def train(docs: DataFrame, findings: DataFrame | None = None, bound: int = LABELLED) -> Forest:
     """Fit the forest on labelled findings (label, order, x), by default those of `labelled_findings`.
 
-    At most `bound` findings per label reach the driver. The trees grow as tasks, each on the whole sample.
+    At most `bound` findings per label reach the driver, those with the smallest `order`, an even hash below 2**56;
+    equal findings count once. The trees grow as tasks, each on the whole sample.
     """
     spark = prepare(docs.sparkSession)
     letters = Letters.of(docs)
-    findings = staged(labelled_findings(docs, letters) if findings is None else findings, "labelled-findings")
-    sample = [findings.where(F.col("label") == k).orderBy("order", "x").limit(bound).collect() for k in (0, 1)]
+    findings = labelled_findings(docs, letters) if findings is None else findings.select("label", "order", "x")
+    findings = staged(findings.dropDuplicates(["label", "order", "x"]), "labelled-findings")
+    count = {r["label"]: r["count"] for r in findings.groupBy("label").count().collect()}
+    # Hashes are even, so below this one lie `bound` findings and some; the least of them are taken.
+    below = {k: ORDERS if n <= 2 * bound else int(ORDERS * (bound + 8 * bound**0.5) / n) for k, n in count.items()}
+    sample = [findings.where((F.col("label") == k) & (F.col("order") < below.get(k, 0))).orderBy("order", "x").limit(bound).collect() for k in (0, 1)]
     if not all(sample):
         return Forest(letters, [])
     x = np.array([r["x"] for part in sample for r in part])
