@@ -14,7 +14,7 @@ costly segment nothing and cheap segments two units (`_reallocate`).
 Verification compares whole sets of 64-bit shingle hashes. Copies are compared as one set. In a group of sets that
 share a segment, each is first compared with one partner. What is then in different components is compared chunk by
 chunk, first within chunks and then between them, and a piece of work returns a spanning forest of likely links, which
-are verified. Where one of them is wrong, the groups of its sets are compared by whole sets. No step writes all pairs.
+are verified. Where one of them is wrong, its group is compared by whole sets. No step writes all pairs.
 
 Rules: a null or blank text has no shingles, size 0, and is linked with nothing; it is its own component. With fewer
 words than a shingle has, the whole sequence is the one shingle. Rows without doc_id come back with a null
@@ -322,7 +322,8 @@ def _compare(threshold: Threshold, exact: bool):
                         found.append((int(min(d[x], d[k])), int(max(d[x], d[k]))))
                         root[root == root[k]] = root[x]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                group = [t.column("sig")[0].as_py()] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*zip(*found, strict=True), group)], ["a", "b", "sig"])
 
     return run
 
@@ -346,7 +347,7 @@ OWN, CROSS, ALL = "within chunks", "between chunks", "all"
 
 
 def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, pieces: str, exact: bool = False) -> DataFrame:
-    """Pairs (a, b) from the groups of `rows` that may be linked, or with `exact` are. Groups never meet whole in one task."""
+    """(a, b, sig): pairs from the groups of `rows` that may be linked, or with `exact` are. Groups never meet whole in one task."""
     rows = _different(rows).withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
     if pieces == OWN:
         rows = rows.withColumn("other", F.col("chunk"))
@@ -356,7 +357,7 @@ def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, piece
     rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     rows = rows.join(profiles, ["d", "band"]).select("sig", "i", "j", "chunk", "d", "n", "component", "profile", "tokens")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return rows.mapInArrow(_compare(threshold, exact), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(_compare(threshold, exact), "a bigint, b bigint, sig bigint")
 
 
 ROW_COST = 500  # a shuffled index entry costs as much as so many comparisons of segments
@@ -516,18 +517,18 @@ def linked_components(
             if mixed.isEmpty():
                 break
         pairs = staged(_survivors(mixed, profiles, t, pieces), "likely-pairs")
-        good = staged(_verified(pairs, sets, t), "links")
+        good = staged(_verified(pairs.select("a", "b").distinct(), sets, t), "links")
         links = links.unionByName(good)
         wrong = pairs.join(good, ["a", "b"], "left_anti")
         failed = wrong if failed is None else failed.unionByName(wrong)
         found = staged(components(links), "components")
-    # A likely pair that isn't linked stood for others of its groups. There whole sets are compared, and links returned.
-    failed = staged(failed.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "failed")
+    # A likely pair that isn't linked stood for others of its group. There whole sets are compared, and links returned.
+    failed = staged(failed.select("sig").distinct(), "failed")
     if not failed.isEmpty():
-        again = _across(reached, found)
-        again = staged(again.join(again.join(failed, "d", "left_semi").select("sig").distinct(), "sig", "left_semi"), "mixed-groups")
+        again = _across(reached.join(failed, "sig", "left_semi"), found)
         whole = profiles.drop("tokens").join(sets.select("d", F.col("shingles").alias("tokens")), "d")
-        found = components(links.unionByName(staged(_survivors(again, whole, t, ALL, exact=True), "links")))
+        exact = staged(_survivors(again, whole, t, ALL, exact=True), "links")
+        found = components(links.unionByName(exact.select("a", "b").distinct()))
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")
     )
