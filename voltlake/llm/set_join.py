@@ -14,7 +14,7 @@ costly segment nothing and cheap segments two units (`_reallocate`).
 Verification compares whole sets of 64-bit shingle hashes. Copies are compared as one set. In a group of sets that
 share a segment, each is first compared with one partner. What is then in different components is compared chunk by
 chunk, first within chunks and then between them, and a piece of work returns a spanning forest of likely links, which
-are verified. Where one of them is wrong, its group is compared by whole sets. No step writes all pairs.
+are verified. Where one of them is wrong, its group is compared by ends of hashes, then by whole sets. No step writes all pairs.
 
 Rules: a null or blank text has no shingles, size 0, and is linked with nothing; it is its own component. With fewer
 words than a shingle has, the whole sequence is the one shingle. Rows without doc_id come back with a null
@@ -213,19 +213,19 @@ def _sets(width: int, threshold: Threshold):
 
     def run(batches):
         for b in batches:
-            sets, tokens, bands, profiles = [], [], [], []
+            sets, ends, bands, profiles = [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingle_set(raw, width)
                 mine = threshold.bands(len(s)) if len(s) else []
                 sets.append(s.tobytes())
-                tokens.append(s.astype(np.uint16).tobytes())
+                ends.append(s.astype(np.uint16).tobytes())
                 bands.append([band for band, _, _ in mine])
                 profiles.append([])
                 for band, m, _ in mine:
                     sig, size = _signatures(s, band, m)
                     profiles[-1].append(sig.astype(np.uint16).tobytes() + np.minimum(size, 255).astype(np.uint8).tobytes())
-            cols = [pa.array(sets, pa.binary()), pa.array(tokens, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(profiles, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["d", "shingles", "tokens", "bands", "profiles"])
+            cols = [pa.array(sets, pa.binary()), pa.array(ends, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(profiles, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["d", "shingles", "ends", "bands", "profiles"])
 
     return run
 
@@ -276,13 +276,13 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: Threshold) -> bool:
     return threshold.den * both >= threshold.num * (len(x) + len(y) - both)
 
 
-def _compare(threshold: Threshold, exact: bool):
+def _compare(threshold: Threshold, detail: str):
     """Links of a piece of work that join its components to each other: a spanning forest, never all pairs.
 
     Two segments whose hashes differ hold at least one shingle of difference, two if they are of equal size, and
-    never fewer than their sizes differ by. A shingle in both sets has its hash's end in both. Of the pairs that these
-    bounds leave, a set returns the likeliest one to each other component of the piece and the components become one.
-    With `exact`, `tokens` holds whole sets and a pair must be linked to count.
+    never fewer than their sizes differ by. Of the pairs that this bound leaves, a set returns the one with the least
+    difference to each other component of the piece, and the components become one. With `ENDS` a pair must also share
+    enough ends of hashes, as a shingle in both sets has its end in both; with `WHOLE` it must be linked.
     """
 
     def run(batches):
@@ -298,8 +298,8 @@ def _compare(threshold: Threshold, exact: bool):
             table = np.stack([np.frombuffer(p, np.uint8) for p in t.column("profile").to_pylist()])
             m = table.shape[1] // 3
             sig, size = np.ascontiguousarray(table[:, : 2 * m]).view(np.uint16), table[:, 2 * m :].astype(np.int16)
-            whole = [np.frombuffer(x, np.uint64 if exact else np.uint16) for x in t.column("tokens").to_pylist()]
-            tokens = [x.astype(np.uint16) for x in whole] if exact else whole
+            whole = [np.frombuffer(x, np.uint64) for x in t.column(WHOLE).to_pylist()] if detail == WHOLE else None
+            ends = [np.frombuffer(x, np.uint16) for x in t.column(ENDS).to_pylist()] if detail == ENDS else [x.astype(np.uint16) for x in whole or ()]
             found: list[tuple[int, int]] = []
             for x in left:
                 y = right[(root[right] != root[x]) & ((d[right] > d[x]) if i == j else True)]
@@ -310,15 +310,16 @@ def _compare(threshold: Threshold, exact: bool):
                 gap = np.abs(size[y] - size[x])
                 gap = np.where(gap, gap, 2) * (sig[y] != sig[x])
                 reach = (n[x] + n[y]) * (threshold.den - threshold.num) // (threshold.den + threshold.num)
-                y = y[gap.sum(axis=1) <= reach]
-                if not len(y):
-                    continue
-                seen[tokens[x]] = True
-                both = np.array([np.count_nonzero(seen[tokens[k]]) for k in y])
-                seen[tokens[x]] = False
-                margin = both * (threshold.num + threshold.den) - threshold.num * (n[x] + n[y])
-                for k in y[np.argsort(-margin, kind="stable")][: int((margin >= 0).sum())].tolist():
-                    if root[k] != root[x] and (not exact or _linked(whole[x], whole[k], threshold)):
+                gap = gap.sum(axis=1)
+                y, gap = y[gap <= reach], gap[gap <= reach]
+                if detail != PROFILE and len(y):
+                    seen[ends[x]] = True
+                    both = np.array([np.count_nonzero(seen[ends[k]]) for k in y])
+                    seen[ends[x]] = False
+                    may = both * (threshold.num + threshold.den) >= threshold.num * (n[x] + n[y])
+                    y, gap = y[may], -both[may]
+                for k in y[np.argsort(gap, kind="stable")].tolist():
+                    if root[k] != root[x] and (whole is None or _linked(whole[x], whole[k], threshold)):
                         found.append((int(min(d[x], d[k])), int(max(d[x], d[k]))))
                         root[root == root[k]] = root[x]
             if found:
@@ -344,10 +345,11 @@ def _different(rows: DataFrame) -> DataFrame:
 
 
 OWN, CROSS, ALL = "within chunks", "between chunks", "all"
+PROFILE, ENDS, WHOLE = "profile", "ends", "shingles"  # what the sets of a piece of work are compared by
 
 
-def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, pieces: str, exact: bool = False) -> DataFrame:
-    """(a, b, sig): pairs from the groups of `rows` that may be linked, or with `exact` are. Groups never meet whole in one task."""
+def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, pieces: str, detail: str = PROFILE) -> DataFrame:
+    """(a, b, sig): pairs from the groups of `rows` that may be linked, with `WHOLE` that are. Groups never meet whole in one task."""
     rows = _different(rows).withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
     if pieces == OWN:
         rows = rows.withColumn("other", F.col("chunk"))
@@ -355,9 +357,9 @@ def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, piece
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         rows = rows.where("chunk != other") if pieces == CROSS else rows
     rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.join(profiles, ["d", "band"]).select("sig", "i", "j", "chunk", "d", "n", "component", "profile", "tokens")
+    rows = rows.join(profiles, ["d", "band"]).select("sig", "i", "j", "chunk", "d", "n", "component", *{PROFILE, detail})
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return rows.mapInArrow(_compare(threshold, exact), "a bigint, b bigint, sig bigint")
+    return rows.mapInArrow(_compare(threshold, detail), "a bigint, b bigint, sig bigint")
 
 
 ROW_COST = 500  # a shuffled index entry costs as much as so many comparisons of segments
@@ -497,9 +499,9 @@ def linked_components(
     # Written first, so that its size is known and the join can spare shuffling the texts where it is small.
     ids = staged(groups.select(F.col("d").alias("doc_id")).distinct(), "set-ids")
     sets = documents_of(docs).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = staged(sets.mapInArrow(_sets(width, t), "d bigint, shingles binary, tokens binary, bands array<int>, profiles array<binary>"), "sets")
-    profiles = sets.select("d", "tokens", F.explode(F.arrays_zip("bands", "profiles")).alias("p"))
-    profiles = profiles.select("d", "tokens", F.col("p.bands").alias("band"), F.col("p.profiles").alias("profile"))
+    sets = staged(sets.mapInArrow(_sets(width, t), "d bigint, shingles binary, ends binary, bands array<int>, profiles array<binary>"), "sets")
+    profiles = sets.select("d", F.explode(F.arrays_zip("bands", "profiles")).alias("p"))
+    profiles = profiles.select("d", F.col("p.bands").alias("band"), F.col("p.profiles").alias("profile"))
 
     stars = groups.where(F.col("d") != F.col("first.d")).where(t.compatible(F.col("n"), F.col("first.n")))
     stars = stars.select(F.col("first.d").alias("a"), F.col("d").alias("b")).distinct()
@@ -522,13 +524,20 @@ def linked_components(
         wrong = pairs.join(good, ["a", "b"], "left_anti")
         failed = wrong if failed is None else failed.unionByName(wrong)
         found = staged(components(links), "components")
-    # A likely pair that isn't linked stood for others of its group. There whole sets are compared, and links returned.
-    failed = staged(failed.select("sig").distinct(), "failed")
-    if not failed.isEmpty():
+    # A likely pair that isn't linked stood for others of its group, which is compared again by more: at last by whole
+    # sets, where no pair is wrong.
+    for detail in (ENDS, WHOLE):
+        failed = staged(failed.select("sig").distinct(), "failed")
+        if failed.isEmpty():
+            break
         again = _across(reached.join(failed, "sig", "left_semi"), found)
-        whole = profiles.drop("tokens").join(sets.select("d", F.col("shingles").alias("tokens")), "d")
-        exact = staged(_survivors(again, whole, t, ALL, exact=True), "links")
-        found = components(links.unionByName(exact.select("a", "b").distinct()))
+        pairs = staged(_survivors(again, profiles.join(sets.select("d", detail), "d"), t, ALL, detail), "likely-pairs")
+        good = pairs.select("a", "b").distinct()
+        if detail == ENDS:
+            good = staged(_verified(good, sets, t), "links")
+            failed = pairs.join(good, ["a", "b"], "left_anti")
+        links = links.unionByName(good)
+        found = staged(components(links), "components")
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")
     )
