@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from voltlake.operators import features as X
 from voltlake.operators import metrics as K
 from voltlake.operators import ml
+from voltlake.operators import quality as Q
+from voltlake.operators.quality import FailedChecks
 from voltlake.plans import medallion
 from voltlake.sources import readers as R
 from voltlake.sources import writers as Wr
@@ -130,6 +132,48 @@ def test_medallion_run(spark, tmp_path):
     assert spark.read.parquet(f"{base}/gold/balance_hourly").count() == 54
 
 
+def _checks(spark, base, run_id):
+    rows = spark.read.parquet(f"{base}/quality/checks").where(F.col("run_id") == run_id).collect()
+    return {(r["table_name"], r["check"]): r for r in rows}
+
+
+def test_run_stops_before_a_table_that_fails_its_checks(spark, tmp_path):
+    _lake(tmp_path)
+    base = str(tmp_path)
+    medallion.run_medallion(spark, base, AT, run_id="good")
+    good = _checks(spark, base, "good")
+    assert all(r["passed"] for r in good.values())
+    assert good["gold_balance_hourly", "rows"]["observed"] == 47
+    assert good["gold_balance_hourly", "completeness"]["threshold"] is None
+    assert {t for t, _ in good} >= {"bronze_price_b", "silver_price_hourly", "gold_market_hourly", "gold_load_features_hourly"}
+    tables = ("silver/consumption_15min", "gold/balance_hourly", "gold/market_hourly")
+    before = {name: sorted(map(str, spark.read.parquet(f"{base}/{name}").collect())) for name in tables}
+    path = tmp_path / "raw" / "consumption" / "c.csv"
+    lines = path.read_text().splitlines()
+    path.write_text("\n".join([*lines, lines[1].replace("T00:00", "T00:07").rsplit(",", 1)[0] + ",-50000"]) + "\n")
+    with pytest.raises(FailedChecks, match="silver_consumption_15min.*non_negative"):
+        medallion.run_medallion(spark, base, AT, pipelines=[medallion.BALANCE], run_id="bad")
+    with pytest.raises(FailedChecks, match="silver_consumption_hourly"):
+        medallion.run_medallion(spark, base, AT, pipelines=[medallion.MARKET], run_id="bad market")
+    assert {name: sorted(map(str, spark.read.parquet(f"{base}/{name}").collect())) for name in tables} == before
+    bad = _checks(spark, base, "bad")
+    assert [k for k, r in bad.items() if not r["passed"]] == [("silver_consumption_15min", "non_negative_consumo_total_kwh")]
+    assert ("gold_balance_hourly", "rows") not in bad and len(_checks(spark, base, "good")) == len(good)
+    assert not [f for f in tmp_path.rglob("*staging*")]
+    lax = {"silver_consumption_15min": {"non_negative_consumo_total_kwh": 1}, "gold_balance_hourly": {"completeness": 0.999}}
+    with pytest.raises(FailedChecks, match="gold_balance_hourly.*completeness"):
+        medallion.run_medallion(spark, base, AT, pipelines=[medallion.BALANCE], run_id="lax", limits=lax)
+
+
+def test_audit_of_an_empty_table(spark, tmp_path):
+    audit = Q.Audit("t", [Q.row_count(), Q.hours_covered(), Q.Check("known", F.max("v"), 1)], ["timestamp_utc"])
+    empty = spark.createDataFrame([], "timestamp_utc timestamp_ntz, v double")
+    with pytest.raises(FailedChecks, match="known"):
+        Wr.write_parquet(empty, str(tmp_path / "t"), audit=audit)
+    assert [r[1:3] for r in audit.results[:2]] == [("rows", 0.0), ("completeness", None)]
+    assert not (tmp_path / "t").exists()
+
+
 def test_folds_are_balanced_and_disjoint(spark):
     df = spark.range(1003).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     folded = X.stratified_folds(df, "y", "id")

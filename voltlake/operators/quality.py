@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -99,13 +99,22 @@ def synthesis_coverage(gold: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
 
 @dataclass(frozen=True)
 class Check:
-    """An aggregate and its bound: `rule` "max" passes at or below the threshold, "min" at or above."""
+    """An aggregate and its bound: `rule` "max" passes at or below the threshold, "min" at or above.
+
+    Without a threshold the value is only recorded; that is for audits, `run_checks` wants one.
+    """
 
     name: str
     observed: Column
-    threshold: float
+    threshold: float | None
     rule: str = "max"
 
+    def passes(self, value: float | None) -> bool:
+        """As in `run_checks`: null never passes a bound."""
+        if self.threshold is None:
+            return True
+        return value is not None and (value <= self.threshold if self.rule == "max" else value >= self.threshold)
+
 
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check with the observed value; all aggregates run in one pass. Null never passes."""
@@ -241,3 +250,56 @@ def expect(report: DataFrame) -> DataFrame:
     if failed:
         raise ValueError(f"failed checks: {sorted(failed)}")
     return report
+
+
+class FailedChecks(ValueError):
+    """Raised by an audit; the message names the table and the checks that failed."""
+
+
+class Audit:
+    """Checks of one table, gathered by the job that writes it.
+
+    `checks` are observed on the rows as they pass to the files, so they cost no second scan; they may not hold
+    distinct aggregates. Writers observe them in the stage that writes, where a task that is run again counts
+    once. With `key`, the written key columns alone are read again to count repeated keys. `limits` puts other
+    thresholds on checks, by name. `results` holds (table, check, observed, threshold, passed) once settled.
+    """
+
+    def __init__(self, table: str, checks: Sequence[Check], key: Sequence[str] = (), limits: Mapping[str, float] | None = None):
+        self.table, self.key, self.results = table, list(key), []
+        self.checks = [replace(c, threshold=(limits or {}).get(c.name, c.threshold)) for c in checks]
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        self._seen = Observation()
+        return df.observe(self._seen, *[c.observed.cast("double").alias(f"c{i}") for i, c in enumerate(self.checks)])
+
+    def settle(self, written: DataFrame) -> None:
+        """Judge the rows just written; raises if a check fails."""
+        seen = self._seen.get
+        values = [(c, seen[f"c{i}"]) for i, c in enumerate(self.checks)]
+        bound = [None if c.threshold is None else float(c.threshold) for c in self.checks]
+        self.results = [(self.table, c.name, v, b, c.passes(v)) for (c, v), b in zip(values, bound, strict=True)]
+        if self.key:
+            row = unique_key(written, self.key).first()
+            self.results.append((self.table, *row))
+        failed = sorted(name for _, name, _, _, passed in self.results if not passed)
+        if failed:
+            raise FailedChecks(f"{self.table}: failed checks: {failed}")
+
+
+def recorded(name: str, observed: Column) -> Check:
+    return Check(name, observed, None)
+
+
+def row_count() -> Check:
+    return recorded("rows", F.count(F.lit(1)))
+
+
+def flags_recorded(df: DataFrame) -> list[Check]:
+    """The true count of every `flag_*` column."""
+    return [recorded(c, F.count_if(F.col(c))) for c in df.columns if c.startswith("flag_")]
+
+
+def hours_covered(ts: str = "timestamp_utc") -> Check:
+    """Rows over hours between first and last, for a table of one row per hour."""
+    return Check("completeness", F.try_divide(F.count(F.lit(1)), hours_between(F.min(ts), F.max(ts)) + 1), None, "min")

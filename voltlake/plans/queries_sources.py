@@ -231,6 +231,49 @@ def medallion_balance_run(t):
     return rounded(t.spark.read.parquet(f"{base}/gold/balance_hourly").drop("year"), MEASURES)
 
 
+def _run_checks_sql() -> str:
+    """What the audits of the balance run find, one row a check."""
+
+    def rows(table: str, source: str, checks: dict[str, str], bounds=()) -> str:
+        return " UNION ALL ".join(
+            f"""SELECT '{table}' AS table_name, '{name}' AS "check", ({value})::DOUBLE AS observed, {0.0 if name in bounds else 'NULL'}::DOUBLE AS threshold FROM {source}"""
+            for name, value in checks.items()
+        )
+
+    parts = []
+    for side, total in (("consumption", "consumo_total_kwh"), ("production", "producao_total_kwh")):
+        of_side = f"(SELECT * FROM readings WHERE side = '{side}')"
+        parts.append(rows(f"bronze_{side}_a", of_side, {
+            "rows": "count(*)", "flag_duplicate_timestamp": "count(*) FILTER (n > 1)", "flag_bad_timestamp": "count(*) FILTER (moment IS NULL)",
+            "flag_bad_date": "count(*) FILTER (moment IS NULL)", "flag_bad_total": "count(*) FILTER (value IS NULL)",
+            "flag_zero_row": "count(*) FILTER (coalesce(value, 0) = 0)"}))
+        bound = {f"non_negative_{total}": "count(DISTINCT moment) FILTER (value < 0)", "null_share_timestamp_utc": "0", f"null_share_{total}": "0"}
+        parts.append(rows(f"silver_{side}_15min", of_side, {"rows": "count(DISTINCT moment)"} | {k: f"{v} + 0 * count(*)" for k, v in bound.items()} | {"unique_key": "0 * count(*)"}, [*bound, "unique_key"]))
+    bound = {"null_hours": "count(*) FILTER (timestamp_utc IS NULL)", "non_negative_consumo_total_kwh": "count(*) FILTER (consumo_total_kwh < 0)",
+             "non_negative_producao_total_kwh": "count(*) FILTER (producao_total_kwh < 0)", "exclusive_flags": "count(*) FILTER (flag_defice AND flag_excedente)",
+             "unique_key": "count(*) - count(DISTINCT timestamp_utc)"}
+    known = {"rows": "count(*)", "completeness": "round(count(*) / (date_diff('hour', min(timestamp_utc), max(timestamp_utc)) + 1), 6)",
+             "freshness_hours": f"round(date_diff('second', max(timestamp_utc), TIMESTAMP '{RUN_AT}') / 3600, 6)"}
+    known |= {f: f"count(*) FILTER ({f})" for f in ("flag_defice", "flag_excedente", "flag_missing_source")}
+    parts.append(rows("gold_balance_hourly", "gold", known | bound, bound))
+    union = " UNION ALL ".join(parts)
+    return f"""WITH {GOLD},
+    readings AS (SELECT *, count(*) OVER (PARTITION BY side, moment) AS n FROM (
+      SELECT CASE WHEN event_type = 'view' THEN 'consumption' ELSE 'production' END AS side, date_trunc('millisecond', ts) AS moment, value
+      FROM events WHERE event_type IN ('view', 'purchase', 'signup')))
+    SELECT *, true AS passed FROM ({union})"""
+
+
+@query(_run_checks_sql())
+def medallion_run_checks(t):
+    """Checks that the balance run gathers while it writes its tables; all hold."""
+    base = new_folder(t.spark, "lake")
+    _write_raw_readings(t, base)
+    medallion.run_medallion(t.spark, base, RUN_AT, pipelines=[medallion.BALANCE], run_id="checked")
+    report = t.spark.read.parquet(f"{base}/quality/checks").where("run_id = 'checked'").drop("run_id")
+    return rounded(report, ["observed"])
+
+
 _MARKET_RUN = f"""{RAW_PRICE},
 mc AS (SELECT o_orderdate + INTERVAL 1 HOUR * CAST(o_custkey % 24 AS INTEGER) AS timestamp_utc, max(o_totalprice) AS consumo_total FROM orders GROUP BY 1),
 mp AS (SELECT day + INTERVAL 1 HOUR * (hour - 1) AS timestamp_utc, max(price) AS market_price_pt FROM raw_price GROUP BY 1),

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quality import Audit
+
 # Column order of the exported rollup.
 EXPORT_COLUMNS = (
     "periodo",
@@ -56,50 +59,63 @@ def recover(df: DataFrame, path: str) -> None:
         files.rename(make(old), make(path))
 
 
-def _staging(path: str) -> str:
-    return f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+@contextmanager
+def _staged(df: DataFrame, path: str, partition_by: Sequence[str], audit: Audit | None) -> Iterator[str]:
+    """Write `df` beside `path` and hand out the folder once `audit` accepts it; what is left of it goes at the end."""
+    new = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    files, make = _files(df, path)
+    try:
+        rows = audit.watch(df) if audit else df
+        (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(new)
+        if audit:
+            audit.settle(df.sparkSession.read.schema(df.schema).parquet(new))
+        yield new
+    finally:
+        files.delete(make(new), True)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), audit: Audit | None = None) -> None:
     """Replace the dataset at `path`.
 
-    Written beside it and swapped in when complete, so a run that dies leaves the old table, and `df` may
-    read from the table it replaces.
+    Written beside it and swapped in when complete, so a run that dies, or whose `audit` fails, leaves the old
+    table, and `df` may read from the table it replaces.
     """
     recover(df, path)
-    new = _staging(path)
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(new)
-    _swap(df, new, path)
+    with _staged(df, path, partition_by, audit) as new:
+        _swap(df, new, path)
 
 
 def replace_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str], covered: Sequence[Sequence[object]] = ()
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str],
+    covered: Sequence[Sequence[object]] = (),
+    audit: Audit | None = None,
 ) -> None:
     """Replace the partitions present in `df`, and empty those of `covered` that `df` has no row for.
 
     `covered` lists the partition values a run accounts for. The rebalance clusters rows by partition value, so
     each task writes few files, and lets adaptive execution split a value that holds most rows over as many tasks
-    as its size needs. Finished partitions are swapped in one by one; `df` may read from the table.
+    as its size needs. Finished partitions are swapped in one by one, none of them if
+    `audit` fails; `df` may read from the table.
     """
-    new = _staging(path)
-    df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(new)
     files, make = _files(df, path)
-    files.mkdirs(make(path))
-    folders = [""]
-    for _ in partition_by:
-        folders = [
-            f"{folder}/{s.getPath().getName()}"
-            for folder in folders
-            for s in files.listStatus(make(new + folder))
-            if s.isDirectory() and "=" in s.getPath().getName()
-        ]
-    for folder in folders:
-        _swap(df, new + folder, path + folder)
-    for values in covered:
-        folder = "".join(f"/{c}={v}" for c, v in zip(partition_by, values, strict=True))
-        if folder not in folders:
-            files.delete(make(path + folder), True)
-    files.delete(make(new), True)
+    with _staged(df.hint("rebalance", *partition_by), path, partition_by, audit) as new:
+        files.mkdirs(make(path))
+        folders = [""]
+        for _ in partition_by:
+            folders = [
+                f"{folder}/{s.getPath().getName()}"
+                for folder in folders
+                for s in files.listStatus(make(new + folder))
+                if s.isDirectory() and "=" in s.getPath().getName()
+            ]
+        for folder in folders:
+            _swap(df, new + folder, path + folder)
+        for values in covered:
+            folder = "".join(f"/{c}={v}" for c, v in zip(partition_by, values, strict=True))
+            if folder not in folders:
+                files.delete(make(path + folder), True)
 
 
 def append_new(df: DataFrame, path: str, key: Sequence[str], partition_by: Sequence[str] = ()) -> None:
