@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -8,6 +10,7 @@ from voltlake.operators import gold as G
 from voltlake.operators import quality as Q
 from voltlake.operators import serving as S
 from voltlake.operators import timeline as T
+from voltlake.operators import ml
 from voltlake.operators.features import deficit_features, latest_features
 
 H0 = datetime(2024, 1, 1)
@@ -155,6 +158,27 @@ def test_latest_features_equal_training_features(spark):
         latest_features(gold.limit(10))
 
 
+def test_latest_features_by_series(spark):
+    hours = {"a": range(60), "b": range(7, 40), "c": range(12), "d": range(40)}
+    parts = [gold_rows(spark, {h: float(h % 9 + 1) for h in of}, {h: float(h % 11) for h in of}).withColumn("s", F.lit(s)) for s, of in hours.items()]
+    gold = reduce(lambda a, b: a.unionByName(b), parts)
+    gold = gold.withColumn("saldo_kwh", F.when((F.col("s") != "d") | (F.col("timestamp_utc") != F.lit(hour(38))), F.col("saldo_kwh")))
+    latest = latest_features(gold, series=["s"])
+    rows = {r["s"]: r.asDict() for r in latest.collect()}
+    assert {s: (r["rows_seen"], r["ready"]) for s, r in rows.items()} == {"a": (25, True), "b": (25, True), "c": (12, False), "d": (25, False)}
+    for s in ("a", "b"):
+        alone = latest_features(gold.where(F.col("s") == s).drop("s")).first().asDict()
+        assert {k: rows[s][k] for k in alone} == alone
+    assert rows["d"]["saldo_kwh_lag_1"] is None and rows["c"]["timestamp_utc"] == hour(11)
+    assert "WindowGroupLimit" in latest._jdf.queryExecution().executedPlan().toString()
+    assert latest_features(gold.limit(0), series=["s"]).count() == 0
+    model = ml.train_deficit_model(gold.where("s = 'a'"), series=["s"], trees=5)[0]
+    predicted = {r["s"]: r for r in ml.predict_next_hour(model, gold, ["s"]).collect()}
+    assert {s for s, r in predicted.items() if r["prob_defice_t_plus_1"] is None} == {"c", "d"}
+    alone = ml.predict_next_hour(model, gold.where("s = 'a'").drop("s")).first()
+    assert predicted["a"]["prob_defice_t_plus_1"] == alone["prob_defice_t_plus_1"]
+
+
 def test_each_check_can_fail(spark):
     gold = gold_rows(spark, {0: -1.0, 1: 3.0}, {0: 600.0, 1: 1.0})
     both = gold.unionByName(gold).withColumn("flag_excedente", F.lit(True)).withColumn("versao", F.lit(None).cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,31 +49,46 @@ def deficit_features(
     return main_rows(halo.withColumns(derived)).select(*series, ts, TARGET, *names).dropna(subset=[TARGET, *names])
 
 
-def latest_features(gold: DataFrame, lags: Sequence[int] = LAGS, check: bool = True) -> DataFrame:
+def latest_features(
+    gold: DataFrame, lags: Sequence[int] = LAGS, check: bool = True, series: Sequence[str] = ()
+) -> DataFrame:
     """Features of the newest hour, computed from the newest `max(lags) + 1` rows only.
 
-    With `check`, raises when there are too few rows or any feature is null.
+    With `series`, one row per series. Its rows are limited per key before the shuffle, and a series is read as
+    one short list. `rows_seen` says how many there were and `ready` whether no feature is null; nothing is raised.
+    Without `series` and with `check`, raises when there are too few rows or any feature is null.
     """
     ts = "timestamp_utc"
     need = max(lags) + 1
-    newest = gold.where(F.col(ts).isNotNull()).orderBy(F.col(ts).desc()).limit(need).select(ts, *LAG_MEASURES)
-    # At most 25 rows from here on, so one ordered list of them replaces a window.
-    rows = newest.agg(F.sort_array(F.collect_list(F.struct(ts, *LAG_MEASURES)), asc=False).alias("_r"))
-    picked = rows.select(
-        F.size("_r").alias("_n"),
+    rows = gold.where(F.col(ts).isNotNull()).select(*series, ts, *LAG_MEASURES)
+    newest_first = [F.col(ts).desc(), *[F.col(m) for m in LAG_MEASURES]]
+    if series:
+        place = F.row_number().over(W.partitionBy(*series).orderBy(*newest_first))
+        newest = rows.withColumn("_place", place).where(F.col("_place") <= need)
+    else:
+        newest = rows.orderBy(*newest_first).limit(need)
+    # At most 25 rows a series from here on, so one ordered list of them replaces a window.
+    listed = newest.groupBy(*series).agg(F.sort_array(F.collect_list(F.struct(ts, *LAG_MEASURES)), asc=False).alias("_r"))
+    picked = listed.select(
+        *series,
+        F.size("_r").alias("rows_seen"),
         F.get("_r", F.lit(0))[ts].alias(ts),
         *[F.get("_r", F.lit(k))[m].alias(f"{m}_lag_{k}") for m in LAG_MEASURES for k in lags],
     )
     named = picked.withColumns(training_calendar(F.col(ts)))
+    names = feature_names(lags)
+    if series:
+        known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+        return named.select(*series, ts, "rows_seen", known.alias("ready"), *names)
     if check:
         found = named.first()  # one row
-        if found["_n"] < need:
-            raise ValueError(f"at least {need} hours are needed, found {found['_n']}")
-        unknown = [n for n in feature_names(lags) if found[n] is None]
+        if found["rows_seen"] < need:
+            raise ValueError(f"at least {need} hours are needed, found {found['rows_seen']}")
+        unknown = [n for n in names if found[n] is None]
         if unknown:
             raise ValueError(f"the newest hour lacks {unknown}")
         named = gold.sparkSession.createDataFrame([found], named.schema)  # not computed a second time
-    return named.select(ts, *feature_names(lags))
+    return named.select(ts, *names)
 
 
 def temporal_cutoff(df: DataFrame, ts: str, test_ratio: float) -> DataFrame:

@@ -104,14 +104,24 @@ def train_deficit_model(
     return model, gold.sparkSession.createDataFrame([tuple(values[m] for m in BINARY_METRICS)], schema)
 
 
-def predict_next_hour(model: Forest, gold: DataFrame) -> DataFrame:
-    """Class and probability of a deficit in the hour after the newest one."""
-    scored = score(model, latest_features(gold))
-    return scored.select(
-        F.col("timestamp_utc").alias("timestamp_referencia_utc"),
-        F.col("prediction").cast("int").alias("pred_flag_defice_t_plus_1"),
-        F.col("score").alias("prob_defice_t_plus_1"),
-    )
+def predict_next_hour(model: Forest, gold: DataFrame, series: Sequence[str] = ()) -> DataFrame:
+    """Class and probability of a deficit in the hour after the newest one.
+
+    With `series`, one row per series; a series that lacks rows or features has no class and no probability.
+    """
+    latest = latest_features(gold, series=series)
+    predicted = {
+        "timestamp_referencia_utc": F.col("timestamp_utc"),
+        "pred_flag_defice_t_plus_1": F.col("prediction").cast("int"),
+        "prob_defice_t_plus_1": F.col("score"),
+    }
+    if not series:
+        return score(model, latest).select(*[e.alias(n) for n, e in predicted.items()])
+    # Rows that are not ready pass the forest with zeros, so that series are read once; their result is dropped.
+    ready = F.col("ready")
+    scored = score(model, latest.fillna(0.0, feature_names()))
+    kept = {n: e if n == "timestamp_referencia_utc" else F.when(ready, e) for n, e in predicted.items()}
+    return scored.select(*series, *[e.alias(n) for n, e in kept.items()], "rows_seen", "ready")
 
 
 def _settled(few_rows: DataFrame, cached: DataFrame) -> DataFrame:

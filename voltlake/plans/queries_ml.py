@@ -243,12 +243,23 @@ def next_hour_prediction(t):
     return ml.predict_next_hour(ml.load_model(t.spark, path)[0], gold)
 
 
+def _series_filled(t):
+    gold = balance_by_series(t)
+    return gold.unionByName(T.backfill_missing_hours(gold, SERIES, "week"))
+
+
 @query()
 def deficit_forest_metrics_by_series(t):
     """Training rows of ten backfilled series together; lags by hour."""
-    gold = balance_by_series(t)
-    filled = gold.unionByName(T.backfill_missing_hours(gold, SERIES, "week"))
-    return ml.train_deficit_model(filled, time_aware=True, series=SERIES)[1]
+    return ml.train_deficit_model(_series_filled(t), time_aware=True, series=SERIES)[1]
+
+
+@query()
+def next_hour_prediction_by_series(t):
+    """One forest for all series, and the next hour of each; series that lack features are reported without a class."""
+    gold = _series_filled(t)
+    model, _ = ml.train_deficit_model(gold, time_aware=True, series=SERIES)
+    return ml.predict_next_hour(model, gold, SERIES)
 
 
 def _document_features(t):

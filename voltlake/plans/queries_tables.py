@@ -605,3 +605,12 @@ def latest_inference_row(t):
     return rounded(latest_features(balance(t), check=False))
 
 
+@query(
+    f"""WITH {GOLD_S}, f AS (SELECT series, timestamp_utc, CAST(hour(timestamp_utc) AS INTEGER) AS hour, CAST(isodow(timestamp_utc) - 1 AS INTEGER) AS day_of_week,
+      CAST(month(timestamp_utc) AS INTEGER) AS month, CAST(least(count(*) OVER (PARTITION BY series), 25) AS INTEGER) AS rows_seen,
+      {_lags_sql('PARTITION BY series ORDER BY timestamp_utc')} FROM gold_s)
+    SELECT *, {' AND '.join(f'{n} IS NOT NULL' for n in _LAG_NAMES)} AS ready FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY timestamp_utc DESC) = 1"""
+)
+def latest_inference_rows_by_series(t):
+    """The newest hour of every series with its features, and whether they are all known."""
+    return rounded(latest_features(balance_by_series(t), series=SERIES))
