@@ -1,3 +1,6 @@
+import csv
+import io
+import random
 from datetime import datetime
 
 import pytest
@@ -45,6 +48,40 @@ def test_price_file_without_header_raises(spark, tmp_path):
         R.read_price_csv(spark, path).collect()
 
 
+def test_records_over_lines_and_blocks(spark, tmp_path):
+    """Quoted line ends, quotes and ";" in files cut into many blocks, against a plain CSV reader."""
+    rng, alphabet, want = random.Random(5), ["x", ";", '"', "\n", "\r\n", " y", '"";"', "long " * 9], []
+    for name in ("a", "b"):
+        lines = io.StringIO()
+        out = csv.writer(lines, delimiter=";", lineterminator="\r\n" if name == "a" else "\n")
+        out.writerow(["id", "note"] if name == "a" else ["note", "other", "id"])
+        for i in range(3000):
+            note = "z" + "".join(rng.choices(alphabet, k=rng.randint(0, 6))) + "z" if i % 3 else f"plain {i}"
+            out.writerow([i, note] if name == "a" else [note, 'mid "quote"' if i % 2 else "", i])
+            want.append((f"{name}.csv", str(i), note))
+        # One record over several blocks, and cells whose quotes are text.
+        lines.write('9001;"' + "line; \n" * 3000 + 'end"\n9002;5" pipe\n' if name == "a" else '"' + "\n" * 9000 + '";;9001\n5" pipe;;9002\n')
+        want.append((f"{name}.csv", "9001", ("line; \n" * 3000 + "end") if name == "a" else "\n" * 9000))
+        want.append((f"{name}.csv", "9002", '5" pipe'))
+        (tmp_path / f"{name}.csv").write_bytes(lines.getvalue().encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = R.read_price_csv(spark, str(tmp_path), ("id", "note"), multi_line=True).collect()
+            assert sorted((r["source_file_name"], r["id"], r["note"]) for r in rows) == sorted(want)
+            order = [int(r["id"]) for r in sorted(rows, key=lambda r: r["row_pos"]) if r["source_file_name"] == "a.csv"]
+            assert order == [*range(3000), 9001, 9002]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quote_that_stays_open_raises(spark, tmp_path):
+    path = write(tmp_path / "p.csv", 'id;note\n1;"a\n2;b\n')
+    with pytest.raises(Exception, match="a quote stays open"):
+        R.read_price_csv(spark, path, ("id", "note"), multi_line=True).collect()
+
+
 def test_source_order_over_many_blocks(spark, tmp_path):
     path = write(tmp_path / "big.csv", "id\n" + "\n".join(str(i) for i in range(20000)) + "\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

@@ -133,6 +133,28 @@ def price_csv_fixed_preamble(t):
     return _price_rows(R.read_price_csv(t.spark, path, skip_lines=2))
 
 
+@query(
+    """SELECT doc_id, md5(trim(coalesce(text, ''))) AS text_md5, length(trim(coalesce(text, ''))) AS n_chars,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents"""
+)
+def csv_records_over_lines(t):
+    """";" files whose quoted cells hold line ends, quotes and ";", read in blocks that cut records."""
+    path, written = new_folder(t.spark, "records"), new_folder(t.spark, "records-read")
+    (
+        t.documents.select("doc_id", "text", "lang", "source")
+        .write.options(header=True, sep=";", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(path)
+    )
+    kept = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        R.read_price_csv(t.spark, path, ("doc_id", "text", "lang", "source"), multi_line=True).write.parquet(written)
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    rows = t.spark.read.parquet(written)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "lang", "source")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def parquet_scan(t):
     schema = ST.StructType([ST.StructField("o_orderkey", ST.LongType()), ST.StructField("o_totalprice", ST.DoubleType())])

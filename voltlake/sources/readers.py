@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-# Splits on ";" outside double quotes.
-_SEMICOLON = r';(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _BOM = "﻿"
 
 
@@ -68,14 +66,99 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
+def _stays_open(open_: Column, piece: Column) -> Column:
+    """Whether a cell is still open after a piece between two ";". A cell that starts with a quote is open while it holds
+    an odd number of quotes; quotes further inside other cells are text."""
+    odd = (F.length(piece) - F.length(F.replace(piece, F.lit('"'), F.lit("")))) % 2 == 1
+    return F.when(open_, ~odd).otherwise(F.ltrim(piece).startswith('"') & odd)
+
+
 def _cells(line: Column) -> Column:
-    """Cells of a ";" line, unquoted and trimmed; lines without quotes take a plain split."""
+    """Cells of a ";" record, unquoted and trimmed; records without quotes take a plain split."""
     plain = F.transform(F.split(line, ";"), lambda c: F.trim(c))
-    quoted = F.transform(
-        F.split(line, _SEMICOLON),
-        lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))),
+
+    def add(state, piece):
+        cells, open_ = state["cells"], state["open"]
+        joined = F.concat(F.slice(cells, 1, F.size(cells) - 1), F.array(F.concat(F.element_at(cells, -1), F.lit(";"), piece)))
+        longer = F.when(open_, joined).otherwise(F.concat(cells, F.array(piece)))
+        return F.struct(longer.alias("cells"), _stays_open(open_, piece).alias("open"))
+
+    def unquoted(cell):
+        inside = cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1)
+        return F.trim(F.replace(F.when(inside, F.substr(cell, F.lit(2), F.length(cell) - 2)).otherwise(cell), F.lit('""'), F.lit('"')))
+
+    start = F.struct(F.array().cast("array<string>").alias("cells"), F.lit(False).alias("open"))
+    quoted = F.aggregate(F.split(line, ";"), start, add, lambda state: state["cells"])
+    return F.when(line.contains('"'), F.transform(quoted, lambda c: unquoted(F.trim(c)))).otherwise(plain)
+
+
+def _turns(lines: DataFrame) -> DataFrame:
+    """The lines that change whether a quoted cell is open, each with its `_change`: "out" and "in" set the state,
+    "swap" turns it. All other lines leave it as they find it."""
+    ends = [F.aggregate(F.split("value", ";"), F.lit(open_), _stays_open) for open_ in (False, True)]
+    change = F.when(ends[0] & ~ends[1], "swap").when(ends[0], "in").when(~ends[1], "out")
+    return lines.where(F.col("value").contains('"')).select("_file", "_block", "_line", change.alias("_change")).where("_change IS NOT NULL")
+
+
+def _state_after(changes: DataFrame, within: Sequence[str], order: str, start: Column) -> DataFrame:
+    """`changes` with `_open`: the state after each row, given the state `start` before the first row of its group.
+    The last change that sets the state counts, and the swaps since."""
+    w = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    swaps = changes.withColumn("_swaps", F.count_if(F.col("_change") == "swap").over(w))
+    fixed = F.when(F.col("_change").isin("in", "out"), F.struct((F.col("_change") == "in").alias("open"), F.col("_swaps").alias("at")))
+    last = swaps.withColumn("_set", F.last(fixed, ignorenulls=True).over(w))
+    since = (F.col("_swaps") - F.coalesce(F.col("_set.at"), F.lit(0))) % 2 == 1
+    return last.withColumn("_open", F.coalesce(F.col("_set.open"), start) != since).drop("_swaps", "_set")
+
+
+def join_quoted_lines(lines: DataFrame) -> DataFrame:
+    """Lines (value, _file, _block, _line, ...) as records: a record goes on while a quoted cell is open.
+
+    A line maps the state before it to the state after it. These maps are composed within every block, then over the
+    blocks of a file (one row each), so a file is cut into records in parallel. Only lines of blocks that a record
+    spans lines in are shuffled. A record keeps the other columns of its first line. Raises when a quote stays open
+    at the end of a file, which would make the rest of it one record.
+    """
+    block = ["_file", "_block"]
+    turns = _turns(lines)
+    # The change a whole block makes, from the states it would end in after either state.
+    ends = [
+        _state_after(turns, block, "_line", F.lit(open_)).groupBy(*block).agg(F.max_by("_open", "_line").alias(name))
+        for open_, name in ((False, "_after_out"), (True, "_after_in"))
+    ]
+    whole = F.when(F.col("_after_out") & ~F.col("_after_in"), "swap").when(F.col("_after_out") & F.col("_after_in"), "in")
+    whole = whole.when(~F.col("_after_out") & ~F.col("_after_in"), "out")
+    blocks = lines.select(*block).distinct().join(ends[0], block, "left").join(ends[1], block, "left")
+    states = _state_after(blocks.withColumn("_change", whole), ["_file"], "_block", F.lit(False))
+    in_file = W.partitionBy("_file").orderBy("_block")
+    states = states.withColumns(
+        {"_before": F.coalesce(F.lag("_open").over(in_file), F.lit(False)), "_last": F.lead("_block").over(in_file).isNull()}
+    )
+    unclosed = F.raise_error(F.concat(F.lit("a quote stays open in "), F.col("_file"))).cast("boolean")
+    states = states.withColumn("_before", F.when(F.col("_last") & F.col("_open"), unclosed).otherwise(F.col("_before")))
+    starts = states.select(*block, "_before")
+
+    # A line whose record goes on, or that goes on a record, lies in a block with an open state before or within it.
+    inside = _state_after(turns.join(starts, block), block, "_line", F.col("_before")).where("_open").select(*block)
+    spanned = inside.union(starts.where("_before").select(*block)).distinct()
+    rest = [c for c in lines.columns if c not in ("value", "_file")]
+    held = lines.join(spanned, block, "left_semi").join(starts, block)
+    held = held.join(turns.select("_file", "_line", "_change"), ["_file", "_line"], "left")
+    held = _state_after(held, block, "_line", F.col("_before"))
+    by_line = W.partitionBy(*block).orderBy("_line")
+    first = ~F.coalesce(F.lag("_open").over(by_line), F.col("_before"))
+    so_far = by_line.rowsBetween(W.unboundedPreceding, 0)
+    held = held.withColumn("_start", F.last(F.when(first, F.col("_line")), ignorenulls=True).over(so_far))
+    # Lines before the first record of a block belong to the last record of an earlier block.
+    last_start = held.groupBy(*block).agg(F.max("_start").alias("_own"))
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = last_start.select(*block, F.last("_own", ignorenulls=True).over(earlier).alias("_carried"))
+    held = held.join(carried, block).withColumn("_start", F.coalesce("_start", "_carried"))
+    pieces = F.sort_array(F.collect_list(F.struct("_line", "value")))
+    records = held.groupBy("_file", "_start").agg(
+        F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("value"), *[F.min_by(c, "_line").alias(c) for c in rest]
     )
-    return F.when(line.contains('"'), quoted).otherwise(plain)
+    return lines.join(spanned, block, "left_anti").select(*lines.columns).union(records.select(*lines.columns))
 
 
 def read_price_csv(
@@ -83,16 +166,20 @@ def read_price_csv(
     path: str,
     columns: Sequence[str] = ("date", "hour", "portugal", "spain"),
     skip_lines: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """";"-separated price files as text columns `columns` plus `source_file_name` and `row_pos`.
 
     The header is the first line of each file that names every wanted column, in any order and case;
     with `skip_lines` it is the line after that many preamble lines. Lines up to the header, blank lines
     and lines too short to reach a wanted column are skipped. Raises when a file has no header.
+    With `multi_line` quoted cells may hold line ends (see `join_quoted_lines`); files are split as without it.
     """
-    text = spark.read.text(path)
-    lines = with_source_order(text.withColumn("_file", F.col("_metadata.file_path")))
+    text = spark.read.text(path, lineSep="\n") if multi_line else spark.read.text(path)
+    lines = with_source_order(text.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}))
     lines = lines.withColumns({"value": F.replace(F.col("value"), F.lit(_BOM), F.lit("")), "_line": F.col("row_pos.line")})
+    if multi_line:
+        lines = join_quoted_lines(lines).withColumn("value", F.regexp_replace("value", "\r$", ""))
     names = F.transform(_cells(F.col("value")), lambda c: F.lower(c))
     if skip_lines is None:
         # Only lines that hold every wanted name are split and grouped.
