@@ -147,7 +147,7 @@ def csv_records_over_lines(t):
     )
     kept = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        t.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
         R.read_price_csv(t.spark, path, ("doc_id", "text", "lang", "source"), multi_line=True).write.parquet(written)
     finally:
         t.spark.conf.set("spark.sql.files.maxPartitionBytes", kept)

@@ -100,15 +100,20 @@ def _turns(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").contains('"')).select("_file", "_block", "_line", change.alias("_change")).where("_change IS NOT NULL")
 
 
-def _state_after(changes: DataFrame, within: Sequence[str], order: str, start: Column) -> DataFrame:
-    """`changes` with `_open`: the state after each row, given the state `start` before the first row of its group.
-    The last change that sets the state counts, and the swaps since."""
+def _composed(changes: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """`changes` with `_map`, the composition of the changes of a group up to each row: the last change that sets the
+    state (null if none did yet), and whether the swaps since turn it."""
     w = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     swaps = changes.withColumn("_swaps", F.count_if(F.col("_change") == "swap").over(w))
     fixed = F.when(F.col("_change").isin("in", "out"), F.struct((F.col("_change") == "in").alias("open"), F.col("_swaps").alias("at")))
     last = swaps.withColumn("_set", F.last(fixed, ignorenulls=True).over(w))
-    since = (F.col("_swaps") - F.coalesce(F.col("_set.at"), F.lit(0))) % 2 == 1
-    return last.withColumn("_open", F.coalesce(F.col("_set.open"), start) != since).drop("_swaps", "_set")
+    turned = (F.col("_swaps") - F.coalesce(F.col("_set.at"), F.lit(0))) % 2 == 1
+    return last.withColumn("_map", F.struct(F.col("_set.open").alias("set"), turned.alias("turned"))).drop("_swaps", "_set")
+
+
+def _applied(start: Column) -> Column:
+    """The state that `_map` makes of the state `start`."""
+    return F.coalesce(F.col("_map.set"), start) != F.coalesce(F.col("_map.turned"), F.lit(False))
 
 
 def join_quoted_lines(lines: DataFrame) -> DataFrame:
@@ -120,39 +125,32 @@ def join_quoted_lines(lines: DataFrame) -> DataFrame:
     at the end of a file, which would make the rest of it one record.
     """
     block = ["_file", "_block"]
-    turns = _turns(lines)
-    # The change a whole block makes, from the states it would end in after either state.
-    ends = [
-        _state_after(turns, block, "_line", F.lit(open_)).groupBy(*block).agg(F.max_by("_open", "_line").alias(name))
-        for open_, name in ((False, "_after_out"), (True, "_after_in"))
-    ]
-    whole = F.when(F.col("_after_out") & ~F.col("_after_in"), "swap").when(F.col("_after_out") & F.col("_after_in"), "in")
-    whole = whole.when(~F.col("_after_out") & ~F.col("_after_in"), "out")
-    blocks = lines.select(*block).distinct().join(ends[0], block, "left").join(ends[1], block, "left")
-    states = _state_after(blocks.withColumn("_change", whole), ["_file"], "_block", F.lit(False))
+    turns = _composed(_turns(lines), block, "_line").select(*block, "_line", "_map")
+    whole = turns.groupBy(*block).agg(F.max_by("_map", "_line").alias("_map"))
+    is_set, turned = F.col("_map.set").isNotNull(), F.col("_map.turned")
+    change = F.when(is_set, F.when(F.col("_map.set") != turned, "in").otherwise("out")).when(turned, "swap")
+    blocks = lines.select(*block).distinct().join(whole, block, "left").select(*block, change.alias("_change"))
+    states = _composed(blocks, ["_file"], "_block").withColumn("_open", _applied(F.lit(False)))
     in_file = W.partitionBy("_file").orderBy("_block")
-    states = states.withColumns(
-        {"_before": F.coalesce(F.lag("_open").over(in_file), F.lit(False)), "_last": F.lead("_block").over(in_file).isNull()}
-    )
+    before, is_last = F.coalesce(F.lag("_open").over(in_file), F.lit(False)), F.lead("_block").over(in_file).isNull()
     unclosed = F.raise_error(F.concat(F.lit("a quote stays open in "), F.col("_file"))).cast("boolean")
-    states = states.withColumn("_before", F.when(F.col("_last") & F.col("_open"), unclosed).otherwise(F.col("_before")))
-    starts = states.select(*block, "_before")
+    states = states.select(*block, "_open", before.alias("_before"), is_last.alias("_last"))
+    starts = states.select(*block, F.when(F.col("_last") & F.col("_open"), unclosed).otherwise(F.col("_before")).alias("_before"))
 
-    # A line whose record goes on, or that goes on a record, lies in a block with an open state before or within it.
-    inside = _state_after(turns.join(starts, block), block, "_line", F.col("_before")).where("_open").select(*block)
-    spanned = inside.union(starts.where("_before").select(*block)).distinct()
+    # Blocks that a record spans lines in: open before the first line, or after a line that changes the state.
+    within = turns.join(starts, block).groupBy(*block).agg(F.bool_or(_applied(F.col("_before"))).alias("_within"))
+    spanned = starts.join(within, block, "left").where(F.col("_before") | F.coalesce("_within", F.lit(False))).select(*block, "_before")
     rest = [c for c in lines.columns if c not in ("value", "_file")]
-    held = lines.join(spanned, block, "left_semi").join(starts, block)
-    held = held.join(turns.select("_file", "_line", "_change"), ["_file", "_line"], "left")
-    held = _state_after(held, block, "_line", F.col("_before"))
+    held = lines.join(spanned, block).join(turns.select("_file", "_line", "_map"), ["_file", "_line"], "left")
     by_line = W.partitionBy(*block).orderBy("_line")
-    first = ~F.coalesce(F.lag("_open").over(by_line), F.col("_before"))
-    so_far = by_line.rowsBetween(W.unboundedPreceding, 0)
-    held = held.withColumn("_start", F.last(F.when(first, F.col("_line")), ignorenulls=True).over(so_far))
+    earlier = F.last("_map", ignorenulls=True).over(by_line.rowsBetween(W.unboundedPreceding, -1))
+    held = held.withColumn("_map", earlier).withColumn("_first", ~_applied(F.col("_before")))
+    start = F.last(F.when(F.col("_first"), F.col("_line")), ignorenulls=True).over(by_line.rowsBetween(W.unboundedPreceding, 0))
+    held = held.withColumn("_start", start)
     # Lines before the first record of a block belong to the last record of an earlier block.
-    last_start = held.groupBy(*block).agg(F.max("_start").alias("_own"))
-    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = last_start.select(*block, F.last("_own", ignorenulls=True).over(earlier).alias("_carried"))
+    previous = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = held.groupBy(*block).agg(F.max("_start").alias("_own"))
+    carried = carried.select(*block, F.last("_own", ignorenulls=True).over(previous).alias("_carried"))
     held = held.join(carried, block).withColumn("_start", F.coalesce("_start", "_carried"))
     pieces = F.sort_array(F.collect_list(F.struct("_line", "value")))
     records = held.groupBy("_file", "_start").agg(
