@@ -45,6 +45,13 @@ def test_each_stage_does_its_part(spark, folder):
     assert {p.doc_id for p in pieces} == set(kept["secret_scan"])
 
 
+def test_copies_go_by_row(spark):
+    """A text stays though a copy of another text bears its id."""
+    rows = [(5, "alone"), (5, "Copy"), (7, "copy"), (5, None), (9, ""), (None, "copy"), (None, "none")]
+    got = corpus_pipeline.drop_copies(spark, documents(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, "alone"), (7, "copy"), (9, ""), (None, "copy"), (None, "none")], key=str)
+
+
 def test_run_applies_all_stages(spark, folder):
     path, every, _ = folder
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == {i for i, _, _ in every} - set(range(20)) - NEAR - {4000, 4001, 4002}

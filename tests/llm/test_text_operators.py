@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.util import documents, lower
@@ -110,6 +112,43 @@ def test_language_id_finds_both_languages_of_a_mixture(spark, small):
     assert set(found) == {"en", "fr"} and 0.5 < found["en"] < 0.8
 
 
+def test_language_id_against_a_search_of_all_mixtures(small):
+    """The language set and its shares, against the best of all sets with shares in steps of a twentieth."""
+    model = language_id.train(small)
+    rows = small.where("length(text) > 4000").collect()
+    text = {r.lang: r.text for r in rows}
+    langs = sorted(model.langs)
+    cuts = [(2000,), (1500, 1500), (2400, 600), (1000, 1000, 1000)]
+    for i, parts in enumerate(cuts * 2):
+        used = [langs[(i + j) % len(langs)] for j in range(len(parts))]
+        raw = "\n".join(text[x][:n] for x, n in zip(used, parts, strict=True)).encode()
+        at, n = language_id.trigram_counts(raw)
+        p, penalty = model.p[at], 1.5 * math.log(n.sum() + 1)
+        best = (-math.inf, ())
+        for shares in itertools.product(range(21), repeat=len(langs)):
+            if sum(shares) == 20:
+                value = n @ np.log(p @ (np.array(shares) / 20)) - penalty * sum(x > 0 for x in shares)
+                best = max(best, (value, shares))
+        want = {model.langs[j]: x / 20 for j, x in enumerate(best[1]) if x}
+        got = model.mixture(raw)
+        assert set(got) == set(want) == set(used)
+        assert all(abs(got[x] - want[x]) < 0.06 for x in got)
+
+
+def test_texts_in_no_learned_language_go(spark, small):
+    model = language_id.train(small)
+    other = [
+        "Ennen vanhaan kylän väki kokoontui iltaisin järven rannalle, jossa vanhukset kertoivat tarinoita menneistä ajoista ja nuoret lauloivat",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах, они наделены разумом и совестью",
+        "xq zvkj qqwz jxkv wqzx kkjq vzxw qjkz xvwq zkqj",
+    ]
+    strange = documents(spark, [(i, " ".join([x] * 6)) for i, x in enumerate(other)])
+    assert language_id.keep_identified(strange, model, 0.3).collect() == []
+    clean = small.where(F.col("text").rlike("[A-Za-z]"))
+    assert language_id.keep_identified(clean, model, 0.3).count() >= 0.995 * clean.count()
+
+
 def test_language_id_edge_rows(spark):
     rows = [(i, "the cat sat on the mat" if i % 2 else "le chat est sur la table", "en" if i % 2 else "fr") for i in range(40)]
     edge = [(100, None, "en"), (101, "", None), (102, "123 ... !", "fr"), (None, "the mat", "en"), (103, "the cat", None), (104, "ЖЖЖ", None), (104, "the " * 60_000, None)]

@@ -12,7 +12,6 @@ all stay. Repeated rows with the id that stays all count as kept. An empty batch
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +38,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = prepare(spark), path, buckets
-        self.table = f"digest_index_{zlib.crc32(path.encode()):08x}"
+        self.table = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, doc_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"

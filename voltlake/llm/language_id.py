@@ -6,6 +6,9 @@ gain in log-likelihood exceeds a penalty (half the log of the trigram count, onc
 trigram overlaps). As the likelihood is concave in the proportions, a language whose gradient is not positive cannot
 gain and is not tried.
 
+A filter also asks whether the text is in these languages at all: per trigram it must gain at least half as much over
+even odds as the texts learned from do on average, less what chance explains in so many trigrams (`Model.fits`).
+
 Rules: a null text, or one without a letter, is `und` with score 0. With nothing to learn from every row is `und`.
 Rows with null text or language are not learned from; nor are rows without doc_id, which count as held out.
 Repeated rows count each time. Equal likelihoods go to the language that sorts first.
@@ -26,6 +29,10 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 UNKNOWN = "und"
 EM_STEPS = 12
+#: A text fits its languages if it gains this share of what they usually gain a trigram over even odds.
+USUAL_GAIN = 0.5
+#: Standard deviations by which a text may fall short of that by chance.
+DEVIATIONS = 4.0
 MIX = np.uint32(2654435761)  # odd multiplier that spreads trigrams over the buckets
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -75,12 +82,16 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         self.p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0, keepdims=True)
+        # Mean and deviation of a trigram's gain over even odds, in each language's own texts.
+        gain, share = np.log(self.p * BUCKETS), counts / np.maximum(counts.sum(axis=0, keepdims=True), 1)
+        self.usual = (share * gain).sum(axis=0)
+        self.spread = np.sqrt(np.maximum((share * gain**2).sum(axis=0) - self.usual**2, 0))
 
-    def mixture(self, raw: bytes) -> dict[str, float]:
-        """Proportions of the chosen languages."""
+    def fitted(self, raw: bytes) -> tuple[dict[int, float], float, int]:
+        """Proportions of the chosen languages by number, the log-likelihood and the number of trigrams."""
         at, n = trigram_counts(raw)
         if not len(at) or not self.langs:
-            return {}
+            return {}, 0.0, 0
         p, total = self.p[at], n.sum()
         fit = n @ np.log(p)
         chosen, share, best = [int(fit.argmax())], np.ones(1), fit.max()
@@ -98,7 +109,23 @@ class Model:
             if gained - best <= penalty:
                 break
             chosen, share, best = [*chosen, new], w, gained
-        return {self.langs[c]: float(s) for c, s in zip(chosen, share, strict=True)}
+        return {c: float(s) for c, s in zip(chosen, share, strict=True)}, float(best), int(total)
+
+    def mixture(self, raw: bytes) -> dict[str, float]:
+        """Proportions of the chosen languages."""
+        return {self.langs[c]: s for c, s in self.fitted(raw)[0].items()}
+
+    def fits(self, shares: dict[int, float], best: float, total: int) -> bool:
+        """Whether a text so fitted is in the learned languages. Neighbouring trigrams share bytes, so three of them
+        count as one where chance is weighed."""
+        usual = sum(s * self.usual[c] for c, s in shares.items())
+        spread = max((self.spread[c] for c in shares), default=0.0)
+        return best + total * math.log(BUCKETS) >= USUAL_GAIN * usual * total - DEVIATIONS * spread * math.sqrt(3 * total)
+
+    def accepts(self, raw: bytes | None, least: float) -> bool:
+        """Whether a text has a letter, a language with the share `least`, and fits its languages."""
+        shares, best, total = self.fitted(raw) if raw and has_letter(raw) else ({}, 0.0, 0)
+        return bool(shares) and max(shares.values()) >= least and self.fits(shares, best, total)
 
     def predict(self, raw: bytes | None) -> tuple[str, float, str]:
         """Main language, its share, and the set with shares as text."""
@@ -143,14 +170,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns, whose main language has at least the share `least`; `und` rows go."""
+    """The rows of `docs`, all columns, whose main language has at least the share `least`; `und` rows go, and so do
+    texts that fit none of the learned languages."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            found = [shared.value.predict(raw) for raw in b.column(at).cast(pa.binary()).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+            good = [shared.value.accepts(raw, least) for raw in b.column(at).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
