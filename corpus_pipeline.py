@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from voltlake.llm import exact_dedup, language_id, packing, secret_scan, set_join
 from voltlake.llm.common import staged
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A document goes if no language holds this share of it.
 LEAST_SHARE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those no single language leads."""
+    """Drop documents without a letter, those no single language leads and those that fit no learned language."""
     return language_id.keep_identified(docs, language_id.train(docs), LEAST_SHARE)
 
 
@@ -30,8 +31,13 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id stays."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).where("NOT kept"))
+    """Of documents with equal texts the one with the largest doc_id stays. Rows go by id and text: another text that
+    bears the id of a copy stays."""
+    gone = exact_dedup.exact_duplicates(docs).where("NOT kept").select("doc_id", "text_sha256").distinct()
+    gone = staged(gone.withColumnsRenamed({"doc_id": "_id", "text_sha256": "_sha"}), "gone")
+    text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
+    same = (F.col("doc_id") == F.col("_id")) & (F.sha2(text.cast("binary"), 256) == F.col("_sha"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
