@@ -7,7 +7,7 @@ but the last, which returns the packed pieces. Rows without doc_id pass the stag
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import exact_dedup, language_id, packing, secret_scan, set_join
@@ -16,6 +16,8 @@ from voltlake.llm.common import staged
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A document goes if no language holds this share of it.
 LEAST_SHARE = 0.3
+#: Least places in the bitmap of the ids that go, for each of them.
+ID_BITS = 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +25,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.train(docs), LEAST_SHARE)
 
 
+def _less(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """`docs` less the rows that match a row of `gone` by `same`; a match has `gone._id` as its doc_id.
+
+    A bitmap of hashed ids, two to four bytes for each row of `gone`, is all that every task gets. Rows whose bit isn't set stay
+    as they are; only the others, matches and one in ID_BITS of the rest at most, are shuffled with their texts.
+    """
+    size = max(1 << 15, 1 << (ID_BITS * gone.count()).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(size))
+    number, at = (lambda c: F.bitmap_bucket_number(place(c))), (lambda c: F.bitmap_bit_position(place(c)))
+    bits = gone.groupBy(number("_id").alias("_bucket")).agg(F.bitmap_construct_agg(at("_id")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (at("doc_id") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at("doc_id") % 8).cast("int")) > 0, F.lit(False))
+    rows = docs.join(F.broadcast(bits), number("doc_id") == F.col("_bucket"), "left")
+    perhaps = rows.where(is_set).select(docs.columns)
+    return rows.where(~is_set).select(docs.columns).unionByName(perhaps.join(gone, same, "left_anti"))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` less the ids of `gone`, which are written first: where they are few, Spark then sees it and spares the
-    texts a shuffle. An id that several rows bear goes with all of them."""
-    gone = staged(gone.select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` less the ids of `gone`. An id that several rows bear goes with all of them."""
+    gone = staged(gone.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return _less(docs, gone, F.col("doc_id") == F.col("_id"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +55,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = staged(gone.withColumnsRenamed({"doc_id": "_id", "text_sha256": "_sha"}), "gone")
     text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
     same = (F.col("doc_id") == F.col("_id")) & (F.sha2(text.cast("binary"), 256) == F.col("_sha"))
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    return _less(docs, gone, same)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

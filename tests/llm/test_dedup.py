@@ -78,6 +78,37 @@ def test_set_join_compares_large_groups_in_chunks(spark, near_rows, monkeypatch)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(near_rows, 4, 5, 5)
 
 
+def test_large_component_of_a_group_is_not_compared_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "CHUNK", 10)
+    rows = [(1, d, 5, True, 0 if d < 200 else d) for d in range(203)]
+    frame = spark.createDataFrame(rows, "sig bigint, d bigint, n bigint, full boolean, component bigint")
+    made = set_join._between_chunks(frame).collect()
+    assert len(made) <= 200 + 3 * 20  # every chunk with every other: 203 * 20
+    pieces = {}
+    for r in made:
+        pieces.setdefault((r.i, r.j, r.within), []).append(r)
+    met = {frozenset((x.d, y.d)) for (i, j, within), rs in pieces.items() for x in rs for y in rs
+           if x.chunk == i and (y.chunk == j != i or within and y.chunk == i)}
+    assert {frozenset((a, b)) for a in range(203) for b in range(200, 203) if a != b} <= met
+
+
+def test_later_links_rename_whole_components(spark):
+    found = spark.createDataFrame([(k, k // 10 * 10) for k in range(40)], "node bigint, component bigint")
+    links = spark.createDataFrame([(13, 35), (38, 50), (21, 22)], "a bigint, b bigint")
+    got = {r.node: r.component for r in set_join._joined(found, links).collect()}
+    assert got == {k: 10 if k // 10 == 3 else k // 10 * 10 for k in range(40)} | {50: 10}
+
+
+def test_set_join_of_near_copies_around_the_threshold(spark, monkeypatch):
+    """Groups of several chunks with a large component, likely pairs that aren't linked and one-deletion neighbourhoods."""
+    monkeypatch.setattr(set_join, "CHUNK", 20)
+    base = prose(7, 60)
+    rows = [(k, " ".join(edited(base, k, k % 5))) for k in range(160)]
+    for row_cost in (500, 0.001):
+        got = set_join.linked_components(documents(spark, rows), 4, 5, 5, row_cost).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 5, 5)
+
+
 def test_set_join_edge_rows(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (3, "a b c d"), (9, "long " * 50_000)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in set_join.linked_components(documents(spark, rows)).collect())

@@ -3,6 +3,7 @@ import math
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tests.llm.test_text_operators import secret_rows
@@ -52,6 +53,18 @@ def test_copies_go_by_row(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(5, "alone"), (7, "copy"), (9, ""), (None, "copy"), (None, "none")], key=str)
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Only rows whose id has its bit set are joined with the ids that go; with the bitmap no text of another is sent."""
+    rows = [(k, "text %d" % k) for k in range(2000)] + [(None, "none"), (7, "again")]
+    gone = spark.createDataFrame([(k,) for k in range(0, 2000, 100)] + [(7,)], "_id bigint")
+    docs = documents(spark, rows)
+    left = corpus_pipeline._less(docs.withColumn("doc_id", docs["doc_id"].cast("int")), gone, F.col("doc_id") == F.col("_id"))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "bitmap_construct_agg" in plan
+    ids = sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect())
+    assert ids == [k for k in range(2000) if k % 100 and k != 7] and left.where("doc_id IS NULL").count() == 1
+
+
 def test_run_applies_all_stages(spark, folder):
     path, every, _ = folder
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == {i for i, _, _ in every} - set(range(20)) - NEAR - {4000, 4001, 4002}

@@ -13,8 +13,9 @@ costly segment nothing and cheap segments two units (`_reallocate`).
 
 Verification compares whole sets of 64-bit shingle hashes. Copies are compared as one set. In a group of sets that
 share a segment, each is first compared with one partner. What is then in different components is compared chunk by
-chunk, first within chunks and then between them, and a piece of work returns a spanning forest of likely links, which
-are verified. Where one of them is wrong, its group is compared by ends of hashes, then by whole sets. No step writes all pairs.
+chunk, first within chunks and then between them, where the largest component of a group need not meet itself. A piece
+of work returns a spanning forest of likely links, which are verified. Where one is wrong, its tree alone, which is never
+larger than the piece, is compared by ends of hashes, then by whole sets. No step writes all pairs.
 
 Rules: a null or blank text has no shingles, size 0, and is linked with nothing; it is its own component. With fewer
 words than a shingle has, the whole sequence is the one shingle. Rows without doc_id come back with a null
@@ -209,23 +210,24 @@ def _share(batches):
 
 
 def _sets(width: int, threshold: Threshold):
-    """Whole set, the last 2 bytes of its hashes and, for each of its bands, the profile: 2 bytes of every segment's hash, then its size (255 at most)."""
+    """Whole set, its size, the last 4 bytes of its hashes, sorted, and, for each of its bands, the profile: 2 bytes of every segment's hash, then its size (255 at most)."""
 
     def run(batches):
         for b in batches:
-            sets, ends, bands, profiles = [], [], [], []
+            sets, n, ends, bands, profiles = [], [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingle_set(raw, width)
                 mine = threshold.bands(len(s)) if len(s) else []
                 sets.append(s.tobytes())
-                ends.append(s.astype(np.uint16).tobytes())
+                n.append(len(s))
+                ends.append(np.unique(s.astype(np.uint32)).tobytes())
                 bands.append([band for band, _, _ in mine])
                 profiles.append([])
                 for band, m, _ in mine:
                     sig, size = _signatures(s, band, m)
                     profiles[-1].append(sig.astype(np.uint16).tobytes() + np.minimum(size, 255).astype(np.uint8).tobytes())
-            cols = [pa.array(sets, pa.binary()), pa.array(ends, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(profiles, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["d", "shingles", "ends", "bands", "profiles"])
+            cols = [pa.array(sets, pa.binary()), pa.array(n, pa.int64()), pa.array(ends, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array(profiles, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["d", "shingles", "n", "ends", "bands", "profiles"])
 
     return run
 
@@ -268,6 +270,13 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
+def _common(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of each of the others are in x, which is sorted; none of the others is empty."""
+    every = np.concatenate(others)
+    held = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    return np.add.reduceat(held, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
 def _linked(x: np.ndarray, y: np.ndarray, threshold: Threshold) -> bool:
     """Whether two sorted sets reach the threshold."""
     if len(x) > len(y):
@@ -276,6 +285,9 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: Threshold) -> bool:
     return threshold.den * both >= threshold.num * (len(x) + len(y) - both)
 
 
+LIKELY = "tree bigint, a array<bigint>, b array<bigint>, members array<bigint>"
+
+
 def _compare(threshold: Threshold, detail: str):
     """Links of a piece of work that join its components to each other: a spanning forest, never all pairs.
 
@@ -283,26 +295,27 @@ def _compare(threshold: Threshold, detail: str):
     never fewer than their sizes differ by. Of the pairs that this bound leaves, a set returns the one with the least
     difference to each other component of the piece, and the components become one. With `ENDS` a pair must also share
     enough ends of hashes, as a shingle in both sets has its end in both; with `WHOLE` it must be linked.
+
+    A row is a tree of the forest: its links and all its sets. Two sets of a piece in different trees aren't linked.
     """
 
     def run(batches):
-        seen = np.zeros(1 << 16, bool)
         for t in _runs(batches, 3):
-            d, n, comp, chunk = (t.column(c).to_numpy() for c in ("d", "n", "component", "chunk"))
+            d, n, comp, chunk, full = (t.column(c).to_numpy() for c in ("d", "n", "component", "chunk", "full"))
             root = np.unique(comp, return_inverse=True)[1]
-            i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
-            left = np.flatnonzero(chunk == i)
-            right = left if i == j else np.flatnonzero(chunk == j)
-            if not len(left) or not len(right) or (root == root[0]).all():
+            i, j, within = (t.column(c)[0].as_py() for c in ("i", "j", "within"))
+            left, other = np.flatnonzero(chunk == i), np.flatnonzero((chunk == j) & (chunk != i))
+            if not len(left) or (root == root[0]).all():
                 continue
             table = np.stack([np.frombuffer(p, np.uint8) for p in t.column("profile").to_pylist()])
             m = table.shape[1] // 3
             sig, size = np.ascontiguousarray(table[:, : 2 * m]).view(np.uint16), table[:, 2 * m :].astype(np.int16)
             whole = [np.frombuffer(x, np.uint64) for x in t.column(WHOLE).to_pylist()] if detail == WHOLE else None
-            ends = [np.frombuffer(x, np.uint16) for x in t.column(ENDS).to_pylist()] if detail == ENDS else [x.astype(np.uint16) for x in whole or ()]
+            ends = whole if detail == WHOLE else [np.frombuffer(x, np.uint32) for x in t.column(ENDS).to_pylist()] if detail == ENDS else []
             found: list[tuple[int, int]] = []
             for x in left:
-                y = right[(root[right] != root[x]) & ((d[right] > d[x]) if i == j else True)]
+                y = np.concatenate([left[d[left] > d[x]], other]) if within else other
+                y = y[(root[y] != root[x]) & (full[y] | full[x])]
                 low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
                 y = y[threshold.den * low >= threshold.num * high]
                 if not len(y):
@@ -313,53 +326,94 @@ def _compare(threshold: Threshold, detail: str):
                 gap = gap.sum(axis=1)
                 y, gap = y[gap <= reach], gap[gap <= reach]
                 if detail != PROFILE and len(y):
-                    seen[ends[x]] = True
-                    both = np.array([np.count_nonzero(seen[ends[k]]) for k in y])
-                    seen[ends[x]] = False
+                    both = _common(ends[x], [ends[k] for k in y])
+                    both += (n[x] - len(ends[x])) if detail == ENDS else 0  # ends that several hashes share
                     may = both * (threshold.num + threshold.den) >= threshold.num * (n[x] + n[y])
                     y, gap = y[may], -both[may]
                 for k in y[np.argsort(gap, kind="stable")].tolist():
                     if root[k] != root[x] and (whole is None or _linked(whole[x], whole[k], threshold)):
-                        found.append((int(min(d[x], d[k])), int(max(d[x], d[k]))))
+                        found.append((int(x), k))
                         root[root == root[k]] = root[x]
-            if found:
-                group = [t.column("sig")[0].as_py()] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*zip(*found, strict=True), group)], ["a", "b", "sig"])
+            band = t.column("sig")[0].as_py() >> 56 & 255
+            trees: dict[int, list[tuple[int, int]]] = {}
+            for pair in found:
+                trees.setdefault(int(root[pair[0]]), []).append(pair)
+            for r, pairs in trees.items():
+                members = np.unique(d[root == r])
+                tree = _key(mix(members.view(np.uint64) * A).sum(dtype=np.uint64, keepdims=True), band, np.full(1, 1 << 30, np.uint64)).view(np.int64)
+                a, b = np.sort(d[np.array(pairs)], axis=1).T
+                lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (a, b, members)]
+                yield pa.RecordBatch.from_arrays([pa.array(tree), *lists], ["tree", "a", "b", "members"])
 
     return run
 
 
-CHUNK = 512  # rows of a group that meet in one piece of work; larger groups are compared chunk by chunk
+CHUNK = 1024  # rows of a group that meet in one piece of work; larger groups are compared chunk by chunk
 CHUNK_SHINGLES = 2 << 20  # of a chunk, about, if its sets are long
 
 
+def _chunks(k: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(k / CHUNK), F.ceil(shingles / CHUNK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _place(chunks: str | Column) -> Column:
+    return F.pmod(F.xxhash64("d"), chunks).cast("int")
+
+
 def _different(rows: DataFrame) -> DataFrame:
-    """`rows` less groups with the very members of another group; with them, the chunks a group is cut into."""
+    """`rows` less groups with the very members of another group."""
     groups = rows.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("x"), F.min("d").alias("y"), F.max("d").alias("z")
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("d", "full").cast("decimal(38,0)")).alias("x"), F.min("d").alias("y"), F.max("d").alias("z")
     )
     # The band stays apart, as profiles are compared within it.
     one = groups.groupBy(F.expr(BAND_OF), "k", "x", "y", "z").agg(F.min("sig").alias("sig"), F.max("shingles").alias("shingles"))
-    chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    return rows.join(one.select("sig", chunks.alias("chunks")), "sig")
+    return rows.join(one.select("sig", "k", "shingles"), "sig")
 
 
-OWN, CROSS, ALL = "within chunks", "between chunks", "all"
-PROFILE, ENDS, WHOLE = "profile", "ends", "shingles"  # what the sets of a piece of work are compared by
+def _within_chunks(rows: DataFrame) -> DataFrame:
+    """`rows` with their pieces of work: the chunks i and j that meet, and whether sets of chunk i meet each other."""
+    rows = _different(rows).withColumn("chunk", _place(_chunks(F.col("k"), F.col("shingles"))))
+    return rows.withColumns({"i": F.col("chunk"), "j": F.col("chunk"), "within": F.lit(True)})
 
 
-def _survivors(rows: DataFrame, profiles: DataFrame, threshold: Threshold, pieces: str, detail: str = PROFILE) -> DataFrame:
-    """(a, b, sig): pairs from the groups of `rows` that may be linked, with `WHOLE` that are. Groups never meet whole in one task."""
-    rows = _different(rows).withColumn("chunk", F.pmod(F.xxhash64("d"), "chunks").cast("int")).withColumn("band", F.expr(BAND_OF))
-    if pieces == OWN:
-        rows = rows.withColumn("other", F.col("chunk"))
-    else:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.where("chunk != other") if pieces == CROSS else rows
+def _between_chunks(rows: DataFrame) -> DataFrame:
+    """As `_within_chunks`, for all pairs of a group. Its largest component is cut apart from the rest, as it is settled
+    within itself: chunks of the rest meet each other and those of the component, the first of them with themselves."""
+    parts = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    top = parts.groupBy("sig").agg(F.max(F.struct("k", "s", "component")).alias("top"), F.sum("k").alias("all_k"), F.sum("s").alias("all_s"))
+    top = top.select(
+        "sig",
+        F.col("top.component").alias("most"),
+        _chunks(F.col("top.k"), F.col("top.s")).alias("inner"),
+        _chunks(F.col("all_k") - F.col("top.k"), F.col("all_s") - F.col("top.s")).alias("rest"),
+    )
+    rows = _different(rows).join(top, "sig").withColumn("settled", F.col("component") == F.col("most"))
+    rows = rows.withColumn("chunk", F.when(F.col("settled"), F.col("rest") + _place("inner")).otherwise(_place("rest")))
+    last = F.when(F.col("settled"), F.col("rest")).otherwise(F.col("rest") + F.col("inner")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("chunk != other")
     rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.join(profiles, ["d", "band"]).select("sig", "i", "j", "chunk", "d", "n", "component", *{PROFILE, detail})
+    return rows.withColumn("within", F.col("j") == F.col("rest"))
+
+
+PROFILE, ENDS, WHOLE = "profile", "ends", "shingles"  # what the sets of a piece of work are compared by
+
+
+def _likely(rows: DataFrame, profiles: DataFrame, threshold: Threshold, detail: str = PROFILE) -> DataFrame:
+    """Trees of pairs from the pieces of work `rows` that may be linked, with `WHOLE` that are."""
+    rows = rows.withColumn("band", F.expr(BAND_OF)).join(profiles, ["d", "band"])
+    rows = rows.select("sig", "i", "j", "within", "chunk", "d", "n", "component", "full", *{PROFILE, detail})
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return rows.mapInArrow(_compare(threshold, detail), "a bigint, b bigint, sig bigint")
+    return rows.mapInArrow(_compare(threshold, detail), LIKELY)
+
+
+def _pairs(likely: DataFrame) -> DataFrame:
+    return likely.select("tree", F.explode(F.arrays_zip("a", "b")).alias("p")).select("tree", "p.a", "p.b")
+
+
+def _failed(likely: DataFrame, good: DataFrame) -> DataFrame:
+    """(sig, d): the sets of trees with a pair that isn't linked, which stood for others of the tree."""
+    wrong = _pairs(likely).join(good, ["a", "b"], "left_anti").select("tree").distinct()
+    return likely.join(wrong, "tree").select(F.col("tree").alias("sig"), F.explode("members").alias("d")).distinct()
 
 
 ROW_COST = 500  # a shuffled index entry costs as much as so many comparisons of segments
@@ -379,7 +433,8 @@ def _segment_rows(threshold: Threshold):
 
 
 def _neighbourhoods(threshold: Threshold):
-    """Hashes of the upgraded segments of a set and of those segments less any one shingle."""
+    """Hashes of the upgraded segments of a set, `full`, and of those segments less any one shingle. Segments that differ
+    in one shingle agree whole against less one; two that agree less one each differ in two, which counts for nothing."""
 
     def run(batches):
         for b in batches:
@@ -387,12 +442,13 @@ def _neighbourhoods(threshold: Threshold):
                 s = np.frombuffer(raw, np.uint64)
                 parts = mix(s * C)
                 at = _segment_bounds(s, next(m for k, m, _ in threshold.bands(len(s)) if k == band))
-                out = []
+                out, full = [], []
                 for g in segments:
                     part = parts[at[g] : at[g + 1]]
                     out.append(_key(np.append(part.sum(dtype=np.uint64), part.sum(dtype=np.uint64) - part), band, np.array([g + (1 << 31)], np.uint64)))
-                sig = np.unique(np.concatenate(out)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), d, np.int64))], ["sig", "d"])
+                    full.append(np.arange(len(part) + 1) == 0)
+                sig, full = np.concatenate(out).view(np.int64), np.concatenate(full)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), d, np.int64)), pa.array(full)], ["sig", "d", "full"])
 
     return run
 
@@ -425,9 +481,9 @@ def _reallocate(mixed: DataFrame, sets: DataFrame, threshold: Threshold, row_cos
     gone = staged(rows.join(skipped, ["band", "segment"]).select("sig", "d", "band"), "costly-groups")
     new = gone.groupBy("d", "band").count().join(upgraded, "band").join(sets.select("d", "shingles"), "d")
     new = new.select("d", "shingles", "band", F.slice("order", F.lit(1), F.col("count").cast("int")).alias("segments"))
-    entries = new.mapInArrow(_neighbourhoods(threshold), "sig bigint, d bigint")
-    entries = entries.join(mixed.select("d", "n", "component").distinct(), "d").select("sig", "d", "n", "component")
-    kept = mixed.select("sig", "d", "n", "component").join(gone.select("sig").distinct(), "sig", "left_anti")
+    entries = new.mapInArrow(_neighbourhoods(threshold), "sig bigint, d bigint, full boolean")
+    entries = entries.join(mixed.select("d", "n", "component").distinct(), "d").select("sig", "d", "n", "component", "full")
+    kept = mixed.select("sig", "d", "n", "component", "full").join(gone.select("sig").distinct(), "sig", "left_anti")
     return _mixed(kept.unionByName(entries))
 
 
@@ -462,17 +518,31 @@ def _allocate(groups: DataFrame, member: DataFrame, threshold: Threshold) -> Dat
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of groups that hold more than one component."""
-    groups = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+    """The rows of groups that hold more than one component and a set by its whole segment."""
+    groups = rows.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("full").alias("z"))
+    groups = groups.where("x < y AND z").select("sig")
     return rows.join(groups, "sig")
 
 
 def _across(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """(sig, d, n, component) of the groups with sets of several components."""
-    rows = groups.select("sig", "d", "n").join(found.withColumnRenamed("node", "d"), "d", "left")
+    """(sig, d, n, full, component) of the groups with sets of several components."""
+    rows = groups.select("sig", "d", "n", "full").join(found.withColumnRenamed("node", "d"), "d", "left")
     return staged(_mixed(rows.withColumn("component", F.coalesce("component", "d"))), "mixed-groups")
 
 
+def _joined(found: DataFrame, good: DataFrame) -> DataFrame:
+    """(node, component) after the links `good`: only the components they join are named anew."""
+    nodes = good.select(F.col("a").alias("node")).unionByName(good.select(F.col("b").alias("node"))).distinct()
+    nodes = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    ends = [nodes.withColumnsRenamed({"node": x, "component": y}) for x, y in (("a", "x"), ("b", "y"))]
+    edges = staged(good.join(ends[0], "a").join(ends[1], "b").select("x", "y").where("x != y").distinct(), "joins")
+    if edges.isEmpty():
+        return found
+    named = components(edges, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("new"))
+    every = found.unionByName(nodes).distinct()
+    return staged(every.join(named, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "components")
+
+
 def linked_components(
     docs: DataFrame, num: int = 9, den: int = 10, width: int = 3, row_cost: float = ROW_COST
 ) -> DataFrame:
@@ -499,45 +569,44 @@ def linked_components(
     # Written first, so that its size is known and the join can spare shuffling the texts where it is small.
     ids = staged(groups.select(F.col("d").alias("doc_id")).distinct(), "set-ids")
     sets = documents_of(docs).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = staged(sets.mapInArrow(_sets(width, t), "d bigint, shingles binary, ends binary, bands array<int>, profiles array<binary>"), "sets")
+    sets = staged(sets.mapInArrow(_sets(width, t), "d bigint, shingles binary, n bigint, ends binary, bands array<int>, profiles array<binary>"), "sets")
     profiles = sets.select("d", F.explode(F.arrays_zip("bands", "profiles")).alias("p"))
     profiles = profiles.select("d", F.col("p.bands").alias("band"), F.col("p.profiles").alias("profile"))
 
     stars = groups.where(F.col("d") != F.col("first.d")).where(t.compatible(F.col("n"), F.col("first.n")))
     stars = stars.select(F.col("first.d").alias("a"), F.col("d").alias("b")).distinct()
-    links = staged(_verified(stars, sets, t), "links")
-    found = staged(components(links), "components")
-    mixed = staged(_reallocate(_across(groups, found), sets, t, row_cost).select("sig", "d", "n", "component"), "mixed-groups")
+    found = staged(components(staged(_verified(stars, sets, t), "links")), "components")
+    mixed = _reallocate(_across(groups.withColumn("full", F.lit(True)), found), sets, t, row_cost)
+    mixed = staged(mixed.select("sig", "d", "n", "full", "component"), "mixed-groups")
     reached = mixed.drop("component")
     # Within chunks first: what they join is one component where chunks meet, so that few links are left to find there.
-    failed = None
-    for pieces in (OWN, CROSS):
-        if pieces == CROSS:
+    failed = []
+    for pieces in (_within_chunks, _between_chunks):
+        if pieces is _between_chunks:
             large = reached.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
             large = large.where((F.col("k") > CHUNK) | (F.col("s") > CHUNK_SHINGLES)).select("sig")
             mixed = _across(reached.join(large, "sig", "left_semi"), found)
             if mixed.isEmpty():
                 break
-        pairs = staged(_survivors(mixed, profiles, t, pieces), "likely-pairs")
-        good = staged(_verified(pairs.select("a", "b").distinct(), sets, t), "links")
-        links = links.unionByName(good)
-        wrong = pairs.join(good, ["a", "b"], "left_anti")
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        found = staged(components(links), "components")
-    # A likely pair that isn't linked stood for others of its group, which is compared again by more: at last by whole
+        likely = staged(_likely(pieces(mixed), profiles, t), "likely-pairs")
+        good = staged(_verified(_pairs(likely).select("a", "b").distinct(), sets, t), "links")
+        failed.append(_failed(likely, good))
+        found = _joined(found, good)
+    # A likely pair that isn't linked stood for others of its tree, which is compared again by more: at last by whole
     # sets, where no pair is wrong.
+    sizes = sets.select("d", "n")
     for detail in (ENDS, WHOLE):
-        failed = staged(failed.select("sig").distinct(), "failed")
-        if failed.isEmpty():
+        trees = failed[0] if len(failed) == 1 else failed[0].unionByName(failed[1]).distinct()
+        trees = _across(trees.join(sizes, "d").withColumn("full", F.lit(True)), found)
+        if trees.isEmpty():
             break
-        again = _across(reached.join(failed, "sig", "left_semi"), found)
-        pairs = staged(_survivors(again, profiles.join(sets.select("d", detail), "d"), t, ALL, detail), "likely-pairs")
-        good = pairs.select("a", "b").distinct()
+        whole = trees.withColumns({"i": F.lit(0), "j": F.lit(0), "chunk": F.lit(0), "within": F.lit(True)})
+        likely = staged(_likely(whole, profiles.join(sets.select("d", detail), "d"), t, detail), "likely-pairs")
+        good = _pairs(likely).select("a", "b").distinct()
         if detail == ENDS:
             good = staged(_verified(good, sets, t), "links")
-            failed = pairs.join(good, ["a", "b"], "left_anti")
-        links = links.unionByName(good)
-        found = staged(components(links), "components")
+            failed = [_failed(likely, good)]
+        found = _joined(found, good)
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")
     )
