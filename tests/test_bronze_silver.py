@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltlake.operators import bronze as B
+from voltlake.operators import ranking
 from voltlake.operators.ranking import duplicate_counts, rank_duplicates
 from voltlake.operators.silver import silver_15min
 from voltlake.sources.readers import MissingColumnsError
@@ -92,6 +93,17 @@ def test_hot_keys_rank_like_small_ones(spark, null_group):
     assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, spread.select(columns).collect()))
 
 
+def test_keys_that_share_a_bucket_are_counted_apart(spark, monkeypatch):
+    """All keys in one bucket with more rows than the limit: one key has more than it in the first case, none in the second."""
+    monkeypatch.setattr(ranking, "_COUNT_BUCKETS", 1)
+    df = _skewed(spark)
+    assert {r["key"]: r["_n"] for r in ranking._hot_keys(df, "key", 500).collect()} == {"hot": 2000, None: 572}
+    assert ranking._hot_keys(df, "key", 5000).count() == 0
+    assert ranking._hot_keys(df, "key", 6000) is None
+    ranked = rank_duplicates(df, "key", "v", "pos", hot_rows=5000)
+    assert ranked.where("key = 'hot'").agg(F.max("duplicate_rank")).first()[0] == 2000
+
+
 def test_duplicate_counts(spark):
     df = _skewed(spark)
     counts = {r["pos"]: r["duplicate_count"] for r in duplicate_counts(df, "key").collect()}

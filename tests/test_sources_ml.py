@@ -12,6 +12,7 @@ from voltlake.operators import ml
 from voltlake.operators import quality as Q
 from voltlake.operators.quality import FailedChecks
 from voltlake.plans import medallion
+from voltlake.plans.catalogue import CATALOGUE
 from voltlake.sources import readers as R
 from voltlake.sources import writers as Wr
 
@@ -96,6 +97,31 @@ def test_source_order_over_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_small_blocks_share_tasks(spark, tmp_path):
+    """Blocks stay as small as asked for and rows in order, but many blocks make no more tasks than a few."""
+    path = write(tmp_path / "big.csv", "id\n" + "\n".join(str(i) for i in range(200000)) + "\n")
+    with R.blocks_of(spark, "8192"):
+        ordered = R.read_csv(spark, path, positions=True).withColumn("block", F.col("_metadata.file_block_start"))
+        assert ordered.select("block").distinct().count() > 100
+        assert ordered.rdd.getNumPartitions() <= 65
+        assert [int(r["id"]) for r in ordered.orderBy("row_pos").select("id").collect()] == list(range(200000))
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+
+
+def test_order_over_files_has_no_task_per_block(spark, tmp_path):
+    """250,000 rows are some 150 blocks of 64k in seven files."""
+    rows = spark.range(250000).select(F.expr("id div 5 AS l_orderkey"), F.expr("CAST(1 + (id * 31) % 7 AS int) AS l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sparkContext.setJobGroup("order", "order_over_files")
+    try:
+        assert CATALOGUE["order_over_files"].run(spark, str(tmp_path)).where("differing <> 0").count() == 0
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("order") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 7 <= max(s.numTasks for s in stages if s) <= 65
+
+
 def test_numeric_table_rejects_nulls(spark):
     with pytest.raises(ValueError, match="a_b"):
         R.numeric_table(spark.createDataFrame([("1", "x")], "`Ok` string, `A B` string"))
