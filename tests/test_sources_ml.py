@@ -77,6 +77,48 @@ def test_records_over_lines_and_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("size", ["90", "128m"])
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_records_where_a_task_reads_many_blocks(spark, tmp_path, size, batch):
+    """Many blocks a task, batches that end within blocks, and bytes that are no UTF-8."""
+    rng, want = random.Random(7), []
+    for name in ("a", "b", "c"):
+        rows = [[f"{name}{i}", "z" + "".join(rng.choices(["x", ";", '"', "\n", '"\n"', ";\"", "y" * 90], k=rng.randint(0, 5))) + "z"] for i in range(150)]
+        lines = io.StringIO()
+        out = csv.writer(lines, delimiter=";", lineterminator="\n", quoting=csv.QUOTE_ALL if name == "a" else csv.QUOTE_MINIMAL)
+        out.writerows([["id", "note"], *rows])
+        end = b'"c\xff";"\n\xff\n"\n' if name == "c" else b""
+        (tmp_path / f"{name}.csv").write_bytes(lines.getvalue().encode() + end)
+        want += [(i, note.encode()) for i, note in rows]
+    want.append((None, "\n\ufffd\n".encode()))  # as Spark shows it
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        with R.blocks_of(spark, size):
+            read = R.read_price_csv(spark, str(tmp_path), ("id", "note"), multi_line=True)
+            rows = read.select(F.when(F.col("id").rlike("^[abc][0-9]+$"), F.col("id")).alias("id"), F.col("note").cast("binary").alias("note")).collect()
+    finally:
+        spark.conf.set(key, old)
+    strip = lambda rows: sorted((i or "", bytes(note).strip(b" ")) for i, note in rows)
+    assert strip(map(tuple, rows)) == strip(want)
+
+
+def test_records_are_cut_without_shuffling_lines(spark, tmp_path):
+    """Only block rows and parts of records may be dealt out again, whatever the optimizer thinks of sizes."""
+    path = write(tmp_path / "p.csv", "id;note\n" + "".join(f'{i};"a\nb"\n' for i in range(500)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with R.blocks_of(spark, "256"):
+            rows = R.read_price_csv(spark, path, ("id", "note"), multi_line=True)
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+            assert rows.where(F.col("note") == "a\nb").count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_quote_that_stays_open_raises(spark, tmp_path):
     path = write(tmp_path / "p.csv", 'id;note\n1;"a\n2;b\n')
     with pytest.raises(Exception, match="a quote stays open"):
