@@ -97,9 +97,9 @@ def test_keys_that_share_a_bucket_are_counted_apart(spark, monkeypatch):
     """All keys in one bucket with more rows than the limit: one key has more than it in the first case, none in the second."""
     monkeypatch.setattr(ranking, "_COUNT_BUCKETS", 1)
     df = _skewed(spark)
-    assert {r["key"]: r["_n"] for r in ranking._hot_keys(df, "key", 500).collect()} == {"hot": 2000, None: 572}
-    assert ranking._hot_keys(df, "key", 5000).count() == 0
-    assert ranking._hot_keys(df, "key", 6000) is None
+    assert {r["key"]: r["_n"] for r in ranking._hot_keys(df, "key", F.lit(True), 500).collect()} == {"hot": 2000, None: 572}
+    assert ranking._hot_keys(df, "key", F.lit(True), 5000).count() == 0
+    assert ranking._hot_keys(df, "key", F.lit(True), 6000) is None
     ranked = rank_duplicates(df, "key", "v", "pos", hot_rows=5000)
     assert ranked.where("key = 'hot'").agg(F.max("duplicate_rank")).first()[0] == 2000
 

@@ -10,6 +10,7 @@ from voltlake.operators import features as X
 from voltlake.operators import metrics as K
 from voltlake.operators import ml
 from voltlake.operators import quality as Q
+from voltlake.operators.bronze import bronze_clean
 from voltlake.operators.quality import FailedChecks
 from voltlake.plans import medallion
 from voltlake.plans.catalogue import CATALOGUE
@@ -43,6 +44,22 @@ def test_price_header_is_found_in_each_file(spark, tmp_path):
         ("a.csv", "2024-01-01", "1", "10"), ("a.csv", "2024-01-01", "2", "1;5"), ("b.csv", "2", "2024-01-01", "1;5"), ("b.csv", "2024-01-01", "1", "10")]
 
 
+def test_price_lines_stay_where_they_are_read(spark, tmp_path):
+    """Headers go to the lines, and hours are parsed in generated code before the one window's shuffle."""
+    write(tmp_path / "p" / "a.csv", "Date;Hour;Portugal;Spain\n" + "".join(f"02/01/2024; {h} ;{h};{h}\n" for h in range(1, 25)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = R.read_price_csv(spark, str(tmp_path / "p"))
+        bronze = bronze_clean(raw, "price", "r", AT, "B", "UTC")
+        plan = bronze._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert plan.count("Generate ") == raw._jdf.queryExecution().executedPlan().toString().count("Generate ") == 1
+        assert sorted(r["timestamp_utc"] for r in bronze.collect()) == [datetime(2024, 1, 2, h) for h in range(24)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_price_file_without_header_raises(spark, tmp_path):
     path = write(tmp_path / "p.csv", "a;b\n1;2\n")
     with pytest.raises(Exception, match="no header line"):
